@@ -7,10 +7,29 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuelattice.llm import simhash, substring
+from cuelattice.llm import chat, langid, lm, media, mixing, pieces, simhash, substring
 from cuelattice.llm.common import read
 
 
+def op1_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.audio_features(read(spark, sf_dir, "documents"), with_media=False)
+
+
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(read(spark, sf_dir, "documents"))
+
+
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    texts = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_xxh64"), "text")
+    back = pieces.decode_documents(pieces.encode_documents(texts, keep=["text_xxh64"]))
+    return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_xxh64"), (F.xxhash64("text") == F.col("text_xxh64")).alias("round_trip"), "parity")
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring.substring_dedup(read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -20,8 +39,26 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(read(spark, sf_dir, "documents"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify_languages(read(spark, sf_dir, "documents"))
+
+
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.read_back(chat.format_conversations(chat.with_probe(read(spark, sf_dir, "conversations"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op6_substring_dedup, op8_simhash_near_dedup)
+    f.__name__: f
+    for f in (
+        op1_audio_features,
+        op2_lm_scoring,
+        op3_mix_sources,
+        op5_sentencepiece,
+        op6_substring_dedup,
+        op8_simhash_near_dedup,
+        op9_language_id,
+        op10_chat_formatting,
+    )
 }
 
 SQL: dict[str, str] = {}
