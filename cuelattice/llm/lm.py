@@ -161,7 +161,7 @@ def count_of(level: np.ndarray) -> np.ndarray:
 
 def _entries(keys: np.ndarray, level: int, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Word of the segment and bits in it for (key, level)."""
-    g = mix64(keys + _U(level) * _U(0x9E3779B97F4A7C15))
+    g = mix64(keys + _U(level * 0x9E3779B97F4A7C15 % (1 << 64)))
     bits = np.zeros(len(g), np.uint64)
     for i in range(PROBES):
         bits |= _U(1) << ((g >> _U(6 * i)) & _U(63))

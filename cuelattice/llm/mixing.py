@@ -4,9 +4,11 @@ Each document of a source should be taken target / source size times: a whole nu
 copies and a fraction. Two fractional documents are paired and words are moved from one
 to the other, at random and without changing the expectation of either, until one of them
 is taken or left. What is still fractional goes on: blocks of some sixty documents leave
-one document each, blocks of sixty blocks again one, and so on up a tree with one last
-document for each source. The words taken of a source therefore differ from its target by
-less than that one document.
+one document each, blocks of sixty blocks again one, and so on up a tree. One block of a
+source waits for the root: its documents, the long ones first, make up there for the words
+by which the last long document misses its target when it is rounded. The words taken of a
+source therefore differ from its target by less than its longest document, and by much
+less where that block has short ones.
 """
 
 from __future__ import annotations
@@ -22,7 +24,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS, BOOST, MOST = (3.0, 1.0, 2.0), 1.5, 2.0
 BLOCK = 64  # documents in a block of the tree, about
 BROADCAST_SOURCES = 20_000  # sources up to which the table of targets is broadcast
-_UNIT = "struct<order:bigint,key:bigint,doc_id:bigint,size:bigint,base:bigint,x:double>"
+SLACK = 0.9  # how much of the way to 0 or 1 a waiting document's fraction may be moved
+_UNIT = "struct<waits:boolean,order:bigint,key:bigint,doc_id:bigint,size:bigint,base:bigint,x:double>"
 
 
 def _uniform(*parts: Column | str) -> Column:
@@ -79,17 +82,41 @@ def _pivot(state: Column, unit: Column, seed: int) -> Column:
         ended, carried = F.when(v["c_ends"], new_c).otherwise(new_u), F.when(v["c_ends"], new_u).otherwise(new_c)
         return F.struct(F.concat(state["done"], F.array(ended)).alias("done"), carried.alias("carry"))
 
-    bound = F.transform(F.transform(F.array(let), moved), settle)[0]
-    first = F.struct(state["done"].alias("done"), u.alias("carry"))
-    return F.when(c.isNull(), first).otherwise(bound)
+    return F.transform(F.transform(F.array(let), moved), settle)[0]
+
+
+def _step(state: Column, unit: Column, seed: int) -> Column:
+    """One more unit: carried if it is the first, else paired with the one carried.
+
+    A waiting unit's fraction is moved by shift. If the waiting units that are left can
+    take the difference, the carried one is rounded at random before and they take it.
+    """
+    c = state["carry"]
+    u = unit.withField("x", unit["x"] + F.when(unit["waits"], state["shift"]).otherwise(0.0))
+    left = state["left"] - F.when(unit["waits"], unit["size"]).otherwise(0)
+    up = F.when(_uniform(c["key"], F.lit(-2 - seed)) < c["x"], 1.0).otherwise(0.0)
+    moved = state["shift"] - F.try_divide(c["size"] * (up - c["x"]), state["left"].cast("double"))
+    can = unit["waits"] & (F.abs(moved) <= SLACK * F.least(unit["x"], 1 - unit["x"]))
+
+    def build(done: Column, carry: Column, shift: Column) -> Column:
+        return F.struct(done.alias("done"), carry.alias("carry"), shift.alias("shift"), left.alias("left"))
+
+    rounded = F.transform(
+        F.array(F.struct(up.alias("up"), moved.alias("shift"), can.alias("can"))),
+        lambda v: F.when(v["can"], build(F.concat(state["done"], F.array(c.withField("x", v["up"]))), unit.withField("x", unit["x"] + v["shift"]), v["shift"])),
+    )[0]
+    paired = F.transform(F.array(_pivot(state, u, seed)), lambda p: build(p["done"], p["carry"], state["shift"]))[0]
+    return F.when(c.isNull(), build(state["done"], u, state["shift"])).otherwise(F.coalesce(rounded, paired))
 
 
 def _round_level(units: DataFrame, level: int) -> DataFrame:
     """One level of the tree: (source, block, unit, open) with one open unit for each block."""
-    start = F.struct(F.lit(None).cast(f"array<{_UNIT}>").alias("done"), F.lit(None).cast(_UNIT).alias("carry"))
-    start = start.withField("done", F.array().cast(f"array<{_UNIT}>"))
     gathered = units.groupBy("source", "block").agg(F.sort_array(F.collect_list("unit")).alias("units"))
-    folded = gathered.select("source", "block", F.aggregate("units", start, lambda s, u: _pivot(s, u, level)).alias("s"))
+    waiting = F.aggregate("units", F.lit(0).cast("long"), lambda n, u: n + F.when(u["waits"], u["size"]).otherwise(0))
+    start = F.struct(
+        F.array().cast(f"array<{_UNIT}>").alias("done"), F.lit(None).cast(_UNIT).alias("carry"), F.lit(0.0).alias("shift"), waiting.alias("left")
+    )
+    folded = gathered.select("source", "block", F.aggregate("units", start, lambda s, u: _step(s, u, level)).alias("s"))
     flagged = F.concat(
         F.transform("s.done", lambda u: F.struct(u.alias("unit"), F.lit(False).alias("open"))),
         F.array(F.struct(F.col("s.carry").alias("unit"), F.lit(True).alias("open"))),
@@ -120,18 +147,22 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, boost: floa
     base = F.floor(copies).cast("long")
     rows = rows.join(small, F.col("source").eqNullSafe(F.col("_source"))).withColumn("base", base).withColumn("x", copies - base)
     live = (F.col("x") > 0) & (F.col("size") > 0)
-    unit = F.struct((-F.col("size")).alias("order"), "key", "doc_id", "size", "base", "x").cast(_UNIT)
     blocks = F.ceil(F.col("n") / block).cast("long")
-    units = rows.where(live).select("source", F.pmod(F.xxhash64("key", F.lit(1)), blocks).alias("block"), unit.alias("unit"))
-    idle = rows.where(~live).select("source", unit.withField("x", F.lit(0.0)).alias("unit"))
-    settled, left, level = [idle], -(-(seen["n"] or 0) // block), 0
+    at = F.pmod(F.xxhash64("key", F.lit(1)), blocks)
+    unit = F.struct((at == 0).alias("waits"), (-F.col("size")).alias("order"), "key", "doc_id", "size", "base", "x").cast(_UNIT)
+    units = rows.select("source", at.alias("block"), live.alias("live"), unit.alias("unit"))
+    settled = [units.where("NOT live").select("source", F.col("unit").withField("x", F.lit(0.0)).alias("unit"))]
+    waiting = units.where("live AND unit.waits").drop("live")
+    units, left, level = units.where("live AND NOT unit.waits").drop("live"), -(-(seen["n"] or 0) // block), 0
     while left:
+        if left == 1:
+            units = units.unionByName(waiting)
         rounded = _round_level(units, level).checkpoint()
         settled.append(rounded.where("NOT open").select("source", "unit"))
         units = rounded.where("open").select("source", F.floor(F.col("block") / block).cast("long").alias("block"), "unit")
         left, level = (-(-left // block) if left > 1 else 0), level + 1
     last = F.when(_uniform("unit.key", F.lit(-1)) < F.col("unit.x"), 1.0).otherwise(0.0)
-    settled.append(units.select("source", F.col("unit").withField("x", last).alias("unit"))) if level else None
+    settled.append(units.select("source", F.col("unit").withField("x", last).alias("unit")))
     out = settled[0]
     for more in settled[1:]:
         out = out.unionByName(more)
