@@ -71,17 +71,18 @@ class Scan:
 
     data: bytes, with one separator before each text and one at the end; start: where
     each text begins in data (and one past the last); ws, we: bounds of the words;
-    ptr: index of each text's first word (and one past the last).
+    ptr: index of each text's first word (and one past the last). separator: which bytes
+    part words, a space among them.
     """
 
-    def __init__(self, texts: list[bytes | None], lower: bool = False) -> None:
+    def __init__(self, texts: list[bytes | None], lower: bool = False, separator: np.ndarray = SEPARATOR) -> None:
         texts = [t or b"" for t in texts]
         raw = np.frombuffer(b" " + b" ".join(texts) + b" ", np.uint8)
         self.data = LOWER[raw] if lower else raw
         sizes = np.fromiter((len(t) for t in texts), np.int64, len(texts))
         self.sizes = sizes
         self.start = np.concatenate([[1], 1 + np.cumsum(sizes + 1)])
-        self.inword = ~SEPARATOR[raw]
+        self.inword = ~separator[raw]
         edges = np.flatnonzero(self.inword[1:] != self.inword[:-1]) + 1
         self.ws, self.we = edges[0::2], edges[1::2]
         self.ptr = np.searchsorted(self.ws, self.start)
