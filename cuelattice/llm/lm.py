@@ -27,7 +27,8 @@ FILTER_BITS = 1 << 29  # of the filter that is broadcast: 64 MB
 BITS_PER_ENTRY, PROBES = 10, 5  # bits of the filter for each entry, and bits that an entry sets
 HEAD_WORDS = 1 << 20  # words at most whose counts are broadcast
 HELD = 3 << 19  # tokens that a task gathers before it counts them
-BACK_OFF = (8.0, 1.0)  # weight of the words against a bigram's history, and of the bigrams against a trigram's
+BACK_OFF = (2000.0, 300.0)  # weight of the words against a bigram's history, and of the bigrams against a trigram's
+FOLLOWING = 2.0  # the latter where the token before ended a known trigram, as within a passage met before
 _U = np.uint64
 _KEY_BITS = 48
 _START, _END = _U(0x6A09E667F3BCC908), _U(0xBB67AE8584CAA73B)
@@ -267,7 +268,9 @@ class Model:
         triple = np.zeros(len(w))
         seen = (pair > 0) & (before > 0)
         triple[seen] = self.count(triple_key(two[seen], one[seen], w[seen]))
-        return np.log10((np.minimum(triple, before) + BACK_OFF[1] * p) / (before + BACK_OFF[1]))
+        follows = np.r_[False, triple[:-1] > 0] & ~start
+        weight = np.where(follows, FOLLOWING, BACK_OFF[1])
+        return np.log10((np.minimum(triple, before) + weight * p) / (before + weight))
 
 
 def train(docs: DataFrame) -> tuple[Model, DataFrame]:
