@@ -35,3 +35,19 @@ def remainder(doc_id: Column | str, modulus: int) -> Column:
 def held_out(doc_id: Column | str, modulus: int, value: int) -> Column:
     """Whether a document is kept from training; false for a null id."""
     return F.coalesce(remainder(doc_id, modulus) == value, F.lit(False))
+
+
+def labelled_sample(labels: DataFrame, column: str, slots: dict[int, int]) -> DataFrame:
+    """(label, slot, doc_id, n): one document for each label (1 if column is above 0) and slot.
+
+    Labelled documents are dealt into slots by a hash of their id; the one with the
+    smallest hash stands for the n of its slot. A document with several labels has the
+    largest; null ids and labels are left out. The result has as many rows as there are
+    slots at most, at any size of the input, so it may be broadcast to the documents,
+    whose texts then need no shuffle.
+    """
+    known = labels.where(F.col("doc_id").isNotNull() & F.col(column).isNotNull()).groupBy("doc_id").agg(F.max((F.col(column) > 0).cast("int")).alias("label"))
+    slot = F.pmod(F.xxhash64("doc_id"), F.when(F.col("label") == 1, slots[1]).otherwise(slots[0]))
+    chosen = F.min(F.struct(F.xxhash64("doc_id", F.lit(1)).alias("h"), "doc_id"))
+    dealt = known.groupBy("label", slot.alias("slot")).agg(chosen.alias("c"), F.count("*").alias("n"))
+    return dealt.select("label", "slot", "c.doc_id", "n")

@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuelattice.llm.common import held_out, prepare
+from cuelattice.llm.common import held_out, labelled_sample, prepare
 from cuelattice.llm.textscan import slices, texts_of
 
 FOLDS, FOLD = 4, 2
@@ -168,19 +168,18 @@ def fit(rows: list[tuple[int, bytes]], share: float) -> Model:
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """A model from a bounded sample of labelled rows.
 
-    A document with several labels counts as toxic if one says so. Documents of a label
-    are dealt into SAMPLE slots by a hash of their id; the one with the smallest hash in a
-    slot gives an excerpt of EXCERPT characters, from a place that its hash fixes.
+    A document with several labels counts as toxic if one says so. Each document of the
+    sample gives an excerpt of EXCERPT characters, from a place that its hash fixes.
     """
-    known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("label"))
+    few = F.broadcast(labelled_sample(labels, "toxic", SAMPLE))
     h = F.xxhash64("doc_id", "text")
     at = F.pmod(h, F.greatest(F.lit(1), F.length("text") - EXCERPT + 1)).cast("int") + 1
-    slots = F.when(F.col("label") == 1, SAMPLE[1]).otherwise(SAMPLE[0])
-    rows = docs.where("text IS NOT NULL").select("doc_id", "text").join(known, "doc_id")
-    rows = rows.select("label", F.pmod(F.xxhash64("doc_id"), slots).alias("slot"), F.struct(h.alias("h"), F.substring("text", at, F.lit(EXCERPT)).alias("excerpt")).alias("w"))
-    few = rows.groupBy("label", "slot").agg(F.min("w").alias("w"), F.count("*").alias("n")).collect()
-    n = {k: sum(r["n"] for r in few if r["label"] == k) for k in (0, 1)}
-    return fit([(r["label"], r["w"]["excerpt"].encode()) for r in sorted(few, key=lambda r: (r["slot"], r["label"]))], n[1] / max(1, n[0] + n[1]))
+    rows = docs.where("text IS NOT NULL").select("doc_id", "text").join(few, "doc_id")
+    w = F.min(F.struct(h.alias("h"), F.substring("text", at, F.lit(EXCERPT)).alias("excerpt")))
+    rows = rows.groupBy("label", "slot", "n").agg(w.alias("w")).select("label", "slot", "n", "w.excerpt").collect()
+    n = {k: sum(r["n"] for r in rows if r["label"] == k) for k in (0, 1)}
+    rows = sorted(rows, key=lambda r: (r["slot"], r["label"]))
+    return fit([(r["label"], r["excerpt"].encode()) for r in rows], n[1] / max(1, n[0] + n[1]))
 
 
 def _score(shared) -> Callable:  # shared: a broadcast model
@@ -205,7 +204,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, fold
     table gives no rows.
     """
     prepare(docs.sparkSession)
-    model = train(docs.where(~held_out("doc_id", folds, fold)), labels)
+    model = train(docs, labels.where(~held_out("doc_id", folds, fold)))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     out = docs.select("doc_id", "text").mapInArrow(_score(shared), "doc_id long, score double")
     return out.select("doc_id", held_out("doc_id", folds, fold).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
