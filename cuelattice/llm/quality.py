@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuelattice.llm.common import prepare
+from cuelattice.llm.common import labelled_sample, prepare
 from cuelattice.llm.textscan import SEPARATOR, Scan, mix64, rolling, slices, texts_of, window_starts
 
 SYMBOLS = b"#*$%&|<>"
@@ -224,11 +224,10 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame) -> LineField:
     """A field fitted to a bounded sample of labelled documents of MIN_WORDS words or more.
 
-    Documents of either label are dealt into SAMPLE slots by a hash of their id, and the
-    one with the smallest hash in a slot is taken. Without both labels the field is untrained.
+    Without both labels the field is untrained.
     """
-    chosen = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").cast("int").alias("label"))
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("label", F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)).alias("slot"), F.xxhash64("doc_id", "text").alias("h"), "text")
+    few = F.broadcast(labelled_sample(labels, "quality", {1: SAMPLE, 0: SAMPLE}))
+    rows = docs.select("doc_id", "text").join(few, "doc_id").select("label", "slot", F.xxhash64("doc_id", "text").alias("h"), "text")
     few = rows.mapInArrow(_sampled, "label int, slot long, h long, x binary").where("x IS NOT NULL")
     few = few.groupBy("label", "slot").agg(F.min(F.struct("h", "x")).alias("b")).select("label", "slot", "b.x")
     got = sorted((r["label"], r["slot"], bytes(r["x"])) for r in few.collect())
