@@ -83,4 +83,4 @@ def confidence(score: Column) -> Column:
 
 def srt_path(path: Column) -> Column:
     """The path with its extension replaced by .srt, or with .srt added."""
-    return F.regexp_replace(path, r"(?<=[^/.])(\.[^./]*)?$", ".srt")
+    return F.when(path.rlike(r"[^/]\.[^./]*$"), F.regexp_replace(path, r"\.[^./]*$", ".srt")).otherwise(F.concat(path, F.lit(".srt")))

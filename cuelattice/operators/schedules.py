@@ -119,3 +119,11 @@ def sample(times: DataFrame, schedule: DataFrame, step: float, window: float, t:
     edge = (F.col(t) <= 0) | (F.col(t) >= F.col("_until"))
     value = F.when(edge, F.col("_s.value")).otherwise(value_at(F.col(t), F.col("_s"), window))
     return found.select(*times.columns, "param", value.alias("value"))
+
+
+def align(schedule: DataFrame, defaults: dict[str, float]) -> DataFrame:
+    """One row for each interval number with a column for each parameter, defaults where a schedule has none."""
+    wide = schedule.groupBy("seg_idx").agg(
+        F.min("start_time").alias("start_time"), F.max("end_time").alias("end_time"), *[F.max(F.when(F.col("param") == p, F.col("value"))).alias(p) for p in defaults]
+    )
+    return wide.select("seg_idx", "start_time", "end_time", *[F.coalesce(p, F.lit(float(v))).alias(p) for p, v in defaults.items()])

@@ -115,5 +115,5 @@ def in_region(segments: DataFrame, region: Column | None) -> DataFrame:
     some = segments.where(F.size("entries") > 0)
     if region is None:
         return some
-    first = F.col("entries")[0]["box"]
+    first = F.get("entries", F.lit(0))["box"]
     return some.where(region.isNull() | G.contains(region, G.center_x(first), G.center_y(first)))

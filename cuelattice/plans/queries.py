@@ -261,6 +261,16 @@ def rotation_inscribed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", size.alias("s")).select("p_partkey", "s.width", "s.height")
 
 
+@query(
+    f"""WITH {_DET}, c AS (SELECT event_id, w, h, x, y, round_even(x + (w - 60) / 2.0::double, 0) AS px, round_even(y + (h - 20) / 2.0::double, 0) AS py FROM det), k AS (
+      SELECT *, greatest(x, least(px, x + w - 60)) AS kx, greatest(y, least(py, y + h - 20)) AS ky FROM c)
+    SELECT event_id, CASE WHEN abs(kx - px) <= 2 AND abs(ky - py) <= 2 THEN kx::int END AS x, CASE WHEN abs(kx - px) <= 2 AND abs(ky - py) <= 2 THEN ky::int END AS y FROM k"""
+)
+def box_place_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = G.place_centered(F.lit(60), F.lit(20), F.col("box"))
+    return views.detections(spark, sf_dir).select("event_id", at.alias("p")).select("event_id", "p.x", "p.y")
+
+
 # Segments.
 
 
@@ -363,6 +373,13 @@ def rate_limit_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Subtitles.
 
+
+@query(r"SELECT page_id, CASE WHEN regexp_matches(url, '[^/]\.[^./]*$') THEN regexp_replace(url, '\.[^./]*$', '.srt') ELSE url || '.srt' END AS path FROM (SELECT page_id, url || CASE WHEN page_id % 2 = 0 THEN '/clip.v1.mp4' ELSE '/clip' END AS url FROM pages) p")
+def srt_sidecar_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.concat("url", F.when(F.col("page_id") % 2 == 0, "/clip.v1.mp4").otherwise("/clip"))
+    return table(spark, sf_dir, "pages").select("page_id", X.srt_path(path).alias("path"))
+
+
 _CUES = f"""{_OBS}, s AS (SELECT stream_id, text, island, min(t) AS a, max(t) AS b, count(*) AS n FROM isl GROUP BY stream_id, text, island), m AS (
     SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY a, text, island) AS cue, round_even(a * 1000, 0)::bigint AS am, round_even(b * 1000, 0)::bigint AS bm FROM s), c AS (
     SELECT stream_id, cue, printf('%02d:%02d:%02d,%03d', am // 3600000, am // 60000 % 60, am // 1000 % 60, am % 1000) AS start_ts, printf('%02d:%02d:%02d,%03d', bm // 3600000, bm // 60000 % 60, bm // 1000 % 60, bm % 1000) AS end_ts, text FROM m)"""
@@ -445,6 +462,14 @@ def schedule_random_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schedules.to_table(spark, made)
 
 
+@query(
+    f"""WITH {_SPANS} SELECT seg_idx::int AS seg_idx, a::double AS start_time, b::double AS end_time, v AS tempo, CASE WHEN seg_idx < 30 THEN round(z, 6) ELSE 1.0::double END AS bass, 0.5::double AS mid FROM spans"""
+)
+def schedule_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = schedules.to_table(spark, {"tempo": SPANS, "bass": ZOOMS[:30]})
+    return schedules.align(plan, {"tempo": 1.0, "bass": 1.0, "mid": 0.5}).withColumn("bass", r6("bass"))
+
+
 # Frame maps. Each stream is a clip whose speed changes with the interval of its frame number.
 
 _MAP = f"""{_FRAMES}, sp AS (SELECT stream_id, frame_index, frame_index / {FPS} AS ft, count(*) OVER (PARTITION BY stream_id) AS n,
