@@ -229,10 +229,9 @@ def _words(least: int, most: int | None) -> Callable:
 class Model:
     """The filter, the frequent words and the totals, as a worker reads them."""
 
-    def __init__(self, segments: dict[int, bytes], buckets: int, words: int, head: tuple[np.ndarray, np.ndarray], total: int, distinct: int, coarse: float) -> None:
-        self.buckets, self.words, self.head = buckets, words, head
+    def __init__(self, bits: bytearray, buckets: int, words: int, head: tuple[np.ndarray, np.ndarray], total: int, distinct: int, coarse: float) -> None:
+        self.bits, self.buckets, self.words, self.head = bits, buckets, words, head
         self.total, self.distinct, self.coarse = total, distinct, coarse
-        self.bits = b"".join(segments.get(i) or bytes(words * 8) for i in range(buckets))
 
     def level(self, keys: np.ndarray) -> np.ndarray:
         """The level that the filter has for each key: probes for 1, 2, ... until one fails."""
@@ -297,8 +296,10 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
     head = made.select("words").mapInArrow(_words(cut, None), "word long, c long").toArrow()
     word, c = (head.column(i).to_numpy() for i in range(2))
     order = np.argsort(word.view(np.uint64))
-    segments = {r["bucket"]: bytes(r["segment"]) for r in made.select("bucket", "segment").collect()}
-    model = Model(segments, buckets, words, (word.view(np.uint64)[order], c[order]), sums["n"] or 0, sums["v"] or 0, sums["coarse"] or 0.0)
+    bits = bytearray(buckets * words * 8)
+    for r in made.select("bucket", "segment").toLocalIterator():  # a partition at a time, so that the driver holds the filter once
+        bits[r["bucket"] * words * 8 : (r["bucket"] + 1) * words * 8] = r["segment"]
+    model = Model(bits, buckets, words, (word.view(np.uint64)[order], c[order]), sums["n"] or 0, sums["v"] or 0, sums["coarse"] or 0.0)
     return model, made.select("words").mapInArrow(_words(0, cut), "word long, c long")
 
 
@@ -348,7 +349,8 @@ def score_documents(docs: DataFrame, folds: int = FOLDS, fold: int = FOLD) -> Da
     prepare(docs.sparkSession)
     rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
     model, tail = train(docs.where(~held_out("doc_id", folds, fold)))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, total = docs.sparkSession.sparkContext.broadcast(model), model.total
+    del model  # the workers have it now; the driver need not hold it any longer
     scored = rows.mapInArrow(_score(shared), _SCORED).checkpoint()
     rest = scored.dropDuplicates(["row"]).select("row", F.explode("rest").alias("word"))
     rest = rest.join(tail, "word", "left").groupBy("row").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + 1.0)).alias("gain"), F.count("c").alias("more"))
@@ -358,7 +360,7 @@ def score_documents(docs: DataFrame, folds: int = FOLDS, fold: int = FOLD) -> Da
         held_out("doc_id", folds, fold).alias("held_out"),
         "n_tokens",
         (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"),
-        F.lit(model.total).cast("long").alias("train_tokens"),
+        F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base_score") + F.coalesce("gain", F.lit(0.0))).alias("base_score"),
         "score",
     )
