@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuelattice.functions import text as X
+from cuelattice.sources.storage import allow_checkpoints
 
 Provider = Callable[[Sequence[str]], Sequence[str]]
 TRANSLATED, PASSED, UNTRANSLATED = "translated", "passthrough", "untranslated"
@@ -25,15 +26,16 @@ def distinct_texts(segments: DataFrame, text: str, order: str) -> DataFrame:
     return segments.select(norm, F.col(order).alias("ord")).where(F.length("norm_text") > 0).groupBy("norm_text").agg(F.min("ord").alias("ord"))
 
 
-def batches(texts: DataFrame, size: int, per_partition: int = 64) -> DataFrame:
+def batches(texts: DataFrame, size: int) -> DataFrame:
     """The texts with batch and place: size to a batch in order of ord, then text.
 
-    The order is global but no task holds it: ranges of ord are numbered apart, and the
-    counts of the ranges before are added.
+    The order is global but no task holds it: ranges of ord, fixed by a checkpoint, are
+    numbered apart, and the counts of the ranges before are added.
     """
     spark = texts.sparkSession
-    parts = max(1, min(per_partition, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    ranged = texts.repartitionByRange(parts, "ord", "norm_text").withColumn("_p", F.spark_partition_id()).checkpoint() if spark.sparkContext.getCheckpointDir() else texts.withColumn("_p", F.lit(0))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    allow_checkpoints(spark)
+    ranged = texts.repartitionByRange(parts, "ord", "norm_text").withColumn("_p", F.spark_partition_id()).checkpoint()
     counts = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
     before = counts.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
     own = F.row_number().over(Window.partitionBy("_p").orderBy("ord", "norm_text")) - 1

@@ -15,7 +15,7 @@ from cuelattice.functions import text as X
 from cuelattice.operators import detections, enrichment, layout, scenes, schedules, segments, subtitles, timeline, tracking
 from cuelattice.operators.smoothing import smooth_one_euro
 from cuelattice.plans import config
-from cuelattice.sources import views
+from cuelattice.sources import storage, views
 from cuelattice.sources.views import FRAME_HEIGHT as H
 from cuelattice.sources.views import FRAME_WIDTH as W
 from cuelattice.sources.views import table
@@ -769,13 +769,13 @@ def row_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_session(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = table(spark, sf_dir, "events").schema
     found = streams.sessions(streams.read_stream(spark, sf_dir, schema, "events.parquet"), ["user_id"], "ts", f"{int(GAP)} seconds")
-    return _sessions(streams.run_available(found, "complete", streams.shared_folder(spark, "sessions")))
+    return _sessions(streams.run_available(found, "complete", storage.new_folder(spark, "sessions")))
 
 
 @query()
 def stream_track(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detections written in order of frames to files, and tracked as a stream of these."""
-    folder = streams.shared_folder(spark, "track")
+    folder = storage.new_folder(spark, "track")
     det = detections.usable(views.detections(spark, sf_dir), 0.5, None).select("stream_id", "frame_index", "t", "box", "text").withColumn("ends", F.lit(False))
     ends = det.groupBy("stream_id").agg((F.max("frame_index") + 1).alias("frame_index")).select("stream_id", "frame_index", F.lit(0.0).alias("t"), F.lit(None).cast(G.BOX).alias("box"), F.lit("").alias("text"), F.lit(True).alias("ends"))
     rows = det.unionByName(ends)

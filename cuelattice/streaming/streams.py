@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import pickle
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,12 +14,6 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from cuelattice.operators.tracking import COLUMNS, Settings, Tracker, entries_of
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder that all executors see: in spark.checkpoint.dir, or of this machine where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="streams-")
-    return f"{root}/{name}-{uuid.uuid4().hex}"
-
-
 def read_stream(spark: SparkSession, folder: str, schema, glob: str = "*.parquet", files: int = 1) -> DataFrame:
     """The Parquet files of a folder as a stream, some files at a time."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).option("pathGlobFilter", glob).parquet(folder)
