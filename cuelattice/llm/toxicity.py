@@ -210,7 +210,22 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, fold
     return out.select("doc_id", held_out("doc_id", folds, fold).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that are not predicted toxic."""
-    rejected = toxicity_scores(docs, labels).where("predicted = 1").select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(docs.columns)
+def _keep(shared, threshold: float) -> Callable:  # shared: a broadcast model
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model: Model = shared.value
+        pair = Pair(model.toxic, model.ordinary)
+        for batch in batches:
+            for part in slices(batch):
+                yield part.filter(pa.array([model.score(pair.evidence(t or b"")) < threshold for t in texts_of(part)], pa.bool_()))
+
+    return run
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, fold: int = FOLD, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents that toxicity_scores does not predict toxic, with all their columns.
+
+    Rows pass through the scorer and are kept or not there, so nothing is shuffled.
+    """
+    prepare(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels.where(~held_out("doc_id", folds, fold))))
+    return docs.mapInArrow(_keep(shared, threshold), docs.schema)
