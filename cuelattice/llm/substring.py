@@ -225,38 +225,51 @@ def removed_runs(docs: DataFrame) -> DataFrame:
     return blobs.groupBy("bucket").applyInArrow(_group, "_row long, start int, n int")
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in slices(batch):
-            scan = Scan(texts_of(part))
-            data, ws, we = scan.joined()
-            keep = np.ones(len(ws) + 1, np.int32)
-            step = np.zeros(len(ws) + 1, np.int32)
-            runs = part.column(part.schema.get_field_index("runs"))
-            size = pa.compute.fill_null(pa.compute.list_value_length(runs), 0).to_numpy(zero_copy_only=False)
-            flat = runs.flatten()
-            if len(flat):
-                start = flat.field(0).to_numpy(zero_copy_only=False) + np.repeat(scan.ptr[:-1], size)
-                np.add.at(step, start, 1)
-                np.add.at(step, start + flat.field(1).to_numpy(zero_copy_only=False) + (WINDOW - 1), -1)
-                keep = np.cumsum(step) == 0
-            texts, gone = [], []
-            for i, hit in enumerate(size > 0):
-                p, q = int(scan.ptr[i]), int(scan.ptr[i + 1])
-                if p == q:
-                    texts.append(b"")
-                    gone.append(0)
-                elif not hit:
-                    texts.append(data[ws[p] : we[q - 1]])
-                    gone.append(0)
-                else:
-                    left = np.flatnonzero(keep[p:q]) + p
-                    texts.append(b" ".join([data[a:b] for a, b in zip(ws[left].tolist(), we[left].tolist(), strict=True)]))
-                    gone.append(q - p - len(left))
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), pa.array(np.diff(scan.ptr)), pa.array(gone, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())],
-                names=["doc_id", "_row", "n_words", "n_removed", "kept_text"],
-            )
+def _cut(layout: bool) -> Callable:
+    """Rows (doc_id, text, runs, …) with their words counted and cut; the columns from the fourth on pass through.
+
+    layout: a text without repeats stays as it was written.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                texts = texts_of(part)
+                scan = Scan(texts)
+                data, ws, we = scan.joined()
+                keep = np.ones(len(ws) + 1, bool)
+                runs = part.column(2)
+                size = pa.compute.fill_null(pa.compute.list_value_length(runs), 0).to_numpy(zero_copy_only=False)
+                flat = runs.flatten()
+                if len(flat):
+                    step = np.zeros(len(ws) + 1, np.int32)
+                    start = flat.field(0).to_numpy(zero_copy_only=False) + np.repeat(scan.ptr[:-1], size)
+                    np.add.at(step, start, 1)
+                    np.add.at(step, start + flat.field(1).to_numpy(zero_copy_only=False) + (WINDOW - 1), -1)
+                    keep = np.cumsum(step) == 0
+                out, gone = [], []
+                for i, hit in enumerate(size > 0):
+                    p, q = int(scan.ptr[i]), int(scan.ptr[i + 1])
+                    left = np.flatnonzero(keep[p:q]) + p if hit else None
+                    gone.append(q - p - len(left) if hit else 0)
+                    if hit:
+                        out.append(b" ".join([data[a:b] for a, b in zip(ws[left].tolist(), we[left].tolist(), strict=True)]))
+                    else:
+                        out.append(texts[i] if layout else data[ws[p] : we[q - 1]] if p < q else b"")
+                words = [pa.array(np.diff(scan.ptr)), pa.array(gone, pa.int64()), pa.array(out, pa.binary()).cast(pa.string())]
+                yield pa.RecordBatch.from_arrays([part.column(0), *words, *part.columns[3:]], names=["doc_id", "n_words", "n_removed", "kept_text", *part.schema.names[3:]])
+
+    return run
+
+
+def _cut_rows(docs: DataFrame, layout: bool, keep: list[str]) -> DataFrame:
+    prepare(docs.sparkSession)
+    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("_row"), "text", *[F.col(c).alias(f"_keep_{i}") for i, c in enumerate(keep)])
+    runs = removed_runs(rows.select("doc_id", "_row", "text")).groupBy("_row").agg(F.collect_list(F.struct("start", "n")).alias("_runs"))
+    kept = [f"_keep_{i}" for i in range(len(keep))]
+    joined = rows.join(runs, "_row", "left").select("doc_id", "text", "_runs", *kept)
+    kind = "".join(f", `{k}` {docs.schema[c].dataType.simpleString()}" for k, c in zip(kept, keep, strict=True))
+    return joined.mapInArrow(_cut(layout), "doc_id long, n_words long, n_removed long, kept_text string" + kind)
 
 
 def substring_dedup(docs: DataFrame) -> DataFrame:
@@ -268,11 +281,7 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     Repeated rows of one doc_id do not count against one another. Extra columns are
     ignored; an empty table gives no rows.
     """
-    prepare(docs.sparkSession)
-    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("_row"), "text")
-    runs = removed_runs(rows).groupBy("_row").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
-    joined = rows.join(runs, "_row", "left").select("doc_id", "_row", "text", "runs")
-    return joined.mapInArrow(_cut, "doc_id long, _row long, n_words long, n_removed long, kept_text string").drop("_row")
+    return _cut_rows(docs, False, [])
 
 
 def cut_documents(docs: DataFrame) -> DataFrame:
@@ -280,9 +289,10 @@ def cut_documents(docs: DataFrame) -> DataFrame:
 
     n_chars, where the table has it, follows the new text.
     """
-    cut = substring_dedup(docs).where("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("kept_text").alias("_kept")).dropDuplicates(["_id"])
-    out = docs.join(cut, F.col("doc_id") == F.col("_id"), "left")
-    text = F.coalesce("_kept", "text")
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    out = _cut_rows(docs, True, others)
+    named = {c: F.col(f"_keep_{i}") for i, c in enumerate(others)} | {"doc_id": F.col("doc_id"), "text": F.col("kept_text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_kept").isNotNull(), F.length("_kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.withColumn("text", text).select(docs.columns)
+        kind = docs.schema["n_chars"].dataType
+        named["n_chars"] = F.when(F.col("n_removed") > 0, F.length("kept_text").cast(kind)).otherwise(named["n_chars"])
+    return out.select(*[named[c].alias(c) for c in docs.columns])
