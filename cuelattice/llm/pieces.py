@@ -37,7 +37,9 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 _BREAKS = np.zeros(256, bool)
 _BREAKS[[0x20, 0x0A]] = True
-_HARD = re.compile(b"  | \n|^[ \n]| $|\xe2\x96\x81")  # what the table of pieces does not cover
+_HARD = re.compile(b"  | \n|^[ \n]| $|\xe2\x96\x81|<0x|\xf4\x8f\xbf\xbf")  # what the table of pieces does not cover
+_HIDDEN = "\U0010ffff"  # begins the names of entries that no text may match
+_NAMES = re.compile(f"<0x[0-9A-F]{{2}}>|{_HIDDEN}")  # names of entries, where a text has them itself
 
 
 def _fields(message: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -142,8 +144,10 @@ class Codec:
             name = spec.pieces[unknown][0] if unknown is not None else None
             model = models.BPE(names, [m[-1] for m in sorted(merges)], unk_token=name, fuse_unk=True, byte_fallback=spec.byte_fallback)
         else:
-            vocab = [(p if k in (NORMAL, BYTE) else f"{i}", s) for i, (p, s, k) in enumerate(spec.pieces)]
+            vocab = [(p if k in (NORMAL, BYTE) else f"{_HIDDEN}{i}", s) for i, (p, s, k) in enumerate(spec.pieces)]
             model = models.Unigram(vocab, unk_id=unknown, byte_fallback=spec.byte_fallback)
+            self.normal, self.unknown = {p: (s, i) for i, (p, s, k) in enumerate(spec.pieces) if k == NORMAL}, unknown
+            self.longest = max(map(len, self.normal), default=1)
         self.tokenizer = Tokenizer(model)
         self.lines = not any("\n" in p for p in normal if len(p) > 1)  # no entry goes beyond a line
         self.whole = any(MARK in p.lstrip(MARK) for p in normal)  # entries that cross words: texts stay whole
@@ -155,6 +159,7 @@ class Codec:
         self.line = np.array(self._ids("\n"), np.int32)
         self.plain = self.plain and len(self.line) == 1
         self.clear()
+        self.byte_ids = {int(p[1:-1], 16): i for i, (p, _, k) in enumerate(spec.pieces) if k == BYTE}
         self.bytes = []
         for p, _, k in spec.pieces:
             if k == BYTE:
@@ -174,7 +179,36 @@ class Codec:
         self.at, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.store = np.zeros(0, np.int32)
 
+    def _best(self, piece: str) -> list[int]:
+        """Ids of the unigram path of the largest score, worked out without the library.
+
+        For the few pieces that spell the name of an entry which is not theirs.
+        """
+        low = min((s for s, _ in self.normal.values()), default=0.0) - 10.0  # an unknown sign scores so much below the rest
+        score, back = [0.0] + [-np.inf] * len(piece), [(0, -1)] * (len(piece) + 1)
+        for i in range(len(piece)):
+            for j in range(i + 1, min(len(piece), i + self.longest) + 1):
+                s, k = self.normal.get(piece[i:j], (None, -1))
+                if s is None and j == i + 1:
+                    s = low
+                if s is not None and score[i] + s > score[j]:
+                    score[j], back[j] = score[i] + s, (i, k)
+        out: list[list[int]] = []
+        j, fused = len(piece), False
+        while j:
+            i, k = back[j]
+            if k >= 0:
+                out.append([k])
+            elif self.spec.byte_fallback:
+                out.append([self.byte_ids[b] for b in piece[i:j].encode()])
+            elif not fused:
+                out.append([self.unknown])
+            j, fused = i, k < 0
+        return [x for part in reversed(out) for x in part]
+
     def _ids(self, piece: str) -> list[int]:
+        if self.spec.kind == UNIGRAM and _NAMES.search(piece):
+            return self._best(piece)
         return self.tokenizer.encode(piece, add_special_tokens=False).ids
 
     def normalise(self, text: str) -> str:
@@ -327,8 +361,9 @@ def encode_documents(docs: DataFrame, model: str = MODEL, audit: int = AUDIT, ke
     """doc_id, ids (array of int), round_trip, parity and the columns in keep of every document.
 
     round_trip tells whether the ids, decoded, are the text again (a text with the marker
-    itself is not: it comes back as a space). parity tells whether the sentencepiece library gives the same ids, for one document of
-    audit by a checksum of its id; null for the others. A null or empty text has no ids.
+    itself is not: it comes back as a space). parity tells whether the sentencepiece
+    library gives the same ids, for one document of audit by a checksum of its id; null
+    for the others. A null or empty text has no ids.
     Repeated rows keep a row each; extra columns are ignored; an empty table gives no rows.
     """
     prepare(docs.sparkSession)
