@@ -104,16 +104,18 @@ def _mel() -> tuple[np.ndarray, np.ndarray]:
 def log_mel(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Log energies of all overlapped frames by band, and each frame's log energy.
 
-    The samples are taken in blocks of BLOCK_FRAMES frames, so that beyond its result
-    the memory is the same for samples of any length.
+    Frame i is centred on samples i * HOP to (i + 1) * HOP of the resampled signal, with
+    silence beyond its ends, so that there is a frame for each HOP begun. The samples are
+    taken in blocks of BLOCK_FRAMES frames, so that beyond its result the memory is the
+    same for samples of any length.
     """
     window, bank = _mel()
     n = -(-len(samples) * UP // DOWN)
-    frames = max(1, -(-(n - FRAME) // HOP) + 1)
+    frames, lead = max(1, -(-n // HOP)), (FRAME - HOP) // 2
     mel, energy = np.empty((frames, BANDS), np.float32), np.empty(frames, np.float32)
     for a in range(0, frames, BLOCK_FRAMES):
         b = min(frames, a + BLOCK_FRAMES)
-        x = resample(samples, a * HOP, (b - a - 1) * HOP + FRAME)
+        x = resample(samples, a * HOP - lead, (b - a - 1) * HOP + FRAME)
         cut = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP] * window
         power = np.square(np.abs(np.fft.rfft(cut, axis=1))).astype(np.float32)
         mel[a:b] = np.log(power @ bank + FLOOR)
