@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuelattice.functions import geometry as G
@@ -36,15 +36,15 @@ def usable(rows: DataFrame, min_confidence: float, ranges: tuple | None = X.CJK)
     return rows.where(keep & X.has_script(F.col("text"), ranges) if ranges else keep)
 
 
-def stride(frames: DataFrame, every: int, counts: DataFrame | None = None) -> DataFrame:
+def stride(frames: DataFrame, every: int) -> DataFrame:
     """Every so many frames of a stream, and its last one.
 
-    counts(stream_id, n_frames); without it the number of rows of each stream is taken.
+    The last frame is looked up by a window over the stream, which needs no shuffle where
+    the frames are dealt by stream already, as they are once they have been numbered.
     """
-    if counts is None:
-        counts = frames.groupBy("stream_id").agg(F.count("*").alias("n_frames"))
-    joined = frames.join(counts, "stream_id")
-    return joined.where((F.col("frame_index") % every == 0) | (F.col("frame_index") == F.col("n_frames") - 1)).select(frames.columns)
+    last = F.max("frame_index").over(Window.partitionBy("stream_id"))
+    marked = frames.withColumn("_last", last).where((F.col("frame_index") % every == 0) | (F.col("frame_index") == F.col("_last")))
+    return marked.drop("_last")
 
 
 def adjacent_matches(rows: DataFrame, min_iou: float, min_similarity: float, near: float, diagonal: float, floor: float = 0.3) -> DataFrame:

@@ -20,15 +20,23 @@ def histogram(pixels: DataFrame, keys: list[str], a: str, b: str, bins: tuple[in
     return counts.withColumn("share", F.col("n") / length)
 
 
-def differences(frames: DataFrame, keys: list[str], order: str, hist: str) -> DataFrame:
-    """1 - correlation of each frame's histogram with that of the one before; null for the first."""
-    before = F.lag(hist).over(Window.partitionBy(*keys).orderBy(order))
-    return frames.withColumn("_h", before).withColumn("diff", F.when(F.col("_h").isNotNull(), 1 - N.correlation(F.col("_h"), F.col(hist)))).drop("_h")
+def differences(frames: DataFrame, keys: list[str], order: str, hist: str, consecutive: bool = False) -> DataFrame:
+    """1 - correlation of each frame's histogram with that of the one before; null for the first.
+
+    consecutive: frames are numbered without gaps, so that the one before is found by an
+    equi join and a long clip is spread over tasks; else each clip is sorted in one.
+    """
+    if consecutive:
+        before = frames.select(*keys, (F.col(order) + 1).alias(order), F.col(hist).alias("_h"))
+        paired = frames.join(before, [*keys, order], "left")
+    else:
+        paired = frames.withColumn("_h", F.lag(hist).over(Window.partitionBy(*keys).orderBy(order)))
+    return paired.withColumn("diff", F.when(F.col("_h").isNotNull(), 1 - N.correlation(F.col("_h"), F.col(hist)))).drop("_h")
 
 
-def boundaries(frames: DataFrame, keys: list[str], order: str, hist: str, threshold: float) -> DataFrame:
+def boundaries(frames: DataFrame, keys: list[str], order: str, hist: str, threshold: float, consecutive: bool = False) -> DataFrame:
     """The frames whose difference is above the threshold."""
-    return differences(frames, keys, order, hist).where(F.col("diff") > threshold)
+    return differences(frames, keys, order, hist, consecutive).where(F.col("diff") > threshold)
 
 
 def scenes(cuts: DataFrame, totals: DataFrame, keys: list[str], fps: float, max_micro: float) -> DataFrame:

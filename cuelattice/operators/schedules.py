@@ -102,6 +102,28 @@ def value_at(t: Column, s: Column, window: float) -> Column:
     )
 
 
+def as_literal(rows: list[tuple[float, float, float]]) -> Column:
+    """A schedule of up to some hundred intervals as an array of interval structs."""
+    values = [v for _, _, v in rows]
+    kind = "struct<start_time:double,end_time:double,value:double,before:double,after:double>"
+    around = zip(rows, [None, *values[:-1]], [*values[1:], None], strict=True)
+    return F.array(*[F.struct(*map(F.lit, (float(a), float(b), float(v), p, q))).cast(kind) for (a, b, v), p, q in around])
+
+
+def lookup(t: Column, rows: list[tuple[float, float, float]], step: float, window: float) -> Column:
+    """The value of a schedule drawn on the driver at any time, as an expression.
+
+    The interval is found by its number, so there is neither a join nor a shuffle. Times
+    before the first interval take its value, times after the last that one's; an empty
+    schedule has the value 0.
+    """
+    if not rows:
+        return F.lit(0.0)
+    index = F.greatest(F.lit(0), F.least(F.floor(t / step).cast("int"), F.lit(len(rows) - 1)))
+    found = F.transform(F.array(F.get(as_literal(rows), index)), lambda s: value_at(t, s, window))[0]
+    return F.when(t <= rows[0][0], rows[0][2]).when(t >= rows[-1][1], rows[-1][2]).otherwise(found)
+
+
 def sample(times: DataFrame, schedule: DataFrame, step: float, window: float, t: str = "t") -> DataFrame:
     """For each time and parameter the schedule's value: times' columns, param and value.
 

@@ -37,18 +37,23 @@ def repeated_places(n: int, percent: float, rng: random.Random) -> list[int]:
     return sorted(chosen)
 
 
-def speeds(frames: DataFrame, spans: DataFrame, step: float) -> DataFrame:
-    """The frames with the speed of the interval [start_time, end_time) they fall in, else of the last one.
+def speed_at(t: Column, spans: list[tuple[float, float, float]], step: float) -> Column:
+    """The speed of the interval [start, end) that a time falls in, else of the last one; 1 without intervals.
 
-    spans(seg_idx, start_time, end_time, value) have boundaries near multiples of step:
-    a frame is joined with the interval of its multiple and the two beside it, so that
-    the join is one of equal keys with three candidates a frame.
+    The boundaries lie near multiples of step, so that one of three intervals around the
+    time's own multiple holds it: no join and no search through all of them.
     """
-    last = spans.agg(F.max_by("value", "seg_idx").alias("_v"), F.max("seg_idx").alias("_n"))
-    near = frames.withColumn("_k", F.floor(F.col("t") / step).cast("int"))
-    keyed = spans.select(F.explode(F.array(F.col("seg_idx") - 1, F.col("seg_idx"), F.col("seg_idx") + 1)).alias("_k"), "start_time", "end_time", "value")
-    hit = near.join(F.broadcast(keyed), (near["_k"] == keyed["_k"]) & (near["t"] >= keyed["start_time"]) & (near["t"] < keyed["end_time"]), "left").drop(keyed["_k"])
-    return hit.join(F.broadcast(last)).select(*frames.columns, F.coalesce("value", "_v").alias("speed"))
+    if not spans:
+        return F.lit(1.0)
+    table = F.array(*[F.struct(F.lit(float(a)).alias("a"), F.lit(float(b)).alias("b"), F.lit(float(v)).alias("v")) for a, b, v in spans])
+    near = F.floor(t / step).cast("int")
+
+    def held(shift: int) -> Column:
+        place = near + shift
+        s = F.when(place >= 0, F.get(table, F.greatest(F.lit(0), place)))
+        return F.when((t >= s["a"]) & (t < s["b"]), s["v"])
+
+    return F.coalesce(*[held(d) for d in (-1, 0, 1)], F.lit(float(spans[-1][2])))
 
 
 def frame_map(frames: DataFrame, keys: list[str], fps: float, n: Column) -> DataFrame:
@@ -63,11 +68,10 @@ def frame_map(frames: DataFrame, keys: list[str], fps: float, n: Column) -> Data
     return run.withColumn("in_idx", place).drop("_m", "_t")
 
 
-def repeat_previous(mapped: DataFrame, places: DataFrame, keys: list[str]) -> DataFrame:
-    """The map with the given places (keys, out_idx) showing the frame before them; no two may be adjacent."""
-    order = Window.partitionBy(*keys).orderBy("out_idx")
-    flagged = mapped.join(places.select(*keys, "out_idx", F.lit(True).alias("_r")), [*keys, "out_idx"], "left")
-    return flagged.withColumn("in_idx", F.when(F.col("_r"), F.coalesce(F.lag("in_idx").over(order), F.col("in_idx"))).otherwise(F.col("in_idx"))).drop("_r")
+def repeat_previous(mapped: DataFrame, places: Column, keys: list[str]) -> DataFrame:
+    """The map where the frames that a condition marks show the one before them; no two of them may be adjacent."""
+    before = F.lag("in_idx").over(Window.partitionBy(*keys).orderBy("out_idx"))
+    return mapped.withColumn("in_idx", F.when(places, F.coalesce(before, F.col("in_idx"))).otherwise(F.col("in_idx")))
 
 
 def last_use(mapped: DataFrame, keys: list[str]) -> DataFrame:
@@ -112,7 +116,7 @@ def build_map(spark: SparkSession, n: int, fps: float, spans: list[tuple[float,
     """
     moved = jitter(spans, n / fps, jitter_s, rng)
     frames = spark.range(n).select(F.lit(0).alias("clip"), F.col("id").alias("out_idx"), (F.col("id") / fps).alias("t"))
-    table = spark.createDataFrame([(i, *row) for i, row in enumerate(moved)], "seg_idx int, start_time double, end_time double, value double")
-    mapped = frame_map(speeds(frames, table, step), ["clip"], fps, F.lit(n)) if moved else frames.withColumn("in_idx", F.col("out_idx"))
-    places = spark.createDataFrame([(0, p) for p in repeated_places(n, repeat_percent, rng)], "clip int, out_idx long")
-    return fit_length(repeat_previous(mapped, places, ["clip"]).select("out_idx", "in_idx"), n)
+    mapped = frame_map(frames.withColumn("speed", speed_at(F.col("t"), moved, step)), ["clip"], fps, F.lit(n)) if moved else frames.withColumn("in_idx", F.col("out_idx"))
+    places = repeated_places(n, repeat_percent, rng)
+    marked = F.array_contains(F.array(*map(F.lit, places)).cast("array<bigint>"), F.col("out_idx")) if places else F.lit(False)
+    return fit_length(repeat_previous(mapped, marked, ["clip"]).select("out_idx", "in_idx"), n)

@@ -443,9 +443,14 @@ def schedule_sinusoidal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_SPANS}, {_TIMES} SELECT o_orderkey, round({_value('v', 'vb', 'va')}, 9) AS level, round({_value('z', 'zb', 'za')}, 9) AS zoom FROM spot JOIN near ON i = seg_idx")
 def schedule_interpolate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    level, zoom = (schedules.lookup(F.col("t"), rows, STEP, WINDOW) for rows in (SPANS, ZOOMS))
+    return _times(spark, sf_dir).select("o_orderkey", F.round(level, 9).alias("level"), F.round(zoom, 9).alias("zoom"))
+
+
+@query(f"WITH {_SPANS}, {_TIMES} SELECT o_orderkey, 'level' AS param, round({_value('v', 'vb', 'va')}, 9) AS value FROM spot JOIN near ON i = seg_idx UNION ALL SELECT o_orderkey, 'zoom', round({_value('z', 'zb', 'za')}, 9) FROM spot JOIN near ON i = seg_idx")
+def schedule_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = schedules.to_table(spark, {"level": SPANS, "zoom": ZOOMS})
-    out = schedules.sample(_times(spark, sf_dir), plan, STEP, WINDOW)
-    return out.groupBy("o_orderkey").pivot("param", ["level", "zoom"]).agg(F.first("value")).select("o_orderkey", F.round("level", 9).alias("level"), F.round("zoom", 9).alias("zoom"))
+    return schedules.sample(_times(spark, sf_dir), plan, STEP, WINDOW).select("o_orderkey", "param", F.round("value", 9).alias("value"))
 
 
 @query("""SELECT event_type, (epoch_us(ts) // 3600000000) * 3600000000 AS start_us, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1, 2""")
@@ -481,9 +486,9 @@ _MAP = f"""{_FRAMES}, sp AS (SELECT stream_id, frame_index, frame_index / {FPS}
 
 def _mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = views.frames(spark, sf_dir).select("stream_id", F.col("frame_index").cast("long").alias("out_idx"), (F.col("frame_index") / FPS).alias("t"))
-    spans = spark.createDataFrame([(0, 0.0, 1.0, 0.931), (1, 1.0, 2.0, 1.171), (2, 2.0, 3.0, 1.063)], "seg_idx int, start_time double, end_time double, value double")
+    speed = timeline.speed_at(F.col("t"), [(0.0, 1.0, 0.931), (1.0, 2.0, 1.171), (2.0, 3.0, 1.063)], 1.0)
     n = F.count("*").over(Window.partitionBy("stream_id"))
-    return timeline.frame_map(timeline.speeds(frames, spans, 1.0).withColumn("n", n), ["stream_id"], FPS, F.col("n"))
+    return timeline.frame_map(frames.withColumns({"speed": speed, "n": n}), ["stream_id"], FPS, F.col("n"))
 
 
 @query(f"WITH {_MAP} SELECT * FROM fm")
@@ -493,8 +498,7 @@ def frame_map_speed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_MAP} SELECT * FROM rp")
 def frame_map_repeat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mapped = _mapped(spark, sf_dir)
-    return timeline.repeat_previous(mapped, mapped.where("out_idx % 7 = 3"), ["stream_id"]).select("stream_id", "out_idx", "in_idx")
+    return timeline.repeat_previous(_mapped(spark, sf_dir), F.col("out_idx") % 7 == 3, ["stream_id"]).select("stream_id", "out_idx", "in_idx")
 
 
 @query(f"WITH {_MAP} SELECT stream_id, in_idx, max(out_idx) AS last_out FROM rp GROUP BY stream_id, in_idx")
@@ -541,10 +545,9 @@ def drift_accumulate(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT o_orderkey, greatest(0, least(round_even({W} / 2.0 + x - w / 2.0, 0), {W} - w))::int AS x, greatest(0, least(round_even({H} / 2.0 + y - h / 2.0, 0), {H} - h))::int AS y, w::int AS width, h::int AS height FROM c"""
 )
 def crop_region(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plan = schedules.to_table(spark, {"crop": SPANS, "zoom": ZOOMS})
-    values = schedules.sample(_times(spark, sf_dir), plan, STEP, WINDOW).groupBy("o_orderkey").pivot("param", ["crop", "zoom"]).agg(F.first("value"))
-    both = _offsets(spark, sf_dir).join(values, "o_orderkey")
-    b = G.crop_region(F.lit(W), F.lit(H), F.col("crop"), F.col("zoom"), F.col("x"), F.col("y"))
+    crop, zoom = (schedules.lookup(F.col("t"), rows, STEP, WINDOW) for rows in (SPANS, ZOOMS))
+    both = _offsets(spark, sf_dir)
+    b = G.crop_region(F.lit(W), F.lit(H), crop, zoom, F.col("x"), F.col("y"))
     return both.select("o_orderkey", b.alias("b")).select("o_orderkey", *flat("b"))
 
 
@@ -564,13 +567,13 @@ def _hist_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = _hist_frames(spark, sf_dir)
-    cuts = scenes.boundaries(frames, ["clip"], "frame_index", "hist", 0.9).select("clip", "frame_index")
+    cuts = scenes.boundaries(frames, ["clip"], "frame_index", "hist", 0.9, consecutive=True).select("clip", "frame_index")
     return scenes.scenes(cuts, frames.groupBy("clip").agg(F.count("*").alias("n_frames")), ["clip"], FPS, 0.1)
 
 
 @query(f"WITH {_CUTS} SELECT vec_id AS frame_index, round(vec_id / {FPS}, 6) AS t, round(diff, 6) AS diff FROM cut")
 def scene_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cuts = scenes.boundaries(_hist_frames(spark, sf_dir), ["clip"], "frame_index", "hist", 0.9)
+    cuts = scenes.boundaries(_hist_frames(spark, sf_dir), ["clip"], "frame_index", "hist", 0.9, consecutive=True)
     return cuts.select("frame_index", r6(F.col("frame_index") / FPS).alias("t"), r6("diff").alias("diff"))
 
 
