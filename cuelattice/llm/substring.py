@@ -28,6 +28,8 @@ HELD = 1 << 20  # windows, or distinct anchors, that a task gathers before it su
 _U = np.uint64
 _SALT = (_U(0x2545F4914F6CDD1D), _U(0x9FB21C651E98DF25))
 _BLOB = "bucket int, blob binary"
+_PLACE_BITS = 28  # of a hash that give way to a word's number while the smallest is sought
+SPREAD = 9  # places of an anchor that share a bucket; the windows of one anchor are dealt to some four buckets
 
 
 def _sliding_min(x: np.ndarray, k: int) -> np.ndarray:
@@ -41,11 +43,19 @@ def _sliding_min(x: np.ndarray, k: int) -> np.ndarray:
     return np.minimum(x[:n], x[k - have : k - have + n])
 
 
-def _anchors(scan: Scan) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes, the first words of all windows, and the anchor of each of those windows."""
+def _anchors(scan: Scan) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes, the first words of all windows, the anchor of each of those windows and its place there.
+
+    The anchor is the first piece whose hash has the smallest upper bits, so that equal
+    windows have it at one place.
+    """
     words = scan.hashes()
     start = window_starts(scan.ptr, WINDOW)
-    return words, start, _sliding_min(rolling(words, PIECE), WINDOW - PIECE + 1)[start]
+    pieces = rolling(words, PIECE)
+    low = _U((1 << _PLACE_BITS) - 1)
+    least = _sliding_min((pieces & ~low) | (np.arange(len(pieces), dtype=np.uint64) & low), WINDOW - PIECE + 1)[start]
+    at = (least & low).astype(np.int64)
+    return words, start, pieces[at], at - start
 
 
 def _cells(anchor: np.ndarray, row: int) -> np.ndarray:
@@ -65,7 +75,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch):
             scan = Scan(texts_of(part))
-            _, start, anchor = _anchors(scan)
+            _, start, anchor, _ = _anchors(scan)
             if not len(anchor):
                 continue
             fresh = np.r_[True, anchor[1:] != anchor[:-1]]
@@ -156,7 +166,7 @@ def _candidates(bits, buckets: int) -> Callable:  # bits: a broadcast variable
             return out
 
         def flush() -> Iterator[pa.RecordBatch]:
-            h, anchor, doc, row, at = map(np.concatenate, zip(*held, strict=True))
+            h, anchor, doc, row, at, share = map(np.concatenate, zip(*held, strict=True))
             held.clear()
             later, first = _later(h, anchor, doc)
             out: list[tuple[int, bytes]] = []
@@ -166,8 +176,8 @@ def _candidates(bits, buckets: int) -> Callable:  # bits: a broadcast variable
                 for b in np.unique(place):
                     m = place == b
                     out.append((int(b), b"R" + _pack(row=name[m], start=start[m].astype(np.int32), n=n[m].astype(np.int32))))
-            h, anchor, doc, row, at = (x[first] for x in (h, anchor, doc, row, at))
-            place = (mix64(anchor) % _U(buckets)).astype(np.int32)
+            h, anchor, doc, row, at, share = (x[first] for x in (h, anchor, doc, row, at, share))
+            place = (mix64(anchor + share * _SALT[0]) % _U(buckets)).astype(np.int32)
             order = np.argsort(place, kind="stable")
             cut = np.searchsorted(place[order], np.arange(buckets + 1))
             for b in np.flatnonzero(np.diff(cut)):
@@ -178,16 +188,16 @@ def _candidates(bits, buckets: int) -> Callable:  # bits: a broadcast variable
         for batch in batches:
             for part in slices(batch):
                 scan = Scan(texts_of(part))
-                words, start, anchor = _anchors(scan)
+                words, start, anchor, offset = _anchors(scan)
                 if not len(anchor):
                     continue
                 head = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
                 passed = np.repeat(repeated(anchor[head]), np.diff(np.r_[head, len(anchor)]))
-                start, anchor = start[passed], anchor[passed]
+                start, anchor, offset = start[passed], anchor[passed], offset[passed]
                 owner = np.searchsorted(scan.ptr, start, "right") - 1
                 doc = part.column(0).to_numpy(zero_copy_only=False)[owner]
                 row = part.column(1).to_numpy(zero_copy_only=False)[owner]
-                held.append((rolling(words, WINDOW)[start], anchor, doc, row, (start - scan.ptr[owner]).astype(np.int32)))
+                held.append((rolling(words, WINDOW)[start], anchor, doc, row, (start - scan.ptr[owner]).astype(np.int32), (offset // SPREAD).astype(np.uint64)))
                 if sum(len(x[0]) for x in held) >= HELD:
                     yield from flush()
         if held and sum(len(x[0]) for x in held):

@@ -149,8 +149,8 @@ def test_anchors_are_those_of_equal_windows():
     passage = [f"p{rng.randrange(9)}" for _ in range(80)]
     texts = [" ".join([f"{k}{i}" for i in range(30)] + passage).encode() for k in "abc"]
     scan = Scan(texts)
-    _, start, anchor = substring._anchors(scan)
+    _, start, anchor, offset = substring._anchors(scan)
     by = {}
     found = WORD.findall(b" ".join(texts).decode())
-    for s, a in zip(start.tolist(), anchor.tolist(), strict=True):
+    for s, a in zip(start.tolist(), zip(anchor.tolist(), offset.tolist(), strict=True), strict=True):
         assert by.setdefault(tuple(found[s : s + 50]), a) == a
