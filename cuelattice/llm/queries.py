@@ -69,4 +69,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-SQL: dict[str, str] = {}
+# The other operators learn, draw at random or hash in ways that SQL does not have.
+SQL: dict[str, str] = {
+    "op6_substring_dedup": r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+win AS (SELECT doc_id, i, array_to_string(list_slice(ws, i + 1, i + 50), ' ') AS k FROM (SELECT doc_id, ws, unnest(range(0, greatest(0, len(ws) - 49))) AS i FROM w) a),
+firsts AS (SELECT k, min(doc_id) AS f FROM win GROUP BY k HAVING count(*) > 1),
+cov AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM (SELECT win.doc_id, win.i FROM win JOIN firsts ON win.k = firsts.k WHERE f < win.doc_id) g),
+word AS (SELECT doc_id, unnest(range(0, len(ws))) AS p, unnest(ws) AS t FROM w),
+kept AS (SELECT word.doc_id, string_agg(t, ' ' ORDER BY word.p) AS s FROM word LEFT JOIN cov ON word.doc_id = cov.doc_id AND word.p = cov.p WHERE cov.p IS NULL GROUP BY word.doc_id),
+gone AS (SELECT doc_id, count(*) AS n FROM cov GROUP BY doc_id)
+SELECT w.doc_id, len(ws)::bigint AS n_words, coalesce(gone.n, 0)::bigint AS n_removed, sha256(coalesce(s, '')) AS kept_sha256 FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id LEFT JOIN gone ON w.doc_id = gone.doc_id""",
+}
