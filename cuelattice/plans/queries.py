@@ -545,9 +545,8 @@ def drift_accumulate(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT o_orderkey, greatest(0, least(round_even({W} / 2.0 + x - w / 2.0, 0), {W} - w))::int AS x, greatest(0, least(round_even({H} / 2.0 + y - h / 2.0, 0), {H} - h))::int AS y, w::int AS width, h::int AS height FROM c"""
 )
 def crop_region(spark: SparkSession, sf_dir: str) -> DataFrame:
-    crop, zoom = (schedules.lookup(F.col("t"), rows, STEP, WINDOW) for rows in (SPANS, ZOOMS))
-    both = _offsets(spark, sf_dir)
-    b = G.crop_region(F.lit(W), F.lit(H), crop, zoom, F.col("x"), F.col("y"))
+    both = _offsets(spark, sf_dir).withColumns({c: schedules.lookup(F.col("t"), rows, STEP, WINDOW) for c, rows in (("crop", SPANS), ("zoom", ZOOMS))})
+    b = G.crop_region(F.lit(W), F.lit(H), F.col("crop"), F.col("zoom"), F.col("x"), F.col("y"))
     return both.select("o_orderkey", b.alias("b")).select("o_orderkey", *flat("b"))
 
 
