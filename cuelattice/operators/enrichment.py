@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuelattice.functions import text as X
-from cuelattice.sources.storage import allow_checkpoints
+from cuelattice.sources.storage import allow_checkpoints, ship_package
 
 Provider = Callable[[Sequence[str]], Sequence[str]]
 TRANSLATED, PASSED, UNTRANSLATED = "translated", "passthrough", "untranslated"
@@ -35,6 +35,7 @@ def batches(texts: DataFrame, size: int) -> DataFrame:
     spark = texts.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     allow_checkpoints(spark)
+    ship_package(spark)
     ranged = texts.repartitionByRange(parts, "ord", "norm_text").withColumn("_p", F.spark_partition_id()).checkpoint()
     counts = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
     before = counts.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))

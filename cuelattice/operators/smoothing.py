@@ -9,6 +9,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from cuelattice.sources.storage import ship_package
+
 MIN_CUTOFF, BETA, D_CUTOFF, STEADY = 0.3, 0.5, 1.0, 0.3
 
 
@@ -61,6 +63,7 @@ def smooth_one_euro(entries: DataFrame, keys: list[str], **settings: float) -> D
     Segments are sorted within partitions and filtered as they stream by, so that many
     short ones cost no call each; a task holds a batch and one segment.
     """
+    ship_package(entries.sparkSession)
     kinds = dict(entries.dtypes)
     flat = entries.selectExpr(*keys, "frame_index", "box.x", "box.y", "box.width", "box.height")
     schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), f"frame_index {kinds['frame_index']}", "x int", "y int", "width int", "height int"])

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from cuelattice.operators.smoothing import smooth_series
+from cuelattice.sources.storage import ship_package
 
 FLOOR = 0.3  # similarity below which overlapping boxes hold different texts
 
@@ -154,6 +155,7 @@ def track(detections: DataFrame, settings: Settings = Settings(), smooth: bool =
     A stream is tracked in one task, since each frame depends on the one before; streams
     are independent. Frames without detections need no rows: patience counts frames.
     """
+    ship_package(detections.sparkSession)
     names = [c.split()[0] for c in COLUMNS.split(", ")]
     flat = detections.selectExpr("stream_id", "frame_index", "t", "box.x", "box.y", "box.width", "box.height", "text", "monotonically_increasing_id() AS place")
 

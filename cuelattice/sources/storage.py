@@ -1,9 +1,11 @@
-"""Folders that all executors see."""
+"""What a job needs on all executors: shared folders, and the package itself."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -22,3 +24,23 @@ def allow_checkpoints(spark: SparkSession) -> None:
     """Set the folder of checkpoints where the session has none."""
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(root(spark))
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each application.
+
+    Python code on executors imports it; a cluster need not have it installed, nor must
+    the folder it lies in be on their path.
+    """
+    context, package = spark.sparkContext, Path(__file__).resolve().parent.parent
+    if context.applicationId in _shipped or not package.is_dir():
+        return
+    path = Path(tempfile.mkdtemp(prefix="package-"), f"{package.name}.zip")
+    with zipfile.ZipFile(path, "w") as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent).as_posix())
+    context.addPyFile(str(path))
+    _shipped.add(context.applicationId)

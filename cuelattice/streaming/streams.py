@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from cuelattice.operators.tracking import COLUMNS, Settings, Tracker, entries_of
+from cuelattice.sources.storage import ship_package
 
 
 def read_stream(spark: SparkSession, folder: str, schema, glob: str = "*.parquet", files: int = 1) -> DataFrame:
@@ -60,6 +61,7 @@ def track_stream(detections: DataFrame, settings: Settings = Settings(), smooth:
     segment is put out when it ends; a row with ends set closes all that are open. The
     state of a stream is its open segments, max_active at most.
     """
+    ship_package(detections.sparkSession)
     flat = detections.selectExpr("stream_id", "frame_index", "t", "box.x", "box.y", "box.width", "box.height", "text", "ends")
     names = [c.split()[0] for c in COLUMNS.split(", ")]
 
