@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuelattice.sources.storage import allow_checkpoints
+from cuelattice.sources.storage import allow_checkpoints, ship_package
 
 ARROW_ROWS = 512  # rows in an Arrow batch to Python: whole texts are long
 
@@ -15,13 +15,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Small Arrow batches, and a checkpoint folder where the session has none.
+    """Small Arrow batches, the package on the executors, and a checkpoint folder where the session has none.
 
     A cluster names its shared folder in spark.checkpoint.dir; a folder of this machine
     is used only where that is unset, as in tests.
     """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     allow_checkpoints(spark)
+    ship_package(spark)
 
 
 def remainder(doc_id: Column | str, modulus: int) -> Column:
