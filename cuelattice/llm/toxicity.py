@@ -29,6 +29,7 @@ EXCERPT = 4096  # characters of each of them at most
 WINDOW = 48  # bytes after which a window ends at the next space
 OWN_BYTES, BACKGROUND_BYTES = 1024, 110 << 10  # of a dictionary, and of the background
 GRAM, CONTRAST, RARE = 7, 12.0, 0.02  # bytes of a piece; how much commoner it must be in toxic documents, and in which share of them
+SEGMENTS = {"k": 16, "d": 8}  # bytes of the segments that a small dictionary is made of
 SPAN = 12  # differences beyond this count as this
 _SETTINGS = {"strategy": zstandard.STRATEGY_GREEDY, "window_log": 18, "hash_log": 15, "chain_log": 15, "search_log": 3, "min_match": 5}
 
@@ -52,6 +53,25 @@ def _grams(text: bytes) -> np.ndarray:
     return sum(data[i : i + n] << (8 * i) for i in range(GRAM)) if n > 0 else np.zeros(0, np.int64)
 
 
+def unlike(texts: list[bytes], span: int = 24, most: float = 0.2) -> list[bytes]:
+    """The texts without those of which more than a share stands in earlier ones, by pieces of span bytes.
+
+    A group of near copies would make everything in it look typical of its label.
+    """
+    power = np.multiply.accumulate(np.full(span, 0x9E3779B97F4A7C15, np.uint64))
+    seen: set[int] = set()
+    out = []
+    for text in texts:
+        data = np.frombuffer(text, np.uint8).astype(np.uint64)
+        n = max(0, len(data) - span + 1)
+        pieces = sum((data[i : i + n] * power[i] for i in range(span)), np.zeros(n, np.uint64)) >> np.uint64(8)
+        some = set(pieces[pieces % np.uint64(4) == 0].tolist())
+        if len(some & seen) <= most * len(some):
+            seen |= some
+            out.append(text)
+    return out
+
+
 def contrasting(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
     """From each toxic text the pieces that ordinary texts hardly have, where it has any."""
     def tally(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -78,10 +98,10 @@ def contrasting(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
     return out
 
 
-def _dictionary(size: int, samples: list[bytes]) -> bytes:
+def _dictionary(size: int, samples: list[bytes], **segments: int) -> bytes:
     """Content of a dictionary trained on the samples; for too few of them their own end."""
     try:
-        return zstandard.train_dictionary(size, samples).as_bytes()
+        return zstandard.train_dictionary(size, samples, **segments).as_bytes()
     except zstandard.ZstdError:
         return b"".join(samples)[-size:]
 
@@ -147,9 +167,9 @@ def fit(rows: list[tuple[int, bytes]], share: float) -> Model:
     rows = list(dict.fromkeys((label, text.lower()) for label, text in rows))
     learn, check = rows[0::2], rows[1::2]
     toxic, ordinary = ([t for label, t in learn if label == k] for k in (1, 0))
-    own = _dictionary(OWN_BYTES, contrasting(toxic, ordinary))
+    own = _dictionary(OWN_BYTES, contrasting(unlike(toxic), ordinary), **SEGMENTS)
     background = _dictionary(BACKGROUND_BYTES, ordinary)
-    model = Model(background + own, _dictionary(OWN_BYTES, ordinary[::3]) + background, np.zeros(2 * SPAN + 1), np.zeros(4))
+    model = Model(background + own, _dictionary(OWN_BYTES, ordinary[::3], **SEGMENTS) + background, np.zeros(2 * SPAN + 1), np.zeros(4))
     y = np.array([label for label, _ in check])
     if not 0 < y.sum() < len(y):
         p = min(max(share, 1e-6), 1 - 1e-6)
