@@ -159,28 +159,35 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return out
 
 
+def _dictionaries(rows: list[tuple[int, bytes]]) -> tuple[bytes, bytes]:
+    """The toxic and the ordinary dictionary of (label, text) rows, each with the background."""
+    toxic, ordinary = ([t for label, t in rows if label == k] for k in (1, 0))
+    own = _dictionary(OWN_BYTES, contrasting(unlike(toxic), ordinary), **SEGMENTS)
+    background = _dictionary(BACKGROUND_BYTES, ordinary)
+    return background + own, _dictionary(OWN_BYTES, ordinary[::3], **SEGMENTS) + background
+
+
 def fit(rows: list[tuple[int, bytes]], share: float) -> Model:
-    """A model from (label, excerpt) rows; half of them make the dictionaries, half calibrate.
+    """A model from (label, excerpt) rows.
 
-    share: of toxic documents among all labelled ones, to which the score is calibrated.
+    Dictionaries of one half of the rows are used to calibrate on the other half, whose
+    texts they have not seen; those of the model come from all rows. share: of toxic
+    documents among all labelled ones, to which the score is calibrated.
     """
     rows = list(dict.fromkeys((label, text.lower()) for label, text in rows))
-    learn, check = rows[0::2], rows[1::2]
-    toxic, ordinary = ([t for label, t in learn if label == k] for k in (1, 0))
-    own = _dictionary(OWN_BYTES, contrasting(unlike(toxic), ordinary), **SEGMENTS)
-    background = _dictionary(BACKGROUND_BYTES, ordinary)
-    model = Model(background + own, _dictionary(OWN_BYTES, ordinary[::3], **SEGMENTS) + background, np.zeros(2 * SPAN + 1), np.zeros(4))
+    check = rows[1::2]
+    model = Model(*_dictionaries(rows), np.zeros(2 * SPAN + 1), np.zeros(4))
     y = np.array([label for label, _ in check])
+    p = min(max(share, 1e-6), 1 - 1e-6)
     if not 0 < y.sum() < len(y):
-        p = min(max(share, 1e-6), 1 - 1e-6)
         model.coefficients[0] = np.log(p / (1 - p))
         return model
-    pair = Pair(model.toxic, model.ordinary)
+    pair = Pair(*_dictionaries(rows[0::2]))
     found = [pair.evidence(t) for _, t in check]
     kinds = [np.bincount(np.concatenate([f for f, k in zip(found, y, strict=True) if k == v]), minlength=2 * SPAN + 1) + 0.5 for v in (1, 0)]
     model.weights = np.log(kinds[0] / kinds[0].sum()) - np.log(kinds[1] / kinds[1].sum())
     model.coefficients = _logistic(np.stack([model.features(f) for f in found]), y)
-    p, q = min(max(share, 1e-6), 1 - 1e-6), y.mean()
+    q = y.mean()
     model.coefficients[0] += np.log(p / (1 - p)) - np.log(q / (1 - q))
     return model
 
