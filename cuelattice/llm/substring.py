@@ -119,8 +119,8 @@ def _unpack(blob: bytes, *kinds: type) -> list[np.ndarray]:
     return out
 
 
-def _later(h: np.ndarray, anchor: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which windows have an equal one with a smaller doc, and which stand first for their words."""
+def _later(h: np.ndarray, anchor: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Which windows have an equal one with a smaller doc."""
     key = mix64(h + mix64(anchor))
     order = np.argsort(key, kind="stable")
     fresh = np.r_[True, key[order][1:] != key[order][:-1]]
@@ -131,11 +131,15 @@ def _later(h: np.ndarray, anchor: np.ndarray, doc: np.ndarray) -> tuple[np.ndarr
     head = np.flatnonzero(fresh)
     size = np.diff(np.r_[head, len(order)])
     least = np.repeat(np.minimum.reduceat(doc[order], head), size)
-    later, first = np.zeros(len(h), bool), np.zeros(len(h), bool)
+    later = np.zeros(len(h), bool)
     later[order] = least < doc[order]
-    place = np.where(doc[order] == least, np.arange(len(order)), len(order))
-    first[order[np.minimum.reduceat(place, head)]] = True
-    return later, first
+    return later
+
+
+def _once(at: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Indexes of the windows without those that repeat a row and a place: a row stands for its doc_id and text."""
+    order = np.lexsort((at, row))
+    return order[np.r_[True, (at[order][1:] != at[order][:-1]) | (row[order][1:] != row[order][:-1])]]
 
 
 def _runs(at: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -150,8 +154,9 @@ def _candidates(bits, buckets: int) -> Callable:  # bits: a broadcast variable
     """Windows that may be repeated, summed up within a task.
 
     Of equal windows in a task, those with a larger doc_id are removed for certain and
-    leave as runs; one with the smallest doc_id goes on to be compared across tasks, so a
-    window that a third of all documents hold makes one entry for each task.
+    leave as runs; all those with the smallest doc_id go on to be compared across tasks, each
+    place in each of its rows, as another task may have a smaller one yet. A window that a
+    third of all documents hold makes for each task as many entries as one document has it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,7 +173,7 @@ def _candidates(bits, buckets: int) -> Callable:  # bits: a broadcast variable
         def flush() -> Iterator[pa.RecordBatch]:
             h, anchor, doc, row, at, share = map(np.concatenate, zip(*held, strict=True))
             held.clear()
-            later, first = _later(h, anchor, doc)
+            later = _later(h, anchor, doc)
             out: list[tuple[int, bytes]] = []
             if later.any():
                 name, start, n = _runs(at[later], row[later])
@@ -176,7 +181,9 @@ def _candidates(bits, buckets: int) -> Callable:  # bits: a broadcast variable
                 for b in np.unique(place):
                     m = place == b
                     out.append((int(b), b"R" + _pack(row=name[m], start=start[m].astype(np.int32), n=n[m].astype(np.int32))))
-            h, anchor, doc, row, at, share = (x[first] for x in (h, anchor, doc, row, at, share))
+            h, anchor, doc, row, at, share = (x[~later] for x in (h, anchor, doc, row, at, share))
+            once = _once(at, row)
+            h, anchor, doc, row, at, share = (x[once] for x in (h, anchor, doc, row, at, share))
             place = (mix64(anchor + share * _SALT[0]) % _U(buckets)).astype(np.int32)
             order = np.argsort(place, kind="stable")
             cut = np.searchsorted(place[order], np.arange(buckets + 1))
@@ -216,7 +223,7 @@ def _group(table: pa.Table) -> pa.Table:
             windows.append(_unpack(blob[1:], np.uint64, np.uint64, np.int64, np.int64, np.int32))
     if windows:
         h, anchor, doc, row, at = map(np.concatenate, zip(*windows, strict=True))
-        later, _ = _later(h, anchor, doc)
+        later = _later(h, anchor, doc)
         if later.any():
             runs.append([x.astype(k) for x, k in zip(_runs(at[later], row[later]), (np.int64, np.int32, np.int32), strict=True)])
     cols = [np.concatenate(x) for x in zip(*runs, strict=True)] if runs else [np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)]

@@ -154,3 +154,16 @@ def test_anchors_are_those_of_equal_windows():
     found = WORD.findall(b" ".join(texts).decode())
     for s, a in zip(start.tolist(), zip(anchor.tolist(), offset.tolist(), strict=True), strict=True):
         assert by.setdefault(tuple(found[s : s + 50]), a) == a
+
+
+def cut_by_operator(docs):
+    return sorted((str(r.doc_id), r.n_words, r.n_removed, hashlib.sha256(r.kept_text.encode()).hexdigest()) for r in substring.substring_dedup(docs).collect())
+
+
+def test_a_passage_that_a_document_repeats_goes_at_every_place(spark):
+    passage = " ".join(f"p{i}" for i in range(60))
+    own = " ".join(f"x{i}" for i in range(60))
+    rows = [(1, passage), (2, f"{passage} {own} {passage}"), (2, f"{own} y {passage}")]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize([rows[:1], rows[1:]], 2).flatMap(lambda x: x), "doc_id long, text string")
+    assert cut_by_operator(docs) == cut(rows)
+    assert sorted(r[2] for r in cut(rows)) == [0, 60, 120]
