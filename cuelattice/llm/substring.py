@@ -78,9 +78,9 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             _, start, anchor, _ = _anchors(scan)
             if not len(anchor):
                 continue
-            fresh = np.r_[True, anchor[1:] != anchor[:-1]]
-            doc = np.searchsorted(scan.ptr, start[fresh], "right")
-            anchor = anchor[fresh]
+            doc = np.searchsorted(scan.ptr, start, "right")
+            fresh = np.r_[True, (doc[1:] != doc[:-1]) | (anchor[1:] != anchor[:-1])]
+            doc, anchor = doc[fresh], anchor[fresh]
             order = np.lexsort((anchor, doc))
             doc, anchor = doc[order], anchor[order]
             held.append(anchor[np.r_[True, (doc[1:] != doc[:-1]) | (anchor[1:] != anchor[:-1])]])

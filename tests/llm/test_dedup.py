@@ -167,3 +167,11 @@ def test_a_passage_that_a_document_repeats_goes_at_every_place(spark):
     docs = spark.createDataFrame(spark.sparkContext.parallelize([rows[:1], rows[1:]], 2).flatMap(lambda x: x), "doc_id long, text string")
     assert cut_by_operator(docs) == cut(rows)
     assert sorted(r[2] for r in cut(rows)) == [0, 60, 120]
+
+
+def test_neighbours_with_one_anchor_are_both_counted(spark):
+    passage = " ".join(f"n{i}" for i in range(50))
+    rows = [(1, passage), (2, passage), (3, " ".join(f"m{i}" for i in range(50)))]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 1), "doc_id long, text string")
+    assert cut_by_operator(docs) == cut(rows)
+    assert sorted(r[2] for r in cut(rows)) == [0, 0, 50]
