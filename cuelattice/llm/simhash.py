@@ -179,22 +179,20 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch):
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fingerprints(texts_of(part)).view(np.int64))], names=["doc_id", "fp"])
+            prints = pa.array(fingerprints(texts_of(part)).view(np.int64))
+            yield pa.RecordBatch.from_arrays([part.column(0), prints, *part.columns[2:]], names=["doc_id", "fp", *part.schema.names[2:]])
 
 
-def simhash_components(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id of every document.
+def _labelled(docs: DataFrame, others: list[str], node: str) -> DataFrame:
+    """doc_id, fp, component_id and the other columns (long) of every document.
 
-    component_id is the smallest doc_id reachable over links of two bits or fewer. A null
-    or wordless text has fingerprint zero and links like any other. Repeated rows keep a
-    row each; a null doc_id gets its fingerprint and the component its fingerprint is in.
-    Extra columns are ignored; an empty table gives no rows. Only distinct fingerprints
-    are searched, each with the smallest doc_id that has it, so that copies cost nothing.
+    node: doc_id or fp, whose smallest value names a fingerprint, and a component.
     """
     spark = docs.sparkSession
     prepare(spark)
-    prints = docs.select("doc_id", "text").mapInArrow(_fingerprint_batches, "doc_id long, fp long").checkpoint()
-    reps = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
+    kind = "doc_id long, fp long" + "".join(f", {c} long" for c in others)
+    prints = docs.select("doc_id", "text", *others).mapInArrow(_fingerprint_batches, kind).checkpoint()
+    reps = prints.groupBy("fp").agg(F.min(node).alias("rep"))
     keyed = reps.where("rep IS NOT NULL").select(
         F.explode(F.array(*[F.struct(F.lit(i).alias("part"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(MASKS)])).alias("k"), "fp", "rep"
     )
@@ -203,10 +201,29 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     links = keyed.repartition(parts, "part", "key").sortWithinPartitions("part", "key").mapInArrow(_stars, "u long, v long")
     component = connected_components(links).withColumnRenamed("id", "rep")
     named = reps.join(component, "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(named, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return prints.join(named, "fp", "left")
+
+
+def simhash_components(docs: DataFrame) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits) and component_id of every document.
+
+    component_id is the smallest doc_id reachable over links of two bits or fewer. A null
+    or wordless text has fingerprint zero and links like any other. Repeated rows keep a
+    row each; a null doc_id gets its fingerprint and the component its fingerprint is in.
+    Extra columns are ignored; an empty table gives no rows. Only distinct fingerprints
+    are searched, each with the smallest doc_id that has it, so that copies cost nothing.
+    """
+    return _labelled(docs, [], "doc_id").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The documents without those that have a near copy with a smaller doc_id in their component."""
-    drop = simhash_components(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(drop, "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(docs.columns)
+    """One row of each component: that with the smallest doc_id, a null one last, and of several the smallest hash.
+
+    Rows are told apart by doc_id and text, and components are those of the fingerprints, so
+    that rows of one doc_id, or without any, go only if their own component has another row.
+    """
+    others = {"_one": F.coalesce("doc_id", F.xxhash64(F.lit(1), "text")), "_two": F.xxhash64("doc_id", "text")}
+    keyed = docs.withColumns(others)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", *others)).alias("k")
+    kept = _labelled(keyed, list(others), "fp").groupBy("component_id").agg(first).select(*[f"k.{c}" for c in others])
+    return keyed.join(kept, list(others), "left_semi").dropDuplicates(list(others)).select(docs.columns)

@@ -85,6 +85,14 @@ def test_simhash_keeps_one_of_each_group(docs, rows):
     assert sorted(i for i in kept if i is not None) == sorted({c for i, c in found.items() if i is not None})
 
 
+def test_simhash_keeps_rows_that_share_an_id_or_have_none(spark):
+    a, b, c, d = (" ".join(f"{k}{i}" for i in range(40)) for k in "abcd")
+    rows = [(5, f"{a} {b}"), (5, f"{b} {c} {d}"), (None, a), (None, b), (None, b), (None, c), (1, c), (2, c), (2, d), (3, None), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((str(r.doc_id), str(r.text)) for r in simhash.keep_first(docs).collect())
+    assert got == sorted((str(i), str(t)) for i, t in [*rows[:2], (None, a), (None, b), (1, c), (2, d), (3, None)])
+
+
 def test_gray_index_agrees_with_all_pairs():
     rng = np.random.default_rng(0)
     base = rng.integers(0, 2**63, 30, dtype=np.uint64)
