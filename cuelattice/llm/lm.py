@@ -2,7 +2,9 @@
 
 All n-grams of the training documents are counted exactly, in buckets by hash. Each bucket
 turns its counts c into levels 1 + floor(log2 c) and enters (n-gram, 1) to (n-gram, level)
-in its own segment of one Bloom filter; the segments together are broadcast. A scorer asks
+in its own segment of one Bloom filter; the segments together are broadcast. Levels that do
+not fit there go to a filter of their own, sized by their entries, that stays with its
+bucket: what the broadcast filter lacks is asked of it by a shuffle. A scorer asks
 for (n-gram, 1), (n-gram, 2) and so on until one is missing, and takes the mean count of
 the level reached. Trigrams fall back on bigrams and these on words. Beside that score
 stands an exact add-one word model, whose counts are broadcast for frequent words and
@@ -16,6 +18,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +30,7 @@ FILTER_BITS = 1 << 29  # of the filter that is broadcast: 64 MB
 BITS_PER_ENTRY, PROBES = 10, 5  # bits of the filter for each entry, and bits that an entry sets
 HEAD_WORDS = 1 << 20  # words at most whose counts are broadcast
 HELD = 3 << 19  # tokens that a task gathers before it counts them
+CHUNK_BYTES = 1 << 23  # of texts that ask for their n-grams at once
 BACK_OFF = (2000.0, 300.0)  # weight of the words against a bigram's history, and of the bigrams against a trigram's
 FOLLOWING = 2.0  # the latter where the token before ended a known trigram, as within a passage met before
 _U = np.uint64
@@ -169,11 +173,24 @@ def _entries(keys: np.ndarray, level: int, words: int) -> tuple[np.ndarray, np.n
     return ((g >> _U(32)) & _U(words - 1)).astype(np.int64), bits
 
 
+def _levels(bits: np.ndarray, base: np.ndarray, keys: np.ndarray, words: int) -> np.ndarray:
+    """The level of each key in the segment of some words at base: probes for 1, 2, ... until one fails."""
+    out, left = np.zeros(len(keys), np.int64), np.arange(len(keys))
+    for j in range(1, 64):
+        place, want = _entries(keys[left], j, words)
+        left = left[bits[base[left] + place] & want == want]
+        if not len(left):
+            break
+        out[left] = j
+    return out
+
+
 def _segment(words: int) -> Callable:
     """From all blobs of a bucket its segment of the filter, and its words with their counts.
 
     A segment holds a bounded number of entries. Single words come first; of pairs and
-    triples those from the lowest level on with which all of a level fit.
+    triples those from the lowest level on with which all of a level fit. least has these
+    levels, 0 if all fit; rest is the filter of the lower ones.
     """
 
     def run(table: pa.Table) -> pa.Table:
@@ -189,15 +206,22 @@ def _segment(words: int) -> Callable:
             parts.append((key, level_of(c)))
         room = words * 64 // BITS_PER_ENTRY
         segment = np.zeros(words, np.uint64)
+        lower, bounds = [], []
         for group in (parts[:2], parts[2:]):
             key, level = (np.concatenate(x) for x in zip(*group, strict=True))
             by_level = np.bincount(level, minlength=2)
             need = np.cumsum((by_level * np.arange(len(by_level)))[::-1])[::-1]
             least = int(np.argmax(np.r_[need, 0] <= room))
+            lower.append((key[level < least], level[level < least]))
+            bounds.append(least)
             key, level = key[level >= max(1, least)], level[level >= max(1, least)]
             room -= int(level.sum())
             for j in range(1, int(level.max(initial=0)) + 1):
                 np.bitwise_or.at(segment, *_entries(key[level >= j], j, words))
+        key, level = (np.concatenate(x) for x in zip(*lower, strict=True))
+        rest = np.zeros(1 << max(3, (-(-int(level.sum()) * BITS_PER_ENTRY // 64) - 1).bit_length()) if len(key) else 0, np.uint64)
+        for j in range(1, int(level.max(initial=0)) + 1):
+            np.bitwise_or.at(rest, *_entries(key[level >= j], j, len(rest)))
         return pa.table(
             {
                 "bucket": table.column("bucket")[:1],
@@ -207,6 +231,8 @@ def _segment(words: int) -> Callable:
                 "distinct": pa.array([len(w)], pa.int64()),
                 "coarse": pa.array([float(count_of(level_of(n)).sum())], pa.float64()),
                 "sizes": pa.array([np.bincount(level_of(n), minlength=64).tolist()], pa.list_(pa.int64())),
+                "rest": pa.array([rest.tobytes()], pa.binary()),
+                "least": pa.array([bounds], pa.list_(pa.int32())),
             }
         )
 
@@ -229,51 +255,63 @@ def _words(least: int, most: int | None) -> Callable:
 class Model:
     """The filter, the frequent words and the totals, as a worker reads them."""
 
-    def __init__(self, bits: bytearray, buckets: int, words: int, head: tuple[np.ndarray, np.ndarray], total: int, distinct: int, coarse: float) -> None:
-        self.bits, self.buckets, self.words, self.head = bits, buckets, words, head
+    def __init__(self, bits: bytearray, least: np.ndarray, buckets: int, words: int, head: tuple[np.ndarray, np.ndarray], total: int, distinct: int, coarse: float) -> None:
+        self.bits, self.least, self.buckets, self.words, self.head = bits, least, buckets, words, head
         self.total, self.distinct, self.coarse = total, distinct, coarse
 
+    def bucket(self, keys: np.ndarray) -> np.ndarray:
+        return (keys >> _U(_KEY_BITS - self.buckets.bit_length() + 1)).astype(np.int64)
+
     def level(self, keys: np.ndarray) -> np.ndarray:
-        """The level that the filter has for each key: probes for 1, 2, ... until one fails."""
-        bits = np.frombuffer(self.bits, np.uint64)
-        out = np.zeros(len(keys), np.int64)
-        left, shift = np.arange(len(keys)), _KEY_BITS - self.buckets.bit_length() + 1
-        base = (keys >> _U(shift)).astype(np.int64) * self.words
-        for j in range(1, 64):
-            place, want = _entries(keys[left], j, self.words)
-            left = left[bits[base[left] + place] & want == want]
-            if not len(left):
-                break
-            out[left] = j
-        return out
-
-    def count(self, keys: np.ndarray) -> np.ndarray:
-        return count_of(self.level(keys))
-
-    def log10(self, w: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """The level that the filter has for each key."""
+        return _levels(np.frombuffer(self.bits, np.uint64), self.bucket(keys) * self.words, keys, self.words)
+
+    def count(self, keys: np.ndarray, group: int, rest: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+        """Mean counts of words (group 0) or of pairs and triples (group 1).
+
+        rest: the keys that missing() named, sorted, and their levels outside the filter.
+        """
+        level = self.level(keys)
+        if rest is not None:
+            m = level < self.least[self.bucket(keys), group]
+            level[m] = rest[1][np.searchsorted(rest[0], keys[m])]
+        return count_of(level)
+
+    def missing(self, w: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """The keys of a text's n-grams that the filter does not settle, sorted."""
+        out = []
+        start = np.array([_START])
+        for group, keys in ((0, word_key(np.r_[w, start])), (0, pair_key(start, start)), (1, pair_key(one, w)), (1, triple_key(two, one, w))):
+            keys = np.unique(keys)
+            least = self.least[self.bucket(keys), group]
+            keys, least = keys[least > 0], least[least > 0]
+            out.append(keys[self.level(keys) < least])
+        return np.unique(np.concatenate(out))
+
+    def log10(self, w: np.ndarray, one: np.ndarray, two: np.ndarray, rest: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
         """log10 of the smoothed probability of each token after the two before it."""
         plain, place = np.unique(np.concatenate([w, [_START]]), return_inverse=True)
-        c = self.count(word_key(plain))
+        c = self.count(word_key(plain), 0, rest)
         p = ((c + 1) / (self.coarse + self.distinct + 1))[place[:-1]]
         history = c[np.searchsorted(plain, one)]
         pair = np.zeros(len(w))
         known = c[place[:-1]] > 0
-        pair[known] = self.count(pair_key(one[known], w[known]))
+        pair[known] = self.count(pair_key(one[known], w[known]), 1, rest)
         p = (np.minimum(pair, history) + BACK_OFF[0] * p) / (history + BACK_OFF[0])
         before = np.empty_like(pair)
         before[1:] = pair[:-1]
         start = (two == _START) & (one == _START)
-        before[start] = self.count(pair_key(two[start][:1], one[start][:1]))[0] if start.any() else 0
+        before[start] = self.count(pair_key(two[start][:1], one[start][:1]), 0, rest)[0] if start.any() else 0
         triple = np.zeros(len(w))
         seen = (pair > 0) & (before > 0)
-        triple[seen] = self.count(triple_key(two[seen], one[seen], w[seen]))
+        triple[seen] = self.count(triple_key(two[seen], one[seen], w[seen]), 1, rest)
         follows = np.r_[False, triple[:-1] > 0] & ~start
         weight = np.where(follows, FOLLOWING, BACK_OFF[1])
         return np.log10((np.minimum(triple, before) + weight * p) / (before + weight))
 
 
-def train(docs: DataFrame) -> tuple[Model, DataFrame]:
-    """A model of all texts of docs, and the counts (word, c) of words that its head leaves out.
+def train(docs: DataFrame) -> tuple[Model, DataFrame, DataFrame]:
+    """A model of all texts of docs, the counts (word, c) of words that its head leaves out, and the filters (bucket, rest) of what its filter leaves out.
 
     The driver gets the filter (FILTER_BITS at most, at any size of the input), HEAD_WORDS
     counts at most, and totals.
@@ -284,7 +322,7 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
     words = max(8, FILTER_BITS // 64 // buckets)
     shift = _KEY_BITS - (buckets.bit_length() - 1)
     blobs = docs.select("text").mapInArrow(_count(shift), "bucket int, blob binary")
-    kind = "bucket int, segment binary, words binary, total long, distinct long, coarse double, sizes array<long>"
+    kind = "bucket int, segment binary, words binary, total long, distinct long, coarse double, sizes array<long>, rest binary, least array<int>"
     made = blobs.groupBy("bucket").applyInArrow(_segment(words), kind).checkpoint()
     sums = made.agg(F.sum("total").alias("n"), F.sum("distinct").alias("v"), F.sum("coarse").alias("coarse")).first()
     sizes = {r["level"]: r["n"] for r in made.select(F.posexplode("sizes").alias("level", "n")).groupBy("level").agg(F.sum("n").alias("n")).collect()}
@@ -297,43 +335,113 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
     word, c = (head.column(i).to_numpy() for i in range(2))
     order = np.argsort(word.view(np.uint64))
     bits = bytearray(buckets * words * 8)
-    for r in made.select("bucket", "segment").toLocalIterator():  # a partition at a time, so that the driver holds the filter once
+    bounds = np.zeros((buckets, 2), np.int32)
+    for r in made.select("bucket", "segment", "least").toLocalIterator():  # a partition at a time, so that the driver holds the filter once
         bits[r["bucket"] * words * 8 : (r["bucket"] + 1) * words * 8] = r["segment"]
-    model = Model(bits, buckets, words, (word.view(np.uint64)[order], c[order]), sums["n"] or 0, sums["v"] or 0, sums["coarse"] or 0.0)
-    return model, made.select("words").mapInArrow(_words(0, cut), "word long, c long")
+        bounds[r["bucket"]] = r["least"]
+    model = Model(bits, bounds, buckets, words, (word.view(np.uint64)[order], c[order]), sums["n"] or 0, sums["v"] or 0, sums["coarse"] or 0.0)
+    return model, made.select("words").mapInArrow(_words(0, cut), "word long, c long"), made.where("length(rest) > 0").select("bucket", "rest")
 
 
 _SCORED = "doc_id long, row long, n_tokens long, n_known long, base_score double, score double, rest array<long>"
 
 
+def _scored(model: Model, part: pa.RecordBatch, rest: tuple[np.ndarray, np.ndarray] | None = None) -> pa.RecordBatch:
+    word, c = model.head
+    unit = np.log10(model.total + model.distinct + 1)
+    w, one, two, ptr = tokens(texts_of(part))
+    plain, place = np.unique(w, return_inverse=True)
+    at = np.minimum(np.searchsorted(word, plain), max(len(word) - 1, 0))
+    known = word[at] == plain if len(word) else np.zeros(len(plain), bool)
+    gain = np.where(known, np.log10(c[at] + 1.0) if len(word) else 0.0, 0.0)[place]
+    known = known[place]
+    n = np.diff(ptr)
+    unseen = np.add.reduceat(~known, ptr[:-1], dtype=np.int64)
+    missed = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(unseen)], pa.int32()), pa.array(w[~known].view(np.int64)))
+    return pa.RecordBatch.from_arrays(
+        [
+            part.column(0),
+            part.column(1),
+            pa.array(n),
+            pa.array(n - unseen),
+            pa.array(np.add.reduceat(gain, ptr[:-1]) - n * unit),
+            pa.array(np.add.reduceat(model.log10(w, one, two, rest), ptr[:-1])),
+            missed,
+        ],
+        names=["doc_id", "row", "n_tokens", "n_known", "base_score", "score", "rest"],
+    )
+
+
 def _score(shared) -> Callable:  # shared: a broadcast model
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                yield _scored(shared.value, part)
+
+    return run
+
+
+def _missing(model: Model, parts: list[pa.RecordBatch]) -> np.ndarray:
+    return np.unique(np.concatenate([model.missing(*tokens(texts_of(p))[:3]) for p in parts]))
+
+
+def _ask(shared) -> Callable:  # shared: a broadcast model
+    """Texts in chunks (bucket -1), and for each bucket the keys of a chunk that the filter does not settle."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
-        word, c = model.head
-        unit = np.log10(model.total + model.distinct + 1)
+        held: list[pa.RecordBatch] = []
+        chunk, size = TaskContext.get().partitionId() << 32, 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal chunk, size
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as to:
+                for part in held:
+                    to.write_batch(part)
+            out = [(-1, sink.getvalue().to_pybytes())]
+            keys = _missing(model, held)
+            place = model.bucket(keys)
+            cut = np.flatnonzero(np.r_[True, place[1:] != place[:-1], True]) if len(keys) else []
+            out.extend((int(place[a]), _pack_keys(keys[a:b], np.zeros(b - a, np.uint32))) for a, b in zip(cut[:-1], cut[1:], strict=True))
+            ids = pa.array([chunk] * len(out), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int32()), ids, pa.array([x for _, x in out], pa.binary())], names=["bucket", "chunk", "blob"])
+            held.clear()
+            chunk, size = chunk + 1, 0
+
         for batch in batches:
             for part in slices(batch):
-                w, one, two, ptr = tokens(texts_of(part))
-                plain, place = np.unique(w, return_inverse=True)
-                at = np.minimum(np.searchsorted(word, plain), max(len(word) - 1, 0))
-                known = word[at] == plain if len(word) else np.zeros(len(plain), bool)
-                gain = np.where(known, np.log10(c[at] + 1.0) if len(word) else 0.0, 0.0)[place]
-                known = known[place]
-                n = np.diff(ptr)
-                rest = np.add.reduceat(~known, ptr[:-1], dtype=np.int64)
-                missed = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(rest)], pa.int32()), pa.array(w[~known].view(np.int64)))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0),
-                        part.column(1),
-                        pa.array(n),
-                        pa.array(n - rest),
-                        pa.array(np.add.reduceat(gain, ptr[:-1]) - n * unit),
-                        pa.array(np.add.reduceat(model.log10(w, one, two), ptr[:-1])),
-                        missed,
-                    ],
-                    names=["doc_id", "row", "n_tokens", "n_known", "base_score", "score", "rest"],
-                )
+                held.append(part)
+                size += part.nbytes
+                if size >= CHUNK_BYTES:
+                    yield from flush()
+        if held:
+            yield from flush()
+
+    return run
+
+
+def _answer(table: pa.Table) -> pa.Table:
+    """The levels of all keys that were asked of a bucket; the blob without a chunk is its filter."""
+    chunks, blobs = (table.column(c).to_pylist() for c in ("chunk", "blob"))
+    bits = np.frombuffer(blobs[chunks.index(None)], np.uint64)
+    asked = [(c, _unpack_keys(x)[0]) for c, x in zip(chunks, blobs, strict=True) if c is not None]
+    out = [_pack(_levels(bits, np.zeros(len(k), np.int64), k, len(bits)).astype(np.uint8)) for _, k in asked]
+    bucket = pa.array([table.column("bucket")[0].as_py()] * len(out), pa.int32())
+    return pa.table({"bucket": bucket, "chunk": pa.array([c for c, _ in asked], pa.int64()), "blob": pa.array(out, pa.binary())})
+
+
+def _score_chunk(shared) -> Callable:  # shared: a broadcast model
+    """Scores of a chunk from its texts and the answers of all buckets."""
+
+    def run(table: pa.Table) -> pa.Table:
+        model: Model = shared.value
+        found = dict(zip(table.column("bucket").to_pylist(), table.column("blob").to_pylist(), strict=True))
+        parts = list(pa.ipc.open_stream(found.pop(-1)))
+        levels = [_unpack(found[b], np.uint8)[0] for b in sorted(found)]
+        rest = (_missing(model, parts), np.concatenate(levels).astype(np.int64) if levels else np.zeros(0, np.int64))
+        assert len(rest[0]) == len(rest[1])
+        return pa.Table.from_batches([_scored(model, p, rest) for p in parts])
 
     return run
 
@@ -348,10 +456,17 @@ def score_documents(docs: DataFrame, folds: int = FOLDS, fold: int = FOLD) -> Da
     """
     prepare(docs.sparkSession)
     rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
-    model, tail = train(docs.where(~held_out("doc_id", folds, fold)))
-    shared, total = docs.sparkSession.sparkContext.broadcast(model), model.total
+    model, tail, rest = train(docs.where(~held_out("doc_id", folds, fold)))
+    shared, total, whole = docs.sparkSession.sparkContext.broadcast(model), model.total, not model.least.any()
     del model  # the workers have it now; the driver need not hold it any longer
-    scored = rows.mapInArrow(_score(shared), _SCORED).checkpoint()
+    if whole:
+        scored = rows.mapInArrow(_score(shared), _SCORED).checkpoint()
+    else:
+        kind = "bucket int, chunk long, blob binary"
+        sent = rows.mapInArrow(_ask(shared), kind).checkpoint()  # the chunks are those that the keys were taken from
+        asked = sent.where("bucket >= 0").unionByName(rest.select("bucket", F.lit(None).cast("long").alias("chunk"), F.col("rest").alias("blob")))
+        answers = asked.groupBy("bucket").applyInArrow(_answer, kind)
+        scored = sent.where("bucket < 0").unionByName(answers).groupBy("chunk").applyInArrow(_score_chunk(shared), _SCORED).checkpoint()
     rest = scored.dropDuplicates(["row"]).select("row", F.explode("rest").alias("word"))
     rest = rest.join(tail, "word", "left").groupBy("row").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + 1.0)).alias("gain"), F.count("c").alias("more"))
     out = scored.drop("rest").join(rest, "row", "left")

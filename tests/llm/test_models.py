@@ -74,6 +74,19 @@ def test_lm_full_filter_drops_rare_ngrams_first(spark, monkeypatch):
     assert (model.level(lm.pair_key(one, w)) >= 7).mean() > 0.5
 
 
+def test_lm_full_filter_scores_as_a_large_one(docs, monkeypatch):
+    def scores():
+        return sorted((str(r.doc_id), r.n_tokens, r.n_known, round(r.base_score, 6), r.score) for r in lm.score_documents(docs).collect())
+
+    monkeypatch.setattr(lm, "BITS_PER_ENTRY", 200)  # hardly any false positives
+    whole = scores()
+    monkeypatch.setattr(lm, "FILTER_BITS", 64 * 64 * 8)
+    monkeypatch.setattr(lm, "CHUNK_BYTES", 20_000, raising=False)
+    got = scores()
+    assert [r[:4] for r in got] == [r[:4] for r in whole]
+    assert [r[4] for r in got] == pytest.approx([r[4] for r in whole])
+
+
 def test_lm_scores_held_out_text_better_than_the_base(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     r = lm.score_documents(docs).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b"), F.avg((F.col("score") > F.col("base_score")).cast("int")).alias("share")).first()
