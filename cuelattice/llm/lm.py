@@ -1,19 +1,21 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-All n-grams of the training documents are counted exactly, in buckets by hash. Each bucket
-turns its counts c into levels 1 + floor(log2 c) and enters (n-gram, 1) to (n-gram, level)
-in its own segment of one Bloom filter; the segments together are broadcast. Levels that do
-not fit there go to a filter of their own, sized by their entries, that stays with its
-bucket: what the broadcast filter lacks is asked of it by a shuffle. A scorer asks
-for (n-gram, 1), (n-gram, 2) and so on until one is missing, and takes the mean count of
-the level reached. Trigrams fall back on bigrams and these on words. Beside that score
-stands an exact add-one word model, whose counts are broadcast for frequent words and
-joined for the others.
+Texts are packed into chunks. A chunk asks for its words, pairs and triples, each once and
+with the number of times it occurs in training text, and sends them to buckets by hash. So
+a bucket gets all there is to know of its n-grams: it adds up their counts, turns a count c
+into the level 1 + floor(log2 c) and enters (n-gram, 1) to (n-gram, level) in its shard of
+the Bloom filter. Every n-gram that a chunk asked for is then probed with 1, 2 and so on
+until one probe fails; the levels reached go back to the chunk, whose texts are scored by
+the mean counts of these levels. Triples fall back on pairs and these on words. The shards
+grow with the corpus, about BITS_PER_ENTRY bits for each level of each n-gram, and nothing
+is left out of them; what is broadcast to all workers are three totals. Beside that score
+stands an exact add-one word model.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -23,14 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cuelattice.llm.common import held_out, prepare
-from cuelattice.llm.textscan import Scan, mix64, slices, texts_of
+from cuelattice.llm.textscan import SLICE_BYTES, Scan, mix64, slices, texts_of
 
 FOLDS, FOLD = 7, 2
-FILTER_BITS = 1 << 29  # of the filter that is broadcast: 64 MB
-BITS_PER_ENTRY, PROBES = 10, 5  # bits of the filter for each entry, and bits that an entry sets
-HEAD_WORDS = 1 << 20  # words at most whose counts are broadcast
-HELD = 3 << 19  # tokens that a task gathers before it counts them
-CHUNK_BYTES = 1 << 23  # of texts that ask for their n-grams at once
+BITS_PER_ENTRY, PROBES = 10, 5  # bits of the filter for each entry at least, and bits that an entry sets
+CHUNK_BYTES = 8 << 20  # of text that asks for its n-grams at once
+BUCKET_BYTES = 8 << 20  # of text for each bucket of n-grams, between this and half of it
 BACK_OFF = (2000.0, 300.0)  # weight of the words against a bigram's history, and of the bigrams against a trigram's
 FOLLOWING = 2.0  # the latter where the token before ended a known trigram, as within a passage met before
 _U = np.uint64
@@ -43,8 +43,9 @@ def _short(x: np.ndarray) -> np.ndarray:
     return mix64(x) >> _U(64 - _KEY_BITS)
 
 
-def word_key(w: np.ndarray) -> np.ndarray:
-    return _short(w ^ _D)
+def word_id(w: np.ndarray) -> np.ndarray:
+    """64 bits that stand for a word; its key in the filter is the upper ones."""
+    return mix64(w ^ _D)
 
 
 def pair_key(u: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -55,6 +56,9 @@ def triple_key(t: np.ndarray, u: np.ndarray, w: np.ndarray) -> np.ndarray:
     return _short(mix64(t * _C + u) * _A + w * _B)
 
 
+OPENING = pair_key(np.array([_START]), np.array([_START]))[0]  # counted once for each text: the history of its first word
+
+
 def tokens(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Tokens of all texts, each text's with an end: hash, the one before, the one before that; and bounds."""
     scan = Scan(texts, lower=True)
@@ -73,409 +77,288 @@ def tokens(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return w, one, two, ptr
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
-    squeeze = zstandard.ZstdCompressor(level=1).compress
-    return b"".join(len(z := squeeze(np.ascontiguousarray(a).tobytes())).to_bytes(4, "little") + z for a in arrays)
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays as one compressed blob, each with its bytes sorted by significance."""
+    head = np.array([len(a) for a in arrays], np.uint32).tobytes()
+    body = [np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() for a in arrays]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join([head, *body]))
 
 
-def _unpack(blob: bytes, *kinds: type) -> list[np.ndarray]:
-    out, at, open_ = [], 0, zstandard.ZstdDecompressor().decompress
-    for kind in kinds:
-        n = int.from_bytes(blob[at : at + 4], "little")
-        out.append(np.frombuffer(open_(blob[at + 4 : at + 4 + n]), kind))
-        at += 4 + n
+def unpack(blob: bytes, *kinds: type) -> list[np.ndarray]:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    at, out = 4 * len(kinds), []
+    for n, kind in zip(raw[:at].view(np.uint32).tolist(), kinds, strict=True):
+        size = np.dtype(kind).itemsize
+        out.append(np.ascontiguousarray(raw[at : at + n * size].reshape(size, n).T).reshape(-1).view(kind))
+        at += n * size
     return out
 
 
-def _pack_keys(keys: np.ndarray, n: np.ndarray) -> bytes:
-    """Sorted keys as differences of 32 bits, with what goes beyond apart."""
-    step = np.diff(keys, prepend=_U(0))
+def pack_asked(words: np.ndarray, n: np.ndarray, grams: np.ndarray, m: np.ndarray) -> bytes:
+    """Words and sorted n-grams with their counts; the n-grams as differences of 32 bits, with what goes beyond apart."""
+    step = np.diff(grams, prepend=_U(0))
     high = np.flatnonzero(step >> _U(32))
-    return _pack(step.astype(np.uint32), high.astype(np.uint32), (step[high] >> _U(32)).astype(np.uint32), np.minimum(n, 0xFFFFFFFF).astype(np.uint32))
+    return pack(words, n.astype(np.uint32), step.astype(np.uint32), high.astype(np.uint32), (step[high] >> _U(32)).astype(np.uint32), m.astype(np.uint32))
 
 
-def _unpack_keys(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    low, high, more, n = _unpack(blob, np.uint32, np.uint32, np.uint32, np.uint32)
+def unpack_asked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    words, n, low, high, more, m = unpack(blob, np.uint64, np.uint32, np.uint32, np.uint32, np.uint32, np.uint32)
     step = low.astype(np.uint64)
     step[high] += more.astype(np.uint64) << _U(32)
-    return np.cumsum(step, dtype=np.uint64), n
-
+    return words, n, np.cumsum(step, dtype=np.uint64), m
 
-def _count(shift: int) -> Callable:
-    """Counts of a task's words, pairs and triples, as blobs by the top bits of their keys."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-        texts = 0
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal texts
-            out: list[tuple[int, bytes]] = []
+def _heads(sorted_: np.ndarray) -> np.ndarray:
+    """Where each distinct value of a sorted array begins."""
+    return np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]]) if len(sorted_) else np.zeros(0, np.int64)
 
-            def deal(kind: bytes, keys: np.ndarray, pack: Callable) -> None:
-                place = (keys >> _U(shift)).astype(np.int64)
-                cut = np.flatnonzero(np.r_[True, place[1:] != place[:-1], True])
-                out.extend((int(place[a]), kind + pack(a, b)) for a, b in zip(cut[:-1], cut[1:], strict=True))
-
-            words, pairs, triples = (np.concatenate(x) for x in zip(*held, strict=True))
-            held.clear()
-            w, n = np.unique(words, return_counts=True)
-            order = np.argsort(word_key(w))
-            w, n = w[order], n[order]
-            deal(b"1", word_key(w), lambda a, b: _pack(w[a:b], n[a:b].astype(np.uint32)))
-            for kind, grams in ((b"2", pairs), (b"3", triples)):
-                keys, m = np.unique(grams, return_counts=True)
-                deal(kind, keys, lambda a, b, keys=keys, m=m: _pack_keys(keys[a:b], m[a:b]))
-            start = np.array([_START])
-            for key in (word_key(start), pair_key(start, start)):
-                out.append((int(key[0] >> _U(shift)), b"S" + _pack(key, np.array([texts], np.uint32))))
-            texts = 0
-            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], names=["bucket", "blob"])
-
-        for batch in batches:
-            for part in slices(batch):
-                w, one, two, ptr = tokens(texts_of(part))
-                texts += len(ptr) - 1
-                held.append((w, pair_key(one, w), triple_key(two, one, w)))
-                if sum(len(x[0]) for x in held) >= HELD:
-                    yield from flush()
-        if held:
-            yield from flush()
 
-    return run
+def sum_words(words: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct words in order and the sums of their counts."""
+    order = np.argsort(words)
+    words, n = words[order], n[order].astype(np.int64)
+    head = _heads(words)
+    return words[head], np.add.reduceat(n, head) if len(head) else n
 
 
-def _total(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    key = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-    n = np.concatenate(counts).astype(np.int64) if keys else np.zeros(0, np.int64)
-    order = np.argsort(key)
-    key, n = key[order], n[order]
-    head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, int)
-    return key[head], np.add.reduceat(n, head) if len(head) else n
+def sum_grams(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same for keys of 48 bits, sorted together with the lower 16 bits of their counts."""
+    n = n.astype(np.uint64)
+    both = np.sort(keys << _U(16) | (n & _U(0xFFFF)))
+    key = both >> _U(16)
+    head = _heads(key)
+    total = np.add.reduceat((both & _U(0xFFFF)).astype(np.int64), head) if len(head) else np.zeros(0, np.int64)
+    large = n >> _U(16) > 0
+    np.add.at(total, np.searchsorted(key[head], keys[large]), (n[large] >> _U(16) << _U(16)).astype(np.int64))
+    return key[head], total
 
 
 def level_of(n: np.ndarray) -> np.ndarray:
-    """1 + floor(log2 n)."""
+    """1 + floor(log2 n), and 0 for 0."""
     return np.frexp(n.astype(np.float64))[1]
 
 
 def count_of(level: np.ndarray) -> np.ndarray:
     """The mean of the counts of a level, 0 for level 0."""
-    return np.where(level > 0, (3.0 * np.exp2(level - 1) - 1) / 2, 0.0)
-
-
-def _entries(keys: np.ndarray, level: int, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Word of the segment and bits in it for (key, level)."""
-    g = mix64(keys + _U(level * 0x9E3779B97F4A7C15 % (1 << 64)))
-    bits = np.zeros(len(g), np.uint64)
-    for i in range(PROBES):
-        bits |= _U(1) << ((g >> _U(6 * i)) & _U(63))
-    return ((g >> _U(32)) & _U(words - 1)).astype(np.int64), bits
-
-
-def _levels(bits: np.ndarray, base: np.ndarray, keys: np.ndarray, words: int) -> np.ndarray:
-    """The level of each key in the segment of some words at base: probes for 1, 2, ... until one fails."""
-    out, left = np.zeros(len(keys), np.int64), np.arange(len(keys))
-    for j in range(1, 64):
-        place, want = _entries(keys[left], j, words)
-        left = left[bits[base[left] + place] & want == want]
-        if not len(left):
-            break
-        out[left] = j
-    return out
+    return np.where(level > 0, (3.0 * np.exp2(level - 1.0) - 1) / 2, 0.0)
 
 
-def _segment(words: int) -> Callable:
-    """From all blobs of a bucket its segment of the filter, and its words with their counts.
-
-    A segment holds a bounded number of entries. Single words come first; of pairs and
-    triples those from the lowest level on with which all of a level fit. least has these
-    levels, 0 if all fit; rest is the filter of the lower ones.
-    """
+class LogFilter:
+    """A Bloom filter of (key, 1) to (key, level) of some counted keys, sized by these entries."""
 
-    def run(table: pa.Table) -> pa.Table:
-        found: dict[bytes, list] = {b"1": [], b"2": [], b"3": [], b"S": []}
-        for blob in table.column("blob").to_pylist():
-            kind = blob[:1]
-            found[kind].append(_unpack(blob[1:], np.uint64, np.uint32) if kind in b"1S" else _unpack_keys(blob[1:]))
-        w, n = _total(*map(list, zip(*found[b"1"], strict=True))) if found[b"1"] else _total([], [])
-        parts = [(word_key(w), level_of(n))]
-        for kinds in ((b"S",), (b"2",), (b"3",)):
-            rows = [x for k in kinds for x in found[k]]
-            key, c = _total(*map(list, zip(*rows, strict=True))) if rows else _total([], [])
-            parts.append((key, level_of(c)))
-        room = words * 64 // BITS_PER_ENTRY
-        segment = np.zeros(words, np.uint64)
-        lower, bounds = [], []
-        for group in (parts[:2], parts[2:]):
-            key, level = (np.concatenate(x) for x in zip(*group, strict=True))
-            by_level = np.bincount(level, minlength=2)
-            need = np.cumsum((by_level * np.arange(len(by_level)))[::-1])[::-1]
-            least = int(np.argmax(np.r_[need, 0] <= room))
-            lower.append((key[level < least], level[level < least]))
-            bounds.append(least)
-            key, level = key[level >= max(1, least)], level[level >= max(1, least)]
-            room -= int(level.sum())
-            for j in range(1, int(level.max(initial=0)) + 1):
-                np.bitwise_or.at(segment, *_entries(key[level >= j], j, words))
-        key, level = (np.concatenate(x) for x in zip(*lower, strict=True))
-        rest = np.zeros(1 << max(3, (-(-int(level.sum()) * BITS_PER_ENTRY // 64) - 1).bit_length()) if len(key) else 0, np.uint64)
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, bits: int = BITS_PER_ENTRY) -> None:
+        level = level_of(counts)
+        size = max(8, -(-int(level.sum()) * bits // 64))
+        self.bits = np.zeros(1 << (size - 1).bit_length(), np.uint64)
         for j in range(1, int(level.max(initial=0)) + 1):
-            np.bitwise_or.at(rest, *_entries(key[level >= j], j, len(rest)))
-        return pa.table(
-            {
-                "bucket": table.column("bucket")[:1],
-                "segment": pa.array([segment.tobytes()], pa.binary()),
-                "words": pa.array([_pack(w, n.astype(np.int64))], pa.binary()),
-                "total": pa.array([int(n.sum())], pa.int64()),
-                "distinct": pa.array([len(w)], pa.int64()),
-                "coarse": pa.array([float(count_of(level_of(n)).sum())], pa.float64()),
-                "sizes": pa.array([np.bincount(level_of(n), minlength=64).tolist()], pa.list_(pa.int64())),
-                "rest": pa.array([rest.tobytes()], pa.binary()),
-                "least": pa.array([bounds], pa.list_(pa.int32())),
-            }
-        )
-
-    return run
-
-
-def _words(least: int, most: int | None) -> Callable:
-    """Rows of the words with counts from least on and below most."""
+            np.bitwise_or.at(self.bits, *self._entries(keys[level >= j], j))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for blob in batch.column(0).to_pylist():
-                w, n = _unpack(blob, np.uint64, np.int64)
-                m = (n >= least) & (n < (most or np.inf))
-                yield pa.RecordBatch.from_arrays([pa.array(w[m].view(np.int64)), pa.array(n[m])], names=["word", "c"])
-
-    return run
-
-
-class Model:
-    """The filter, the frequent words and the totals, as a worker reads them."""
-
-    def __init__(self, bits: bytearray, least: np.ndarray, buckets: int, words: int, head: tuple[np.ndarray, np.ndarray], total: int, distinct: int, coarse: float) -> None:
-        self.bits, self.least, self.buckets, self.words, self.head = bits, least, buckets, words, head
-        self.total, self.distinct, self.coarse = total, distinct, coarse
-
-    def bucket(self, keys: np.ndarray) -> np.ndarray:
-        return (keys >> _U(_KEY_BITS - self.buckets.bit_length() + 1)).astype(np.int64)
+    def _entries(self, keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """The word of the filter, and the bits in it, for (key, level)."""
+        g = mix64(keys + _U(level * 0x9E3779B97F4A7C15 % (1 << 64)))
+        bits = np.zeros(len(g), np.uint64)
+        for i in range(PROBES):
+            bits |= _U(1) << ((g >> _U(6 * i)) & _U(63))
+        return ((g >> _U(32)) & _U(len(self.bits) - 1)).astype(np.int64), bits
 
     def level(self, keys: np.ndarray) -> np.ndarray:
-        """The level that the filter has for each key."""
-        return _levels(np.frombuffer(self.bits, np.uint64), self.bucket(keys) * self.words, keys, self.words)
-
-    def count(self, keys: np.ndarray, group: int, rest: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
-        """Mean counts of words (group 0) or of pairs and triples (group 1).
-
-        rest: the keys that missing() named, sorted, and their levels outside the filter.
-        """
-        level = self.level(keys)
-        if rest is not None:
-            m = level < self.least[self.bucket(keys), group]
-            level[m] = rest[1][np.searchsorted(rest[0], keys[m])]
-        return count_of(level)
-
-    def missing(self, w: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        """The keys of a text's n-grams that the filter does not settle, sorted."""
-        out = []
-        start = np.array([_START])
-        for group, keys in ((0, word_key(np.r_[w, start])), (0, pair_key(start, start)), (1, pair_key(one, w)), (1, triple_key(two, one, w))):
-            keys = np.unique(keys)
-            least = self.least[self.bucket(keys), group]
-            keys, least = keys[least > 0], least[least > 0]
-            out.append(keys[self.level(keys) < least])
-        return np.unique(np.concatenate(out))
-
-    def log10(self, w: np.ndarray, one: np.ndarray, two: np.ndarray, rest: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
-        """log10 of the smoothed probability of each token after the two before it."""
-        plain, place = np.unique(np.concatenate([w, [_START]]), return_inverse=True)
-        c = self.count(word_key(plain), 0, rest)
-        p = ((c + 1) / (self.coarse + self.distinct + 1))[place[:-1]]
-        history = c[np.searchsorted(plain, one)]
-        pair = np.zeros(len(w))
-        known = c[place[:-1]] > 0
-        pair[known] = self.count(pair_key(one[known], w[known]), 1, rest)
-        p = (np.minimum(pair, history) + BACK_OFF[0] * p) / (history + BACK_OFF[0])
-        before = np.empty_like(pair)
-        before[1:] = pair[:-1]
-        start = (two == _START) & (one == _START)
-        before[start] = self.count(pair_key(two[start][:1], one[start][:1]), 0, rest)[0] if start.any() else 0
-        triple = np.zeros(len(w))
-        seen = (pair > 0) & (before > 0)
-        triple[seen] = self.count(triple_key(two[seen], one[seen], w[seen]), 1, rest)
-        follows = np.r_[False, triple[:-1] > 0] & ~start
-        weight = np.where(follows, FOLLOWING, BACK_OFF[1])
-        return np.log10((np.minimum(triple, before) + weight * p) / (before + weight))
-
-
-def train(docs: DataFrame) -> tuple[Model, DataFrame, DataFrame]:
-    """A model of all texts of docs, the counts (word, c) of words that its head leaves out, and the filters (bucket, rest) of what its filter leaves out.
-
-    The driver gets the filter (FILTER_BITS at most, at any size of the input), HEAD_WORDS
-    counts at most, and totals.
-    """
-    spark = docs.sparkSession
-    prepare(spark)
-    buckets = 1 << max(6, (4 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
-    words = max(8, FILTER_BITS // 64 // buckets)
-    shift = _KEY_BITS - (buckets.bit_length() - 1)
-    blobs = docs.select("text").mapInArrow(_count(shift), "bucket int, blob binary")
-    kind = "bucket int, segment binary, words binary, total long, distinct long, coarse double, sizes array<long>, rest binary, least array<int>"
-    made = blobs.groupBy("bucket").applyInArrow(_segment(words), kind).checkpoint()
-    sums = made.agg(F.sum("total").alias("n"), F.sum("distinct").alias("v"), F.sum("coarse").alias("coarse")).first()
-    sizes = {r["level"]: r["n"] for r in made.select(F.posexplode("sizes").alias("level", "n")).groupBy("level").agg(F.sum("n").alias("n")).collect()}
-    least, n = 64, 0
-    while least > 1 and n + sizes.get(least - 1, 0) <= HEAD_WORDS:
-        least -= 1
-        n += sizes.get(least, 0)
-    cut = 1 << (least - 1)
-    head = made.select("words").mapInArrow(_words(cut, None), "word long, c long").toArrow()
-    word, c = (head.column(i).to_numpy() for i in range(2))
-    order = np.argsort(word.view(np.uint64))
-    bits = bytearray(buckets * words * 8)
-    bounds = np.zeros((buckets, 2), np.int32)
-    for r in made.select("bucket", "segment", "least").toLocalIterator():  # a partition at a time, so that the driver holds the filter once
-        bits[r["bucket"] * words * 8 : (r["bucket"] + 1) * words * 8] = r["segment"]
-        bounds[r["bucket"]] = r["least"]
-    model = Model(bits, bounds, buckets, words, (word.view(np.uint64)[order], c[order]), sums["n"] or 0, sums["v"] or 0, sums["coarse"] or 0.0)
-    return model, made.select("words").mapInArrow(_words(0, cut), "word long, c long"), made.where("length(rest) > 0").select("bucket", "rest")
-
-
-_SCORED = "doc_id long, row long, n_tokens long, n_known long, base_score double, score double, rest array<long>"
-
-
-def _scored(model: Model, part: pa.RecordBatch, rest: tuple[np.ndarray, np.ndarray] | None = None) -> pa.RecordBatch:
-    word, c = model.head
-    unit = np.log10(model.total + model.distinct + 1)
-    w, one, two, ptr = tokens(texts_of(part))
-    plain, place = np.unique(w, return_inverse=True)
-    at = np.minimum(np.searchsorted(word, plain), max(len(word) - 1, 0))
-    known = word[at] == plain if len(word) else np.zeros(len(plain), bool)
-    gain = np.where(known, np.log10(c[at] + 1.0) if len(word) else 0.0, 0.0)[place]
-    known = known[place]
-    n = np.diff(ptr)
-    unseen = np.add.reduceat(~known, ptr[:-1], dtype=np.int64)
-    missed = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(unseen)], pa.int32()), pa.array(w[~known].view(np.int64)))
-    return pa.RecordBatch.from_arrays(
-        [
-            part.column(0),
-            part.column(1),
-            pa.array(n),
-            pa.array(n - unseen),
-            pa.array(np.add.reduceat(gain, ptr[:-1]) - n * unit),
-            pa.array(np.add.reduceat(model.log10(w, one, two, rest), ptr[:-1])),
-            missed,
-        ],
-        names=["doc_id", "row", "n_tokens", "n_known", "base_score", "score", "rest"],
-    )
-
-
-def _score(shared) -> Callable:  # shared: a broadcast model
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch):
-                yield _scored(shared.value, part)
+        """The level of each key: probes for 1, 2, ... until one fails."""
+        out, left = np.zeros(len(keys), np.uint8), np.arange(len(keys))
+        for j in range(1, 64):
+            place, want = self._entries(keys[left], j)
+            left = left[self.bits[place] & want == want]
+            if not len(left):
+                break
+            out[left] = j
+        return out
 
-    return run
 
+@dataclass
+class Totals:
+    """Of the training text: tokens, distinct tokens, and the sum of the mean counts of their levels."""
 
-def _missing(model: Model, parts: list[pa.RecordBatch]) -> np.ndarray:
-    return np.unique(np.concatenate([model.missing(*tokens(texts_of(p))[:3]) for p in parts]))
+    tokens: int
+    distinct: int
+    coarse: float
 
 
-def _ask(shared) -> Callable:  # shared: a broadcast model
-    """Texts in chunks (bucket -1), and for each bucket the keys of a chunk that the filter does not settle."""
+def _chunks(most: int) -> Callable:
+    """Rows (doc_id, held, text) in compressed chunks of some bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Model = shared.value
         held: list[pa.RecordBatch] = []
         chunk, size = TaskContext.get().partitionId() << 32, 0
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal chunk, size
+        def flush() -> pa.RecordBatch:
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as to:
                 for part in held:
                     to.write_batch(part)
-            out = [(-1, sink.getvalue().to_pybytes())]
-            keys = _missing(model, held)
-            place = model.bucket(keys)
-            cut = np.flatnonzero(np.r_[True, place[1:] != place[:-1], True]) if len(keys) else []
-            out.extend((int(place[a]), _pack_keys(keys[a:b], np.zeros(b - a, np.uint32))) for a, b in zip(cut[:-1], cut[1:], strict=True))
-            ids = pa.array([chunk] * len(out), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int32()), ids, pa.array([x for _, x in out], pa.binary())], names=["bucket", "chunk", "blob"])
             held.clear()
-            chunk, size = chunk + 1, 0
+            return pa.RecordBatch.from_pydict({"chunk": [chunk], "size": [size], "blob": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
 
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=min(most, SLICE_BYTES)):
                 held.append(part)
                 size += part.nbytes
-                if size >= CHUNK_BYTES:
-                    yield from flush()
+                if size >= most:
+                    yield flush()
+                    chunk, size = chunk + 1, 0
         if held:
-            yield from flush()
+            yield flush()
+
+    return run
+
+
+def _read_chunk(blob: bytes) -> tuple[list[pa.RecordBatch], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The rows of a chunk; the hash of each token, those of its pair and its triple; whether it is for training; bounds."""
+    parts = list(pa.ipc.open_stream(blob))
+    got, ptr = [], [np.zeros(1, np.int64)]
+    for part in parts:
+        w, one, two, ends = tokens(texts_of(part))
+        train = np.repeat(~part.column(1).to_numpy(zero_copy_only=False), np.diff(ends))
+        got.append((word_id(w), pair_key(one, w), triple_key(two, one, w), train))
+        ptr.append(ends[1:] + ptr[-1][-1])
+    return parts, *map(np.concatenate, zip(*got, strict=True)), np.concatenate(ptr)
+
+
+def _asked(words: np.ndarray, pairs: np.ndarray, triples: np.ndarray, train: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct words of a chunk and its distinct n-grams, in order, with their counts in training text."""
+    plain, place = np.unique(words, return_inverse=True)
+    n = np.bincount(place, weights=train, minlength=len(plain)).astype(np.int64)
+    opening = np.full(len(ptr) - 1, OPENING)
+    marks = np.r_[train, train, train[ptr[:-1]]].astype(np.uint64)
+    grams = np.sort(np.r_[pairs, triples, opening] << _U(1) | marks)
+    head = _heads(grams >> _U(1))
+    return plain, n, grams[head] >> _U(1), np.add.reduceat((grams & _U(1)).astype(np.int64), head)
+
+
+def _ask(buckets: int) -> Callable:
+    """From chunks (chunk, blob) what each asks of each bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges = np.arange(1, buckets, dtype=np.uint64) << _U(_KEY_BITS - (buckets.bit_length() - 1))
+        for batch in batches:
+            for chunk, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                plain, n, grams, m = _asked(*_read_chunk(blob)[1:])
+                v = np.r_[0, np.searchsorted(plain, edges << _U(64 - _KEY_BITS)), len(plain)]
+                g = np.r_[0, np.searchsorted(grams, edges), len(grams)]
+                full = np.flatnonzero((np.diff(v) > 0) | (np.diff(g) > 0)).tolist()
+                out = [pack_asked(plain[v[b] : v[b + 1]], n[v[b] : v[b + 1]], grams[g[b] : g[b + 1]], m[g[b] : g[b + 1]]) for b in full]
+                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([chunk] * len(full), pa.int64()), pa.array(out, pa.binary())], names=["bucket", "chunk", "blob"])
+
+    return run
+
+
+_ANSWERS = "bucket int, chunk long, blob binary, tokens long, distinct long, coarse double"
+
+
+def _answer(bits: int) -> Callable:
+    """What was asked of a bucket: exact counts of words, and levels of words and n-grams from its shard of the filter.
+
+    Beside a row for each chunk there is one without a chunk, with the bucket's part of the totals.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        asked = [unpack_asked(x) for x in table.column("blob").to_pylist()]
+        words, n, grams, m = map(np.concatenate, zip(*asked, strict=True))
+        plain, total = sum_words(words, n)
+        known, times = sum_grams(grams, m)
+        keys = plain >> _U(64 - _KEY_BITS)
+        shard = LogFilter(np.r_[keys, known], np.r_[total, times], bits)
+        coarse, reached = shard.level(keys), shard.level(grams)
+        out, w, g = [], 0, 0
+        for a, _, b, _ in asked:
+            at = np.searchsorted(plain, a)
+            out.append(pack(total[at], coarse[at], reached[g : g + len(b)]))
+            w, g = w + len(a), g + len(b)
+        bucket, none = table.column("bucket")[0].as_py(), [None] * len(out)
+        return pa.table(
+            {
+                "bucket": pa.array([bucket] * (len(out) + 1), pa.int32()),
+                "chunk": pa.array([*table.column("chunk").to_pylist(), None], pa.int64()),
+                "blob": pa.array([*out, None], pa.binary()),
+                "tokens": pa.array([*none, int(total.sum())], pa.int64()),
+                "distinct": pa.array([*none, int((total > 0).sum())], pa.int64()),
+                "coarse": pa.array([*none, float(count_of(level_of(total)).sum())], pa.float64()),
+            }
+        )
 
     return run
 
 
-def _answer(table: pa.Table) -> pa.Table:
-    """The levels of all keys that were asked of a bucket; the blob without a chunk is its filter."""
-    chunks, blobs = (table.column(c).to_pylist() for c in ("chunk", "blob"))
-    bits = np.frombuffer(blobs[chunks.index(None)], np.uint64)
-    asked = [(c, _unpack_keys(x)[0]) for c, x in zip(chunks, blobs, strict=True) if c is not None]
-    out = [_pack(_levels(bits, np.zeros(len(k), np.int64), k, len(bits)).astype(np.uint8)) for _, k in asked]
-    bucket = pa.array([table.column("bucket")[0].as_py()] * len(out), pa.int32())
-    return pa.table({"bucket": bucket, "chunk": pa.array([c for c, _ in asked], pa.int64()), "blob": pa.array(out, pa.binary())})
+def log10_probabilities(c: np.ndarray, pair: np.ndarray, triple: np.ndarray, opening: float, first: np.ndarray, totals: Totals) -> np.ndarray:
+    """log10 of the smoothed probability of each token after the two before it.
+
+    c, pair and triple: mean counts of the token and of its two n-grams; opening: how many
+    texts were learnt; first: where a text begins.
+    """
+    p = (c + 1) / (totals.coarse + totals.distinct + 1)
+    history, before = np.empty_like(c), np.empty_like(c)
+    history[1:] = c[:-1]
+    history[first] = opening
+    pair = np.where(c > 0, pair, 0.0)
+    p = (np.minimum(pair, history) + BACK_OFF[0] * p) / (history + BACK_OFF[0])
+    before[1:] = pair[:-1]
+    before[first] = opening
+    triple = np.where((pair > 0) & (before > 0), triple, 0.0)
+    follows = np.r_[False, triple[:-1] > 0]
+    follows[first] = False
+    weight = np.where(follows, FOLLOWING, BACK_OFF[1])
+    return np.log10((np.minimum(triple, before) + weight * p) / (before + weight))
+
+
+_SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def _score_chunk(shared) -> Callable:  # shared: a broadcast model
-    """Scores of a chunk from its texts and the answers of all buckets."""
+def _score(shared) -> Callable:  # shared: the broadcast totals
+    """Scores of a chunk from its texts (bucket -1) and the answers of all buckets."""
 
     def run(table: pa.Table) -> pa.Table:
-        model: Model = shared.value
-        found = dict(zip(table.column("bucket").to_pylist(), table.column("blob").to_pylist(), strict=True))
-        parts = list(pa.ipc.open_stream(found.pop(-1)))
-        levels = [_unpack(found[b], np.uint8)[0] for b in sorted(found)]
-        rest = (_missing(model, parts), np.concatenate(levels).astype(np.int64) if levels else np.zeros(0, np.int64))
-        assert len(rest[0]) == len(rest[1])
-        return pa.Table.from_batches([_scored(model, p, rest) for p in parts])
+        totals: Totals = shared.value
+        found = sorted(zip(table.column("bucket").to_pylist(), table.column("blob").to_pylist(), strict=True))
+        parts, words, pairs, triples, train, ptr = _read_chunk(found[0][1])
+        n, coarse, reached = map(np.concatenate, zip(*(unpack(x, np.int64, np.uint8, np.uint8) for _, x in found[1:]), strict=True))
+        plain, place = np.unique(words, return_inverse=True)
+        grams, at = np.unique(np.r_[pairs, triples, OPENING], return_inverse=True)
+        if (len(plain), len(grams)) != (len(n), len(reached)):
+            raise RuntimeError("the answers are not those to this chunk")
+        n, c, met = n[place], count_of(coarse)[place], count_of(reached)[at]
+        p = log10_probabilities(c, met[: len(c)], met[len(c) : -1], met[-1], ptr[:-1], totals)
+        length = np.diff(ptr)
+        base = np.add.reduceat(np.log10(n + 1.0), ptr[:-1]) - length * np.log10(totals.tokens + totals.distinct + 1)
+        ids, held = (pa.chunked_array([x.column(i) for x in parts]) for i in (0, 1))
+        cols = [length, np.add.reduceat(n > 0, ptr[:-1], dtype=np.int64), base, np.add.reduceat(p, ptr[:-1])]
+        return pa.Table.from_arrays([ids, held, *map(pa.array, cols)], names=[x.split()[0] for x in _SCORED.split(", ")])
 
     return run
 
 
-def score_documents(docs: DataFrame, folds: int = FOLDS, fold: int = FOLD) -> DataFrame:
+def score_documents(
+    docs: DataFrame, folds: int = FOLDS, fold: int = FOLD, bits: int = BITS_PER_ENTRY, chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES
+) -> DataFrame:
     """Scores of every document by models of those outside the held-out fold.
 
     doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score. A null text is
     empty: one end token. A null doc_id is never held out. Repeated rows all count in
     training and get a row each. Extra columns are ignored. An empty table gives no rows;
     with nothing to learn from every token is unknown.
+
+    The texts are checkpointed as chunks, so that a chunk asked for again after a lost
+    executor is the same; n-grams are shuffled once and their levels once. The number of
+    buckets follows the bytes of text, so that a task holds a chunk or a bucket of bounded
+    size at any size of the input. An n-gram that all chunks have is one entry of each.
     """
-    prepare(docs.sparkSession)
-    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
-    model, tail, rest = train(docs.where(~held_out("doc_id", folds, fold)))
-    shared, total, whole = docs.sparkSession.sparkContext.broadcast(model), model.total, not model.least.any()
-    del model  # the workers have it now; the driver need not hold it any longer
-    if whole:
-        scored = rows.mapInArrow(_score(shared), _SCORED).checkpoint()
-    else:
-        kind = "bucket int, chunk long, blob binary"
-        sent = rows.mapInArrow(_ask(shared), kind).checkpoint()  # the chunks are those that the keys were taken from
-        asked = sent.where("bucket >= 0").unionByName(rest.select("bucket", F.lit(None).cast("long").alias("chunk"), F.col("rest").alias("blob")))
-        answers = asked.groupBy("bucket").applyInArrow(_answer, kind)
-        scored = sent.where("bucket < 0").unionByName(answers).groupBy("chunk").applyInArrow(_score_chunk(shared), _SCORED).checkpoint()
-    rest = scored.dropDuplicates(["row"]).select("row", F.explode("rest").alias("word"))
-    rest = rest.join(tail, "word", "left").groupBy("row").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + 1.0)).alias("gain"), F.count("c").alias("more"))
-    out = scored.drop("rest").join(rest, "row", "left")
-    return out.select(
-        "doc_id",
-        held_out("doc_id", folds, fold).alias("held_out"),
-        "n_tokens",
-        (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base_score") + F.coalesce("gain", F.lit(0.0))).alias("base_score"),
-        "score",
-    )
+    spark = docs.sparkSession
+    prepare(spark)
+    rows = docs.select("doc_id", held_out("doc_id", folds, fold).alias("held"), "text")
+    chunks = rows.mapInArrow(_chunks(chunk_bytes), "chunk long, size long, blob binary").checkpoint()
+    size = chunks.agg(F.sum("size").alias("n")).first()["n"] or 0
+    buckets = 1 << max(0, -(-size // bucket_bytes) - 1).bit_length()
+    asked = chunks.select("chunk", "blob").mapInArrow(_ask(buckets), "bucket int, chunk long, blob binary")
+    answers = asked.groupBy("bucket").applyInArrow(_answer(bits), _ANSWERS).checkpoint()
+    seen = answers.agg(*[F.sum(c).alias(c) for c in ("tokens", "distinct", "coarse")]).first()
+    totals = Totals(seen["tokens"] or 0, seen["distinct"] or 0, seen["coarse"] or 0.0)
+    both = chunks.select(F.lit(-1).alias("bucket"), "chunk", "blob").unionByName(answers.where("chunk IS NOT NULL").select("bucket", "chunk", "blob"))
+    scored = both.groupBy("chunk").applyInArrow(_score(spark.sparkContext.broadcast(totals)), _SCORED)
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(totals.tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -40,51 +40,73 @@ def test_lm_base_agrees_with_exact_counts(docs, rows, nothing):
     assert lm.score_documents(nothing).count() == 0
 
 
-def test_lm_tail_words_are_joined(docs, monkeypatch):
-    whole = {(r.doc_id, r.n_known, round(r.base_score, 6)) for r in lm.score_documents(docs).collect()}
-    monkeypatch.setattr(lm, "HEAD_WORDS", 5)
-    assert {(r.doc_id, r.n_known, round(r.base_score, 6)) for r in lm.score_documents(docs).collect()} == whole
-
-
-def model_of(spark, texts):
-    return lm.train(spark.createDataFrame([(t,) for t in texts], "text string"))[0]
-
-
-def test_lm_filter_holds_quantised_counts(spark):
-    rng = random.Random(2)
-    texts = [" ".join(f"w{min(rng.randrange(50), rng.randrange(50))}" for _ in range(40)) for _ in range(200)]
-    model = model_of(spark, texts)
-    w, one, two, _ = lm.tokens([t.encode() for t in texts])
-    for key in (lm.word_key(w), lm.pair_key(one, w), lm.triple_key(two, one, w)):
-        plain, n = np.unique(key, return_counts=True)
-        assert (model.level(plain) >= lm.level_of(n)).all()  # a Bloom filter errs upwards only
-        assert (model.level(plain) == lm.level_of(n)).mean() > 0.97
-    unseen = lm.word_key(np.arange(1, 20_000, dtype=np.uint64))
-    assert (model.level(unseen) > 0).mean() < 0.05
-    assert lm.count_of(lm.level_of(np.array([1, 2, 3, 4, 7]))).tolist() == [1.0, 2.5, 2.5, 5.5, 5.5]
-
-
-def test_lm_full_filter_drops_rare_ngrams_first(spark, monkeypatch):
-    monkeypatch.setattr(lm, "FILTER_BITS", 64 * 64 * 8)
-    rng = random.Random(3)
-    texts = ["the cat sat on the mat"] * 200 + [" ".join(f"r{rng.randrange(9)}" for _ in range(30)) for _ in range(300)]
-    model = model_of(spark, texts)
-    assert len(model.bits) <= lm.FILTER_BITS // 8
-    w, one, two, _ = lm.tokens([b"the cat sat on the mat"])
-    assert (model.level(lm.pair_key(one, w)) >= 7).mean() > 0.5
-
-
-def test_lm_full_filter_scores_as_a_large_one(docs, monkeypatch):
-    def scores():
-        return sorted((str(r.doc_id), r.n_tokens, r.n_known, round(r.base_score, 6), r.score) for r in lm.score_documents(docs).collect())
-
-    monkeypatch.setattr(lm, "BITS_PER_ENTRY", 200)  # hardly any false positives
-    whole = scores()
-    monkeypatch.setattr(lm, "FILTER_BITS", 64 * 64 * 8)
-    monkeypatch.setattr(lm, "CHUNK_BYTES", 20_000, raising=False)
-    got = scores()
-    assert [r[:4] for r in got] == [r[:4] for r in whole]
-    assert [r[4] for r in got] == pytest.approx([r[4] for r in whole])
+def quantised(n):
+    """The mean count of the level that n is in."""
+    return (3 * 2 ** (n.bit_length() - 1) - 1) / 2 if n else 0.0
+
+
+def brute_scores(rows):
+    """Scores from exact counts, quantised."""
+    words, grams, texts = Counter(), Counter(), 0
+    for i, text, *_ in rows:
+        if fold(i, 7) != 2:
+            t = ["<s>", "<s>", *tokens(text)]
+            texts += 1
+            words.update(t[2:])
+            grams.update(zip(t[1:], t[2:], strict=False))
+            grams.update(zip(t, t[1:], t[2:], strict=False))
+    coarse, opening = sum(map(quantised, words.values())), quantised(texts)
+    out = []
+    for i, text, *_ in rows:
+        t, total, before, history, follows = ["<s>", "<s>", *tokens(text)], 0.0, opening, opening, False
+        for k in range(2, len(t)):
+            c, pair = quantised(words[t[k]]), quantised(grams[t[k - 1], t[k]])
+            triple = quantised(grams[t[k - 2], t[k - 1], t[k]])
+            p = (c + 1) / (coarse + len(words) + 1)
+            p = (min(pair, history) + lm.BACK_OFF[0] * p) / (history + lm.BACK_OFF[0])
+            weight = lm.FOLLOWING if follows else lm.BACK_OFF[1]
+            total += math.log10((min(triple, before) + weight * p) / (before + weight))
+            before, history, follows = pair, c, triple > 0
+        out.append((str(i), total))
+    return sorted(out)
+
+
+def test_lm_score_agrees_with_quantised_counts(docs, rows):
+    want = brute_scores(rows)
+    for chunk, bucket in ((8 << 20, 8 << 20), (20_000, 1 << 14), (1, 1 << 10)):  # one chunk a task and one bucket, some, one for each row
+        got = lm.score_documents(docs, bits=400, chunk_bytes=chunk, bucket_bytes=bucket)  # hardly any false positives
+        got = sorted((str(r.doc_id), r.score) for r in got.collect())
+        assert [i for i, _ in got] == [i for i, _ in want]
+        assert [s for _, s in got] == pytest.approx([s for _, s in want], rel=1e-6)
+
+
+def test_lm_filter_holds_quantised_counts():
+    rng = np.random.default_rng(2)
+    keys = np.unique(rng.integers(0, 1 << 48, 5000, dtype=np.uint64))
+    counts = np.minimum(rng.zipf(1.5, len(keys)), 1 << 40)
+    known = lm.LogFilter(keys, counts)
+    assert len(known.bits) * 64 >= lm.BITS_PER_ENTRY * lm.level_of(counts).sum()
+    assert (known.level(keys) >= lm.level_of(counts)).all()  # a Bloom filter errs upwards only
+    assert (known.level(keys) == lm.level_of(counts)).mean() > 0.97
+    unseen = lm.word_id(np.arange(1, 20_000, dtype=np.uint64)) >> np.uint64(16)
+    assert (known.level(unseen) > 0).mean() < 0.05
+    assert lm.count_of(lm.level_of(np.array([0, 1, 2, 3, 4, 7]))).tolist() == [0.0, 1.0, 2.5, 2.5, 5.5, 5.5]
+    assert lm.LogFilter(keys[:0], counts[:0]).level(keys).max() == 0
+
+
+def test_lm_counts_are_summed_exactly():
+    rng = np.random.default_rng(3)
+    keys, n = rng.integers(0, 50, 400, dtype=np.uint64) << np.uint64(42), rng.integers(0, 200_000, 400)
+    want = Counter()
+    for k, c in zip(keys.tolist(), n.tolist(), strict=True):
+        want[k] += c
+    for sums in (lm.sum_grams, lm.sum_words):
+        got = sums(keys, n)
+        assert dict(zip(*(x.tolist() for x in got), strict=True)) == want and (np.diff(got[0].astype(object)) > 0).all()
+        assert all(len(x) == 0 for x in sums(keys[:0], n[:0]))
+    grams = np.sort(np.unique(keys))
+    again = lm.unpack_asked(lm.pack_asked(keys, n, grams, n[: len(grams)]))
+    assert all((a == b).all() for a, b in zip(again, (keys, n, grams, n[: len(grams)]), strict=True))
 
 
 def test_lm_scores_held_out_text_better_than_the_base(spark):
