@@ -29,7 +29,7 @@ from cuelattice.llm.textscan import SLICE_BYTES, Scan, mix64, slices, texts_of
 
 FOLDS, FOLD = 7, 2
 BITS_PER_ENTRY, PROBES = 10, 5  # bits of the filter for each entry at least, and bits that an entry sets
-CHUNK_BYTES = 8 << 20  # of text that asks for its n-grams at once
+CHUNK_BYTES = 12 << 20  # of text that asks for its n-grams at once
 BUCKET_BYTES = 8 << 20  # of text for each bucket of n-grams, between this and half of it
 BACK_OFF = (2000.0, 300.0)  # weight of the words against a bigram's history, and of the bigrams against a trigram's
 FOLLOWING = 2.0  # the latter where the token before ended a known trigram, as within a passage met before
@@ -191,7 +191,7 @@ def _chunks(most: int) -> Callable:
 
         def flush() -> pa.RecordBatch:
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as to:
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as to:
                 for part in held:
                     to.write_batch(part)
             held.clear()
