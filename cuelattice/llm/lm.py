@@ -1,7 +1,7 @@
 """Language-model scores from a log-frequency Bloom filter.
 
 Texts are packed into chunks. A chunk asks for its words, pairs and triples, each once and
-with the number of times it occurs in training text, and sends them to buckets by hash. So
+with the number of times it occurs in training text, of buckets by hash. So
 a bucket gets all there is to know of its n-grams: it adds up their counts, turns a count c
 into the level 1 + floor(log2 c) and enters (n-gram, 1) to (n-gram, level) in its shard of
 the Bloom filter. Every n-gram that a chunk asked for is then probed with 1, 2 and so on
@@ -19,17 +19,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cuelattice.llm.chunks import CHUNK_BYTES, buckets_for, chunked, heads, pack, places, rows_of, sent, unpack
 from cuelattice.llm.common import held_out, prepare
-from cuelattice.llm.textscan import SLICE_BYTES, Scan, mix64, slices, texts_of
+from cuelattice.llm.textscan import Scan, mix64, texts_of
 
 FOLDS, FOLD = 7, 2
 BITS_PER_ENTRY, PROBES = 10, 5  # bits of the filter for each entry at least, and bits that an entry sets
-CHUNK_BYTES = 12 << 20  # of text that asks for its n-grams at once
 BUCKET_BYTES = 8 << 20  # of text for each bucket of n-grams, between this and half of it
 BACK_OFF = (2000.0, 300.0)  # weight of the words against a bigram's history, and of the bigrams against a trigram's
 FOLLOWING = 2.0  # the latter where the token before ended a known trigram, as within a passage met before
@@ -77,23 +75,6 @@ def tokens(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return w, one, two, ptr
 
 
-def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays as one compressed blob, each with its bytes sorted by significance."""
-    head = np.array([len(a) for a in arrays], np.uint32).tobytes()
-    body = [np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() for a in arrays]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join([head, *body]))
-
-
-def unpack(blob: bytes, *kinds: type) -> list[np.ndarray]:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
-    at, out = 4 * len(kinds), []
-    for n, kind in zip(raw[:at].view(np.uint32).tolist(), kinds, strict=True):
-        size = np.dtype(kind).itemsize
-        out.append(np.ascontiguousarray(raw[at : at + n * size].reshape(size, n).T).reshape(-1).view(kind))
-        at += n * size
-    return out
-
-
 def pack_asked(words: np.ndarray, n: np.ndarray, grams: np.ndarray, m: np.ndarray) -> bytes:
     """Words and sorted n-grams with their counts; the n-grams as differences of 32 bits, with what goes beyond apart."""
     step = np.diff(grams, prepend=_U(0))
@@ -108,16 +89,11 @@ def unpack_asked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return words, n, np.cumsum(step, dtype=np.uint64), m
 
 
-def _heads(sorted_: np.ndarray) -> np.ndarray:
-    """Where each distinct value of a sorted array begins."""
-    return np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]]) if len(sorted_) else np.zeros(0, np.int64)
-
-
 def sum_words(words: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct words in order and the sums of their counts."""
     order = np.argsort(words)
     words, n = words[order], n[order].astype(np.int64)
-    head = _heads(words)
+    head = heads(words)
     return words[head], np.add.reduceat(n, head) if len(head) else n
 
 
@@ -126,7 +102,7 @@ def sum_grams(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = n.astype(np.uint64)
     both = np.sort(keys << _U(16) | (n & _U(0xFFFF)))
     key = both >> _U(16)
-    head = _heads(key)
+    head = heads(key)
     total = np.add.reduceat((both & _U(0xFFFF)).astype(np.int64), head) if len(head) else np.zeros(0, np.int64)
     large = n >> _U(16) > 0
     np.add.at(total, np.searchsorted(key[head], keys[large]), (n[large] >> _U(16) << _U(16)).astype(np.int64))
@@ -182,37 +158,9 @@ class Totals:
     coarse: float
 
 
-def _chunks(most: int) -> Callable:
-    """Rows (doc_id, held, text) in compressed chunks of some bytes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        chunk, size = TaskContext.get().partitionId() << 32, 0
-
-        def flush() -> pa.RecordBatch:
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as to:
-                for part in held:
-                    to.write_batch(part)
-            held.clear()
-            return pa.RecordBatch.from_pydict({"chunk": [chunk], "size": [size], "blob": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
-
-        for batch in batches:
-            for part in slices(batch, limit=min(most, SLICE_BYTES)):
-                held.append(part)
-                size += part.nbytes
-                if size >= most:
-                    yield flush()
-                    chunk, size = chunk + 1, 0
-        if held:
-            yield flush()
-
-    return run
-
-
 def _read_chunk(blob: bytes) -> tuple[list[pa.RecordBatch], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The rows of a chunk; the hash of each token, those of its pair and its triple; whether it is for training; bounds."""
-    parts = list(pa.ipc.open_stream(blob))
+    parts = rows_of(blob)
     got, ptr = [], [np.zeros(1, np.int64)]
     for part in parts:
         w, one, two, ends = tokens(texts_of(part))
@@ -229,7 +177,7 @@ def _asked(words: np.ndarray, pairs: np.ndarray, triples: np.ndarray, train: np.
     opening = np.full(len(ptr) - 1, OPENING)
     marks = np.r_[train, train, train[ptr[:-1]]].astype(np.uint64)
     grams = np.sort(np.r_[pairs, triples, opening] << _U(1) | marks)
-    head = _heads(grams >> _U(1))
+    head = heads(grams >> _U(1))
     return plain, n, grams[head] >> _U(1), np.add.reduceat((grams & _U(1)).astype(np.int64), head)
 
 
@@ -237,15 +185,13 @@ def _ask(buckets: int) -> Callable:
     """From chunks (chunk, blob) what each asks of each bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edges = np.arange(1, buckets, dtype=np.uint64) << _U(_KEY_BITS - (buckets.bit_length() - 1))
         for batch in batches:
             for chunk, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 plain, n, grams, m = _asked(*_read_chunk(blob)[1:])
-                v = np.r_[0, np.searchsorted(plain, edges << _U(64 - _KEY_BITS)), len(plain)]
-                g = np.r_[0, np.searchsorted(grams, edges), len(grams)]
+                v, g = places(plain, buckets), places(grams << _U(64 - _KEY_BITS), buckets)
                 full = np.flatnonzero((np.diff(v) > 0) | (np.diff(g) > 0)).tolist()
                 out = [pack_asked(plain[v[b] : v[b + 1]], n[v[b] : v[b + 1]], grams[g[b] : g[b + 1]], m[g[b] : g[b + 1]]) for b in full]
-                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([chunk] * len(full), pa.int64()), pa.array(out, pa.binary())], names=["bucket", "chunk", "blob"])
+                yield sent(full, chunk, out)
 
     return run
 
@@ -352,10 +298,8 @@ def score_documents(
     spark = docs.sparkSession
     prepare(spark)
     rows = docs.select("doc_id", held_out("doc_id", folds, fold).alias("held"), "text")
-    chunks = rows.mapInArrow(_chunks(chunk_bytes), "chunk long, size long, blob binary").checkpoint()
-    size = chunks.agg(F.sum("size").alias("n")).first()["n"] or 0
-    buckets = 1 << max(0, -(-size // bucket_bytes) - 1).bit_length()
-    asked = chunks.select("chunk", "blob").mapInArrow(_ask(buckets), "bucket int, chunk long, blob binary")
+    chunks, size = chunked(rows, chunk_bytes)
+    asked = chunks.mapInArrow(_ask(buckets_for(size, bucket_bytes)), "bucket int, chunk long, blob binary")
     answers = asked.groupBy("bucket").applyInArrow(_answer(bits), _ANSWERS).checkpoint()
     seen = answers.agg(*[F.sum(c).alias(c) for c in ("tokens", "distinct", "coarse")]).first()
     totals = Totals(seen["tokens"] or 0, seen["distinct"] or 0, seen["coarse"] or 0.0)

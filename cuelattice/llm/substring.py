@@ -2,10 +2,13 @@
 
 A window is 50 consecutive words of one document. Its anchor is the 16-word piece in it
 with the smallest hash, so equal windows have equal anchors. The first pass counts anchors
-in a count-min sketch: each task counts its own, and the tasks' sketches are summed cell
-by cell. The count of a window's anchor there is never below the window's own count, so
-the second pass may leave out every window whose anchor was counted once, and groups
-exactly what is left, by 128 bits of hash of its words.
+in a count-min sketch: each chunk of texts sends its own counts to the shards of the sketch,
+which add them up cell by cell and answer which anchors may occur in two documents. The
+count of a window's anchor there is never below the window's own count, so the second pass
+may leave out every window whose anchor was counted once. It groups exactly what is left,
+by 96 bits of hash of its words: each chunk sends a window once, with the smallest doc_id
+that has it there, to a bucket by the window's own hash, and is told whether another chunk
+has it under a smaller one. Shards and buckets follow the bytes of text.
 """
 
 from __future__ import annotations
@@ -14,22 +17,19 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cuelattice.llm.chunks import CHUNK_BYTES, buckets_for, chunked, heads, pack, places, rows_of, sent, steps, unpack
 from cuelattice.llm.common import prepare
-from cuelattice.llm.textscan import Scan, mix64, rolling, slices, texts_of, window_starts
+from cuelattice.llm.textscan import Scan, mix64, rolling, texts_of, window_starts
 
 WINDOW, PIECE = 50, 16
-DEPTH, WIDTH_BITS = 2, 27  # the bitmap of repeated cells that is broadcast has DEPTH * 2**WIDTH_BITS bits: 32 MB
-HELD = 1 << 20  # windows, or distinct anchors, that a task gathers before it sums them up
+SHARD_BYTES, CELL_BITS = 64 << 20, 23  # of text for a shard of the sketch at most; a shard has two rows of 2**CELL_BITS cells
+BUCKET_BYTES = 32 << 20  # of text for each bucket of windows at most
 _U = np.uint64
-_SALT = (_U(0x2545F4914F6CDD1D), _U(0x9FB21C651E98DF25))
-_BLOB = "bucket int, blob binary"
 _PLACE_BITS = 28  # of a hash that give way to a word's number while the smallest is sought
-SPREAD = 9  # places of an anchor that share a bucket; the windows of one anchor are dealt to some four buckets
+_SENT = "bucket int, chunk long, blob binary"
 
 
 def _sliding_min(x: np.ndarray, k: int) -> np.ndarray:
@@ -43,253 +43,226 @@ def _sliding_min(x: np.ndarray, k: int) -> np.ndarray:
     return np.minimum(x[:n], x[k - have : k - have + n])
 
 
-def _anchors(scan: Scan) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes, the first words of all windows, the anchor of each of those windows and its place there.
+def _anchors(scan: Scan) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes, the first words of all windows and the anchor of each of those windows.
 
     The anchor is the first piece whose hash has the smallest upper bits, so that equal
-    windows have it at one place.
+    windows have the same.
     """
     words = scan.hashes()
     start = window_starts(scan.ptr, WINDOW)
     pieces = rolling(words, PIECE)
     low = _U((1 << _PLACE_BITS) - 1)
     least = _sliding_min((pieces & ~low) | (np.arange(len(pieces), dtype=np.uint64) & low), WINDOW - PIECE + 1)[start]
-    at = (least & low).astype(np.int64)
-    return words, start, pieces[at], at - start
+    return words, start, mix64(pieces[(least & low).astype(np.int64)])
 
 
-def _cells(anchor: np.ndarray, row: int) -> np.ndarray:
-    return (mix64(anchor ^ _SALT[row]) >> _U(64 - WIDTH_BITS)).astype(np.int64) + (row << WIDTH_BITS)
+class Windows:
+    """The windows of a chunk's documents; rows without a doc_id have none.
 
+    scans: one for each slice of rows. Of all windows: anchor; doc: the doc_id; at and part:
+    the first word in the slice, and which slice. words: the word hashes of each slice.
+    """
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A task's sketch, cells without a count left out; an anchor counts once for a document."""
-    held: list[np.ndarray] = []
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        anchor, n = np.unique(np.concatenate(held), return_counts=True)
-        for row in range(DEPTH):
-            yield pa.RecordBatch.from_pydict({"cell": _cells(anchor, row), "n": n})
-        held.clear()
-
-    for batch in batches:
-        for part in slices(batch):
+    def __init__(self, blob: bytes) -> None:
+        self.parts = rows_of(blob)
+        self.scans, self.words, found = [], [], []
+        for i, part in enumerate(self.parts):
             scan = Scan(texts_of(part))
-            _, start, anchor, _ = _anchors(scan)
-            if not len(anchor):
-                continue
-            doc = np.searchsorted(scan.ptr, start, "right")
-            fresh = np.r_[True, (doc[1:] != doc[:-1]) | (anchor[1:] != anchor[:-1])]
-            doc, anchor = doc[fresh], anchor[fresh]
-            order = np.lexsort((anchor, doc))
-            doc, anchor = doc[order], anchor[order]
-            held.append(anchor[np.r_[True, (doc[1:] != doc[:-1]) | (anchor[1:] != anchor[:-1])]])
-            if sum(map(len, held)) >= HELD:
-                yield from flush()
-    if held:
-        yield from flush()
-
-
-def repeated_cells(docs: DataFrame) -> bytes:
-    """Bit i is set if cell i of the merged sketch counts two documents or more.
-
-    The cells are summed and packed by the executors; the driver gets DEPTH * 2**WIDTH_BITS
-    bits at most, at any size of the input. A sketch that fills up lets more windows pass
-    to the exact grouping, and loses none.
-    """
-    cells = docs.select("text").mapInArrow(_sketch, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).where("n > 1")
-    packed = cells.groupBy(F.shiftright("cell", 15).alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("cell").bitwiseAND(F.lit(32767)) + 1)).alias("bits"))
-    out = bytearray(DEPTH << (WIDTH_BITS - 3))
-    for row in packed.collect():
-        out[row["at"] << 12 : (row["at"] + 1) << 12] = row["bits"]
-    return bytes(out)
-
-
-def _pack(**arrays: np.ndarray) -> bytes:
-    squeeze = zstandard.ZstdCompressor(level=1).compress
-    return b"".join(len(z := squeeze(a.tobytes())).to_bytes(4, "little") + z for a in arrays.values())
-
-
-def _unpack(blob: bytes, *kinds: type) -> list[np.ndarray]:
-    out, at = [], 0
-    for kind in kinds:
-        n = int.from_bytes(blob[at : at + 4], "little")
-        out.append(np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[at + 4 : at + 4 + n]), kind))
-        at += 4 + n
-    return out
-
-
-def _later(h: np.ndarray, anchor: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Which windows have an equal one with a smaller doc."""
-    key = mix64(h + mix64(anchor))
-    order = np.argsort(key, kind="stable")
-    fresh = np.r_[True, key[order][1:] != key[order][:-1]]
-    same = np.r_[True, (h[order][1:] == h[order][:-1]) & (anchor[order][1:] == anchor[order][:-1])]
-    if not (fresh | same).all():  # two windows with one key
-        order = np.lexsort((anchor, h))
-        fresh = np.r_[True, (h[order][1:] != h[order][:-1]) | (anchor[order][1:] != anchor[order][:-1])]
-    head = np.flatnonzero(fresh)
-    size = np.diff(np.r_[head, len(order)])
-    least = np.repeat(np.minimum.reduceat(doc[order], head), size)
-    later = np.zeros(len(h), bool)
-    later[order] = least < doc[order]
-    return later
-
-
-def _once(at: np.ndarray, row: np.ndarray) -> np.ndarray:
-    """Indexes of the windows without those that repeat a row and a place: a row stands for its doc_id and text."""
-    order = np.lexsort((at, row))
-    return order[np.r_[True, (at[order][1:] != at[order][:-1]) | (row[order][1:] != row[order][:-1])]]
-
-
-def _runs(at: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Consecutive windows of one row as (row, first word, windows)."""
-    order = np.lexsort((at, row))
-    at, row = at[order], row[order]
-    head = np.flatnonzero(np.r_[True, (at[1:] != at[:-1] + 1) | (row[1:] != row[:-1])])
-    return row[head], at[head], np.diff(np.r_[head, len(at)])
-
-
-def _candidates(bits, buckets: int) -> Callable:  # bits: a broadcast variable
-    """Windows that may be repeated, summed up within a task.
-
-    Of equal windows in a task, those with a larger doc_id are removed for certain and
-    leave as runs; all those with the smallest doc_id go on to be compared across tasks, each
-    place in each of its rows, as another task may have a smaller one yet. A window that a
-    third of all documents hold makes for each task as many entries as one document has it.
-    """
+            words, start, anchor = _anchors(scan)
+            owner = np.searchsorted(scan.ptr, start, "right") - 1
+            doc = part.column(0)
+            known = ~np.asarray(doc.is_null())[owner]
+            doc = doc.fill_null(0).to_numpy(zero_copy_only=False)[owner]
+            found.append((anchor[known], doc[known], owner[known], start[known], np.full(int(known.sum()), i)))
+            self.scans.append(scan)
+            self.words.append(words)
+        self.anchor, self.doc, self.row, self.at, self.part = map(np.concatenate, zip(*found, strict=True))
+
+    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct anchors in order, and in how many rows each occurs."""
+        head = np.flatnonzero(np.r_[True, (self.anchor[1:] != self.anchor[:-1]) | (self.row[1:] != self.row[:-1]) | (self.part[1:] != self.part[:-1])]) if len(self.anchor) else []
+        anchor, row = self.anchor[head], self.row[head] + (self.part[head] << 32)
+        order = np.lexsort((row, anchor))
+        anchor, row = anchor[order], row[order]
+        first = heads(anchor)
+        fresh = np.r_[True, (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])].astype(np.int64) if len(anchor) else np.zeros(0, np.int64)
+        return anchor[first], np.add.reduceat(fresh, first) if len(first) else fresh
+
+    def repeated(self, several: np.ndarray) -> np.ndarray:
+        """Indexes of the windows whose anchor may be repeated; several: what the sketch says of anchors()."""
+        known, _ = self.anchors()
+        marked = known[several]
+        if not len(marked):
+            return np.zeros(0, np.int64)
+        run = heads(self.anchor) if len(self.anchor) else np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(marked, self.anchor[run]), len(marked) - 1)
+        return np.flatnonzero(np.repeat(marked[at] == self.anchor[run], np.diff(np.r_[run, len(self.anchor)])))
+
+    def hashes(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two hashes of some windows, of 64 and 32 bits."""
+        out = np.empty(len(some), np.uint64)
+        cut = np.searchsorted(self.part[some], np.arange(len(self.parts) + 1))
+        for i, words in enumerate(self.words):
+            out[cut[i] : cut[i + 1]] = rolling(words, WINDOW)[self.at[some[cut[i] : cut[i + 1]]]] if cut[i] < cut[i + 1] else 0
+        return out, (self.anchor[some] >> _U(16)).astype(np.uint32)
+
+
+def grouped(h: np.ndarray, check: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order of windows by h, where groups of equal ones begin in it, and the smallest doc of each group."""
+    order = np.argsort(h, kind="stable")
+    same = (h[order][1:] == h[order][:-1]) if len(h) else np.zeros(0, bool)
+    if (same & (check[order][1:] != check[order][:-1])).any():  # two windows with one h
+        order = np.lexsort((check, h))
+        same = (h[order][1:] == h[order][:-1]) & (check[order][1:] == check[order][:-1])
+    head = np.flatnonzero(np.r_[True, ~same]) if len(h) else np.zeros(0, np.int64)
+    return order, head, np.minimum.reduceat(doc[order], head) if len(head) else doc[:0]
+
+
+def _rest(anchor: np.ndarray, shards: int) -> np.ndarray:
+    """The bits of an anchor that are its cells in its shard."""
+    return (anchor << _U(shards.bit_length() - 1)) >> _U(64 - 2 * CELL_BITS)
+
+
+def _ask_sketch(shards: int) -> Callable:
+    """From chunks (chunk, blob) the anchors of each and their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.frombuffer(bits.value, np.uint8)
-        held: list[tuple[np.ndarray, ...]] = []
-
-        def repeated(anchor: np.ndarray) -> np.ndarray:
-            out = np.ones(len(anchor), bool)
-            for row in range(DEPTH):
-                cell = _cells(anchor, row)
-                out &= (seen[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1
-            return out
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            h, anchor, doc, row, at, share = map(np.concatenate, zip(*held, strict=True))
-            held.clear()
-            later = _later(h, anchor, doc)
-            out: list[tuple[int, bytes]] = []
-            if later.any():
-                name, start, n = _runs(at[later], row[later])
-                place = (mix64(name.view(np.uint64)) % _U(buckets)).astype(np.int64)
-                for b in np.unique(place):
-                    m = place == b
-                    out.append((int(b), b"R" + _pack(row=name[m], start=start[m].astype(np.int32), n=n[m].astype(np.int32))))
-            h, anchor, doc, row, at, share = (x[~later] for x in (h, anchor, doc, row, at, share))
-            once = _once(at, row)
-            h, anchor, doc, row, at, share = (x[once] for x in (h, anchor, doc, row, at, share))
-            place = (mix64(anchor + share * _SALT[0]) % _U(buckets)).astype(np.int32)
-            order = np.argsort(place, kind="stable")
-            cut = np.searchsorted(place[order], np.arange(buckets + 1))
-            for b in np.flatnonzero(np.diff(cut)):
-                m = order[cut[b] : cut[b + 1]]
-                out.append((int(b), b"W" + _pack(h=h[m], anchor=anchor[m], doc=doc[m], row=row[m], at=at[m])))
-            yield pa.RecordBatch.from_pydict({"bucket": pa.array([b for b, _ in out], pa.int32()), "blob": pa.array([x for _, x in out], pa.binary())})
-
         for batch in batches:
-            for part in slices(batch):
-                scan = Scan(texts_of(part))
-                words, start, anchor, offset = _anchors(scan)
-                if not len(anchor):
-                    continue
-                head = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
-                passed = np.repeat(repeated(anchor[head]), np.diff(np.r_[head, len(anchor)]))
-                start, anchor, offset = start[passed], anchor[passed], offset[passed]
-                owner = np.searchsorted(scan.ptr, start, "right") - 1
-                doc = part.column(0).to_numpy(zero_copy_only=False)[owner]
-                row = part.column(1).to_numpy(zero_copy_only=False)[owner]
-                held.append((rolling(words, WINDOW)[start], anchor, doc, row, (start - scan.ptr[owner]).astype(np.int32), (offset // SPREAD).astype(np.uint64)))
-                if sum(len(x[0]) for x in held) >= HELD:
-                    yield from flush()
-        if held and sum(len(x[0]) for x in held):
-            yield from flush()
+            for chunk, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                anchor, n = Windows(blob).anchors()
+                cut = places(anchor, shards)
+                full = np.flatnonzero(np.diff(cut)).tolist()
+                yield sent(full, chunk, [pack(steps(_rest(anchor[cut[b] : cut[b + 1]], shards)), np.minimum(n[cut[b] : cut[b + 1]], 2).astype(np.uint8)) for b in full])
 
     return run
 
 
-def _group(table: pa.Table) -> pa.Table:
-    """All blobs of a bucket: the runs of windows that an earlier document has."""
-    runs, windows = [], []
-    for blob in table.column("blob").to_pylist():
-        if blob[:1] == b"R":
-            runs.append(_unpack(blob[1:], np.int64, np.int32, np.int32))
-        else:
-            windows.append(_unpack(blob[1:], np.uint64, np.uint64, np.int64, np.int64, np.int32))
-    if windows:
-        h, anchor, doc, row, at = map(np.concatenate, zip(*windows, strict=True))
-        later = _later(h, anchor, doc)
-        if later.any():
-            runs.append([x.astype(k) for x, k in zip(_runs(at[later], row[later]), (np.int64, np.int32, np.int32), strict=True)])
-    cols = [np.concatenate(x) for x in zip(*runs, strict=True)] if runs else [np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)]
-    return pa.Table.from_arrays([pa.array(c) for c in cols], names=["_row", "start", "n"])
+def _sketch(table: pa.Table) -> pa.Table:
+    """A shard of the sketch: for each chunk which of its anchors count two or more, one bit each."""
+    asked = [unpack(x, np.uint64, np.uint8) for x in table.column("blob").to_pylist()]
+    key = np.concatenate([np.cumsum(s, dtype=np.uint64) for s, _ in asked])
+    count = np.concatenate([n for _, n in asked])
+    several = np.ones(len(count), bool)
+    for row in (0, 1):
+        cell = (key >> _U(row * CELL_BITS) & _U((1 << CELL_BITS) - 1)).astype(np.int64)
+        total = np.zeros(1 << CELL_BITS, np.uint32)
+        np.add.at(total, cell, count)
+        several &= total[cell] > 1
+    ends = np.cumsum([len(n) for _, n in asked])
+    return _answers(table, [pack(np.packbits(several[e - len(n) : e])) for e, (_, n) in zip(ends, asked, strict=True)])
 
 
-def removed_runs(docs: DataFrame) -> DataFrame:
-    """(_row, start, n): n windows from word start on are removed in the rows whose _row it is.
+def _answers(table: pa.Table, blobs: list[bytes]) -> pa.Table:
+    return pa.table({"bucket": table.column("bucket"), "chunk": table.column("chunk"), "blob": pa.array(blobs, pa.binary())})
 
-    docs: doc_id, _row, text. The number of buckets follows the partitions of a shuffle.
-    """
-    spark = docs.sparkSession
-    bits = spark.sparkContext.broadcast(repeated_cells(docs))
-    buckets = 4 * max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    blobs = docs.where("doc_id IS NOT NULL").mapInArrow(_candidates(bits, buckets), _BLOB)
-    return blobs.groupBy("bucket").applyInArrow(_group, "_row long, start int, n int")
+
+def _told(found: list[tuple[int, bytes]], keys: np.ndarray, buckets: int) -> np.ndarray:
+    """What the buckets answered to some sorted keys, as one array."""
+    size = np.diff(places(keys, buckets))
+    return np.concatenate([np.zeros(0, bool), *(np.unpackbits(unpack(x, np.uint8)[0], count=int(size[b])).astype(bool) for b, x in sorted(found))])
+
+
+_TEXTS, _SKETCH, _EXACT = 0, 1, 2  # what a row of a chunk's group is: its texts, or the answers of either pass
+
+
+def _read(table: pa.Table) -> tuple[int, Windows, dict[int, list[tuple[int, bytes]]]]:
+    kinds: dict[int, list[tuple[int, bytes]]] = {_TEXTS: [], _SKETCH: [], _EXACT: []}
+    for kind, bucket, blob in zip(*(table.column(c).to_pylist() for c in ("kind", "bucket", "blob")), strict=True):
+        kinds[kind].append((bucket, blob))
+    return table.column("chunk")[0].as_py(), Windows(kinds[_TEXTS][0][1]), kinds
+
+
+def _candidates(windows: Windows, kinds: dict, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Indexes of a chunk's windows that may be repeated, grouped: order, heads, and of each group the hashes and the smallest doc."""
+    some = windows.repeated(_told(kinds[_SKETCH], windows.anchors()[0], shards))
+    h, check = windows.hashes(some)
+    order, head, least = grouped(h, check, windows.doc[some])
+    return some[order], head, h[order][head], check[order][head], least, np.repeat(np.arange(len(head)), np.diff(np.r_[head, len(some)]))
 
 
-def _cut(layout: bool) -> Callable:
-    """Rows (doc_id, text, runs, …) with their words counted and cut; the columns from the fourth on pass through.
+def _ask_exactly(shards: int, buckets: int) -> Callable:
+    """From a chunk and the sketch's answers its distinct windows that may be repeated, each with its smallest doc_id there."""
+
+    def run(table: pa.Table) -> pa.Table:
+        chunk, windows, kinds = _read(table)
+        _, _, h, check, least, _ = _candidates(windows, kinds, shards)
+        cut = places(h, buckets)
+        full = np.flatnonzero(np.diff(cut)).tolist()
+        blobs = [pack(steps(h[a:b]), check[a:b], least[a:b]) for a, b in ((cut[x], cut[x + 1]) for x in full)]
+        return pa.Table.from_batches([sent(full, chunk, blobs)])
+
+    return run
+
+
+def _group(table: pa.Table) -> pa.Table:
+    """A bucket of windows: for each chunk which of those it asked about another one has with a smaller doc_id."""
+    asked = [unpack(x, np.uint64, np.uint32, np.int64) for x in table.column("blob").to_pylist()]
+    doc = np.concatenate([d for _, _, d in asked])
+    order, head, least = grouped(np.concatenate([np.cumsum(s, dtype=np.uint64) for s, _, _ in asked]), np.concatenate([c for _, c, _ in asked]), doc)
+    later = np.zeros(len(doc), bool)
+    later[order] = np.repeat(least, np.diff(np.r_[head, len(doc)])) < doc[order]
+    ends = np.cumsum([len(d) for _, _, d in asked])
+    return _answers(table, [pack(np.packbits(later[e - len(d) : e])) for e, (_, _, d) in zip(ends, asked, strict=True)])
+
+
+def _cut(shards: int, buckets: int, layout: bool, names: list[str]) -> Callable:
+    """From a chunk and all answers its rows with their words counted and cut; the columns from the third on pass through.
 
     layout: a text without repeats stays as it was written.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch):
-                texts = texts_of(part)
-                scan = Scan(texts)
-                data, ws, we = scan.joined()
-                keep = np.ones(len(ws) + 1, bool)
-                runs = part.column(2)
-                size = pa.compute.fill_null(pa.compute.list_value_length(runs), 0).to_numpy(zero_copy_only=False)
-                flat = runs.flatten()
-                if len(flat):
-                    step = np.zeros(len(ws) + 1, np.int32)
-                    start = flat.field(0).to_numpy(zero_copy_only=False) + np.repeat(scan.ptr[:-1], size)
-                    np.add.at(step, start, 1)
-                    np.add.at(step, start + flat.field(1).to_numpy(zero_copy_only=False) + (WINDOW - 1), -1)
-                    keep = np.cumsum(step) == 0
-                out, gone = [], []
-                for i, hit in enumerate(size > 0):
-                    p, q = int(scan.ptr[i]), int(scan.ptr[i + 1])
-                    left = np.flatnonzero(keep[p:q]) + p if hit else None
-                    gone.append(q - p - len(left) if hit else 0)
-                    if hit:
-                        out.append(b" ".join([data[a:b] for a, b in zip(ws[left].tolist(), we[left].tolist(), strict=True)]))
-                    else:
-                        out.append(texts[i] if layout else data[ws[p] : we[q - 1]] if p < q else b"")
-                words = [pa.array(np.diff(scan.ptr)), pa.array(gone, pa.int64()), pa.array(out, pa.binary()).cast(pa.string())]
-                yield pa.RecordBatch.from_arrays([part.column(0), *words, *part.columns[3:]], names=["doc_id", "n_words", "n_removed", "kept_text", *part.schema.names[3:]])
+    def run(table: pa.Table) -> pa.Table:
+        _, windows, kinds = _read(table)
+        order, head, h, _, least, group = _candidates(windows, kinds, shards)
+        elsewhere = _told(kinds[_EXACT], h, buckets)
+        gone = order[elsewhere[group] | (least[group] < windows.doc[order])] if len(order) else order
+        return pa.Table.from_batches([_kept(part, scan, windows.at[gone[windows.part[gone] == i]], layout, names) for i, (part, scan) in enumerate(zip(windows.parts, windows.scans, strict=True))])
 
     return run
 
 
-def _cut_rows(docs: DataFrame, layout: bool, keep: list[str]) -> DataFrame:
+def _kept(part: pa.RecordBatch, scan: Scan, gone: np.ndarray, layout: bool, names: list[str]) -> pa.RecordBatch:
+    """Rows without the words of the windows that begin at some words."""
+    texts = texts_of(part)
+    data, ws, we = scan.joined()
+    step = np.zeros(len(ws) + 1, np.int32)
+    np.add.at(step, gone, 1)
+    np.add.at(step, gone + WINDOW, -1)
+    keep = np.cumsum(step[:-1]) == 0
+    kept = np.r_[0, np.cumsum(keep)]
+    words, left = np.diff(scan.ptr), kept[scan.ptr[1:]] - kept[scan.ptr[:-1]]
+    out = []
+    for i, hit in enumerate((left < words).tolist()):
+        p, q = int(scan.ptr[i]), int(scan.ptr[i + 1])
+        if hit:
+            some = np.flatnonzero(keep[p:q]) + p
+            out.append(b" ".join([data[a:b] for a, b in zip(ws[some].tolist(), we[some].tolist(), strict=True)]))
+        else:
+            out.append(texts[i] if layout else data[ws[p] : we[q - 1]] if p < q else b"")
+    return pa.RecordBatch.from_arrays([part.column(0), pa.array(words), pa.array(words - left), pa.array(out, pa.binary()).cast(pa.string()), *part.columns[2:]], names=names)
+
+
+def _cut_rows(docs: DataFrame, layout: bool, keep: list[str], chunk_bytes: int, shard_bytes: int, bucket_bytes: int) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_text and the columns of keep as _keep_0, _keep_1, …"""
     prepare(docs.sparkSession)
-    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("_row"), "text", *[F.col(c).alias(f"_keep_{i}") for i, c in enumerate(keep)])
-    runs = removed_runs(rows.select("doc_id", "_row", "text")).groupBy("_row").agg(F.collect_list(F.struct("start", "n")).alias("_runs"))
     kept = [f"_keep_{i}" for i in range(len(keep))]
-    joined = rows.join(runs, "_row", "left").select("doc_id", "text", "_runs", *kept)
-    kind = "".join(f", `{k}` {docs.schema[c].dataType.simpleString()}" for k, c in zip(kept, keep, strict=True))
-    return joined.mapInArrow(_cut(layout), "doc_id long, n_words long, n_removed long, kept_text string" + kind)
+    chunks, size = chunked(docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(k) for c, k in zip(keep, kept, strict=True)]), chunk_bytes)
+    shards, buckets = buckets_for(size, shard_bytes), buckets_for(size, bucket_bytes)
+
+    def rows(kind: int, frame: DataFrame) -> DataFrame:
+        return frame.select(F.lit(kind).alias("kind"), "bucket", "chunk", "blob")
+
+    texts = rows(_TEXTS, chunks.withColumn("bucket", F.lit(-1)))
+    several = rows(_SKETCH, chunks.mapInArrow(_ask_sketch(shards), _SENT).groupBy("bucket").applyInArrow(_sketch, _SENT).checkpoint())
+    asked = texts.unionByName(several).groupBy("chunk").applyInArrow(_ask_exactly(shards, buckets), _SENT)
+    later = rows(_EXACT, asked.groupBy("bucket").applyInArrow(_group, _SENT))
+    names = ["doc_id", "n_words", "n_removed", "kept_text", *kept]
+    kind = "doc_id long, n_words long, n_removed long, kept_text string" + "".join(f", `{k}` {docs.schema[c].dataType.simpleString()}" for k, c in zip(kept, keep, strict=True))
+    return texts.unionByName(several).unionByName(later).groupBy("chunk").applyInArrow(_cut(shards, buckets, layout, names), kind)
 
 
-def substring_dedup(docs: DataFrame) -> DataFrame:
+def substring_dedup(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, shard_bytes: int = SHARD_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """doc_id, n_words, n_removed and kept_text of every document.
 
     A word goes if a window of 50 words covers it that a document with a smaller doc_id
@@ -298,16 +271,17 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     Repeated rows of one doc_id do not count against one another. Extra columns are
     ignored; an empty table gives no rows.
     """
-    return _cut_rows(docs, False, [])
+    return _cut_rows(docs, False, [], chunk_bytes, shard_bytes, bucket_bytes)
 
 
-def cut_documents(docs: DataFrame) -> DataFrame:
+def cut_documents(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, shard_bytes: int = SHARD_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """The documents with repeated passages cut out of text; a text without any stays as it is.
 
-    n_chars, where the table has it, follows the new text.
+    n_chars, where the table has it, follows the new text. All other columns of a row stay
+    with it, whatever their names; rows and handling of nulls are those of substring_dedup.
     """
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    out = _cut_rows(docs, True, others)
+    out = _cut_rows(docs, True, others, chunk_bytes, shard_bytes, bucket_bytes)
     named = {c: F.col(f"_keep_{i}") for i, c in enumerate(others)} | {"doc_id": F.col("doc_id"), "text": F.col("kept_text")}
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType

@@ -3,9 +3,11 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 from cuelattice.llm import components, simhash, substring
+from cuelattice.llm.chunks import pack, steps, unpack
 from cuelattice.llm.textscan import Scan, rolling, window_starts
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -130,17 +132,39 @@ def cut(rows, window=substring.WINDOW):
     return sorted(out)
 
 
-def test_substrings_agree_with_brute_force(docs, rows, nothing, monkeypatch):
-    got = substring.substring_dedup(docs)
-    got = sorted((str(r.doc_id), r.n_words, r.n_removed, hashlib.sha256(r.kept_text.encode()).hexdigest()) for r in got.collect())
+def test_substrings_agree_with_brute_force(docs, rows, nothing):
+    got = cut_by_operator(docs)
     assert got == cut(rows) and sum(r[2] for r in got) > 300
     assert substring.substring_dedup(nothing).count() == 0
 
 
-def test_a_full_sketch_loses_nothing(docs, rows, monkeypatch):
-    monkeypatch.setattr(substring, "repeated_cells", lambda docs: b"\xff" * (substring.DEPTH << (substring.WIDTH_BITS - 3)))
-    got = substring.substring_dedup(docs)
-    assert sorted((str(r.doc_id), r.n_words, r.n_removed, hashlib.sha256(r.kept_text.encode()).hexdigest()) for r in got.collect()) == cut(rows)
+def test_sizes_change_nothing(docs, rows):
+    for sizes in ((1, 1 << 30, 1 << 30), (20_000, 1 << 12, 1 << 12), (1 << 30, 1 << 14, 1 << 16)):
+        assert cut_by_operator(docs, *sizes) == cut(rows)
+
+
+def test_a_full_sketch_loses_nothing():
+    rng = np.random.default_rng(6)
+    table = pa.table({"bucket": [0, 0], "chunk": [4, 7], "blob": [pack(steps(np.sort(rng.integers(0, 1 << 6, 5000, dtype=np.uint64))), np.ones(5000, np.uint8)) for _ in range(2)]})
+    told = substring._sketch(table)
+    assert told.column("chunk").to_pylist() == [4, 7]
+    assert all(np.unpackbits(unpack(x, np.uint8)[0], count=5000).all() for x in told.column("blob").to_pylist())
+
+
+def test_the_sketch_passes_few_windows_that_occur_once():
+    """At the density that a shard has at most: one anchor for about eighteen words of five bytes."""
+    rng = np.random.default_rng(7)
+    keys = np.sort(rng.integers(0, 1 << 46, substring.SHARD_BYTES // 100, dtype=np.uint64))
+    table = pa.table({"bucket": [0], "chunk": [0], "blob": [pack(steps(keys), np.ones(len(keys), np.uint8))]})
+    assert np.unpackbits(unpack(substring._sketch(table).column("blob")[0].as_py(), np.uint8)[0], count=len(keys)).mean() < 0.01
+
+
+def test_equal_windows_with_one_hash_are_told_apart_by_the_other():
+    h, check, doc = np.array([5, 5, 5, 5, 1], np.uint64), np.array([1, 2, 1, 2, 1], np.uint32), np.array([9, 8, 7, 6, 5])
+    order, head, least = substring.grouped(h, check, doc)
+    found = {(int(h[i]), int(check[i])): int(m) for i, m in zip(order[head], least, strict=True)}
+    assert found == {(1, 1): 5, (5, 1): 7, (5, 2): 6}
+    assert all(len(x) == 0 for x in substring.grouped(h[:0], check[:0], doc[:0]))
 
 
 def test_documents_without_repeats_are_left_alone(docs, rows):
@@ -157,15 +181,15 @@ def test_anchors_are_those_of_equal_windows():
     passage = [f"p{rng.randrange(9)}" for _ in range(80)]
     texts = [" ".join([f"{k}{i}" for i in range(30)] + passage).encode() for k in "abc"]
     scan = Scan(texts)
-    _, start, anchor, offset = substring._anchors(scan)
+    _, start, anchor = substring._anchors(scan)
     by = {}
     found = WORD.findall(b" ".join(texts).decode())
-    for s, a in zip(start.tolist(), zip(anchor.tolist(), offset.tolist(), strict=True), strict=True):
+    for s, a in zip(start.tolist(), anchor.tolist(), strict=True):
         assert by.setdefault(tuple(found[s : s + 50]), a) == a
 
 
-def cut_by_operator(docs):
-    return sorted((str(r.doc_id), r.n_words, r.n_removed, hashlib.sha256(r.kept_text.encode()).hexdigest()) for r in substring.substring_dedup(docs).collect())
+def cut_by_operator(docs, *sizes):
+    return sorted((str(r.doc_id), r.n_words, r.n_removed, hashlib.sha256(r.kept_text.encode()).hexdigest()) for r in substring.substring_dedup(docs, *sizes).collect())
 
 
 def test_a_passage_that_a_document_repeats_goes_at_every_place(spark):
