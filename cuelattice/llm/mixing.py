@@ -25,7 +25,8 @@ WEIGHTS, BOOST, MOST = (3.0, 1.0, 2.0), 1.5, 2.0
 BLOCK = 64  # documents in a block of the tree, about
 BROADCAST_SOURCES = 20_000  # sources up to which the table of targets is broadcast
 SLACK = 0.9  # how much of the way to 0 or 1 a waiting document's fraction may be moved
-_UNIT = "struct<waits:boolean,order:bigint,key:bigint,doc_id:bigint,size:bigint,base:bigint,x:double>"
+EQUAL_ROWS = 1 << 16  # equal rows that one row is spread to at once
+_UNIT = "struct<waits:boolean,order:bigint,key:bigint,twin:bigint,doc_id:bigint,size:bigint,rows:bigint,base:bigint,more:bigint,x:double>"
 
 
 def _uniform(*parts: Column | str) -> Column:
@@ -33,15 +34,15 @@ def _uniform(*parts: Column | str) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*parts), 11) / F.lit(float(1 << 53))
 
 
-def source_targets(rows: DataFrame, weights: Sequence[float] = WEIGHTS, boost: float = BOOST, most: float = MOST) -> DataFrame:
-    """source, n, source_size and target of each source in rows(source, size).
+def source_targets(grouped: DataFrame, weights: Sequence[float] = WEIGHTS, boost: float = BOOST, most: float = MOST) -> DataFrame:
+    """source, n, source_size and target of each source in grouped(source, size, rows); n counts the groups.
 
     Sources in code-point order, null last, get the weights in turn and share boost times
     all sizes; no target is above most times its source's size, and what is above is
     shared again by weight. With sources in order of size / weight, the level of the
     shares is the largest that any number of full sources leaves to the others.
     """
-    total = rows.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("source_size"))
+    total = grouped.groupBy("source").agg(F.count("*").alias("n"), F.sum(F.col("size") * F.col("rows")).alias("source_size"))
     rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
     given = F.element_at(F.array(*map(F.lit, weights)), (rank - 1) % len(weights) + 1)
     total = total.withColumn("weight", given).withColumn("cap", most * F.col("source_size"))
@@ -124,33 +125,29 @@ def _round_level(units: DataFrame, level: int) -> DataFrame:
     return folded.select("source", "block", F.explode(flagged).alias("f")).select("source", "block", "f.unit", "f.open")
 
 
-def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, boost: float = BOOST, most: float = MOST, block: int = BLOCK) -> DataFrame:
-    """doc_id, key, size, source_size, target, copies and taken of every document.
+def _mixed(rows: DataFrame, weights: Sequence[float], boost: float, most: float, block: int) -> DataFrame:
+    """Groups of equal rows(doc_id, source, size, key, twin), with how often the mix takes them.
 
-    size is the number of words (a null text: 0), target the source's, copies how often
-    the mix takes the document, and taken the words of all its copies. All randomness is
-    a hash of doc_id and text, so reruns agree. A null source is a source. Documents
-    without words are taken by their source's whole copies only, with no words. Repeated
-    rows are rounded one by one. Extra columns are ignored; an empty table gives no rows.
-    A source with a third of all rows is dealt out over its blocks, so that no task has
-    more of it than of others.
+    doc_id, key, twin, size, rows, source_size and target; each of the rows is taken base
+    times, and more of them once more. Equal rows are one unit, as large as one of them:
+    what their fractions make together is whole copies and one fraction.
     """
-    prepare(docs.sparkSession)
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.select("doc_id", "source", size.alias("size"), F.xxhash64("doc_id", "text").alias("key")).checkpoint()
-    targets = source_targets(rows, weights, boost, most).checkpoint()
+    grouped = rows.groupBy("doc_id", "source", "size", "key", "twin").agg(F.count("*").alias("rows")).checkpoint()
+    targets = source_targets(grouped, weights, boost, most).checkpoint()
     seen = targets.agg(F.max("n").alias("n"), F.count("*").alias("sources")).first()
     small = targets.select(F.col("source").alias("_source"), "n", "source_size", "target")
     if seen["sources"] <= BROADCAST_SOURCES:
         small = F.broadcast(small)
     copies = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     base = F.floor(copies).cast("long")
-    rows = rows.join(small, F.col("source").eqNullSafe(F.col("_source"))).withColumn("base", base).withColumn("x", copies - base)
+    units = grouped.join(small, F.col("source").eqNullSafe(F.col("_source"))).withColumn("base", base).withColumn("all", (copies - base) * F.col("rows"))
+    more = F.least(F.floor("all").cast("long"), F.col("rows") - 1)
+    units = units.withColumn("more", more).withColumn("x", F.least(F.col("all") - F.col("more"), F.lit(1 - 1e-12)))
     live = (F.col("x") > 0) & (F.col("size") > 0)
     blocks = F.ceil(F.col("n") / block).cast("long")
     at = F.pmod(F.xxhash64("key", F.lit(1)), blocks)
-    unit = F.struct((at == 0).alias("waits"), (-F.col("size")).alias("order"), "key", "doc_id", "size", "base", "x").cast(_UNIT)
-    units = rows.select("source", at.alias("block"), live.alias("live"), unit.alias("unit"))
+    unit = F.struct((at == 0).alias("waits"), (-F.col("size")).alias("order"), "key", "twin", "doc_id", "size", "rows", "base", "more", "x").cast(_UNIT)
+    units = units.select("source", at.alias("block"), live.alias("live"), unit.alias("unit"))
     settled = [units.where("NOT live").select("source", F.col("unit").withField("x", F.lit(0.0)).alias("unit"))]
     waiting = units.where("live AND unit.waits").drop("live")
     units, left, level = units.where("live AND NOT unit.waits").drop("live"), -(-(seen["n"] or 0) // block), 0
@@ -164,17 +161,57 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, boost: floa
     last = F.when(_uniform("unit.key", F.lit(-1)) < F.col("unit.x"), 1.0).otherwise(0.0)
     settled.append(units.select("source", F.col("unit").withField("x", last).alias("unit")))
     out = settled[0]
-    for more in settled[1:]:
-        out = out.unionByName(more)
+    for part in settled[1:]:
+        out = out.unionByName(part)
     out = out.join(small.drop("n"), F.col("source").eqNullSafe(F.col("_source")))
-    whole = (F.col("unit.base") + F.col("unit.x").cast("long")).alias("copies")
-    out = out.select("unit.doc_id", "unit.key", "unit.size", "source_size", "target", whole)
-    return out.withColumn("taken", F.col("size") * F.col("copies"))
+    taken = (F.col("unit.more") + F.col("unit.x").cast("long")).alias("more")
+    return out.select("unit.doc_id", "unit.key", "unit.twin", "unit.size", "unit.rows", "source_size", "target", "unit.base", taken)
+
+
+def _spread(groups: DataFrame, count: str, place: str) -> DataFrame:
+    """Each of groups(key, twin, …) as often as count says, numbered from 0 as place; a large count is dealt to several tasks first."""
+    few, many = groups.where(F.col(count).between(1, EQUAL_ROWS)), groups.where(F.col(count) > EQUAL_ROWS)
+    last = F.col(count) - 1
+    parts = many.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(last / EQUAL_ROWS)))).repartition("key", "twin", "_part")
+    start = F.col("_part") * EQUAL_ROWS
+    spread = parts.withColumn(place, F.explode(F.sequence(start, F.least(last, start + (EQUAL_ROWS - 1))))).drop("_part")
+    return few.withColumn(place, F.explode(F.sequence(F.lit(0).cast("long"), last))).unionByName(spread)
+
+
+def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, boost: float = BOOST, most: float = MOST, block: int = BLOCK) -> DataFrame:
+    """doc_id, key, size, source_size, target, copies and taken of every document.
+
+    size is the number of words (a null text: 0), target the source's, copies how often
+    the mix takes the document, and taken the words of all its copies. All randomness is
+    a hash of doc_id and text, so reruns agree. A null source is a source. Documents
+    without words are taken by their source's whole copies only, with no words. Rows with
+    one doc_id and text are one unit of the tree, whose copies they share; each is a row
+    of the result. Extra columns are ignored; an empty table gives no rows. A source with
+    a third of all rows is dealt out over its blocks, so that no task has more of it than
+    of others.
+    """
+    prepare(docs.sparkSession)
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    rows = docs.select("doc_id", "source", size.alias("size"), F.xxhash64("doc_id", "text").alias("key"), F.xxhash64(F.lit(1), "doc_id", "text").alias("twin"))
+    out = _spread(_mixed(rows, weights, boost, most, block), "rows", "_place")
+    copies = (F.col("base") + (F.col("_place") < F.col("more")).cast("long")).alias("copies")
+    return out.select("doc_id", "key", "size", "source_size", "target", copies).withColumn("taken", F.col("size") * F.col("copies"))
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The documents of the mix, each as often as the mix takes it."""
-    copies = mix_sources(docs).groupBy(F.col("key").alias("_key")).agg(F.sum("copies").alias("_copies")).where("_copies > 0")
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text")).dropDuplicates(["_key"])
-    taken = keyed.join(copies, "_key").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
-    return taken.select(docs.columns)
+    """The documents of the mix, each row as often as the mix takes it.
+
+    Rows are told apart by 128 bits of hash of all their columns, and rows that are equal
+    in all of them are one whose copies they share. Columns may have any names. Null ids,
+    texts and sources and empty tables are handled as by mix_sources.
+    """
+    prepare(docs.sparkSession)
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    at = {c: F.col(n) for c, n in zip(docs.columns, names, strict=True)}
+    plain = docs.toDF(*names)
+    keyed = plain.withColumns({"key": F.xxhash64(*names), "twin": F.xxhash64(F.lit(1), *names)})
+    size = F.coalesce(F.regexp_count(at["text"], F.lit(WORD)), F.lit(0)).cast("long")
+    rows = keyed.select(at["doc_id"].alias("doc_id"), at["source"].alias("source"), size.alias("size"), "key", "twin")
+    mixed = _mixed(rows, WEIGHTS, BOOST, MOST, BLOCK).select("key", "twin", (F.col("base") * F.col("rows") + F.col("more")).alias("copies"))
+    taken = keyed.dropDuplicates(["key", "twin"]).join(mixed, ["key", "twin"])
+    return _spread(taken, "copies", "place").select(*names).toDF(*docs.columns)

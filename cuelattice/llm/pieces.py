@@ -28,7 +28,7 @@ from cuelattice.llm.textscan import Scan, mix64, slices, texts_of
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"  # stands for a space
-AUDIT = 16  # one document of so many is compared with the sentencepiece library
+AUDIT = 1  # one document of so many is compared with the sentencepiece library
 CACHE = 1 << 19  # pieces that a worker remembers, some 30 bytes each
 GROUP = 256  # pieces that are encoded as the lines of one text
 # Fixed values of the public model format: kinds of models and of vocabulary entries.
@@ -362,8 +362,8 @@ def encode_documents(docs: DataFrame, model: str = MODEL, audit: int = AUDIT, ke
 
     round_trip tells whether the ids, decoded, are the text again (a text with the marker
     itself is not: it comes back as a space). parity tells whether the sentencepiece
-    library gives the same ids, for one document of audit by a checksum of its id; null
-    for the others. A null or empty text has no ids.
+    library gives the same ids: for every document by default, or for one of audit by a
+    checksum of its id, and null for the others. A null or empty text has no ids.
     Repeated rows keep a row each; extra columns are ignored; an empty table gives no rows.
     """
     prepare(docs.sparkSession)

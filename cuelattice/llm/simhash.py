@@ -219,11 +219,15 @@ def simhash_components(docs: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame) -> DataFrame:
     """One row of each component: that with the smallest doc_id, a null one last, and of several the smallest hash.
 
-    Rows are told apart by doc_id and text, and components are those of the fingerprints, so
-    that rows of one doc_id, or without any, go only if their own component has another row.
+    Rows are told apart by 128 bits of hash of all their columns, and components are those of
+    the fingerprints, so that rows of one doc_id, or without any, go only if their own
+    component has another row. Null and wordless texts are one component. Columns may have
+    any names; an empty table gives no rows.
     """
-    others = {"_one": F.coalesce("doc_id", F.xxhash64(F.lit(1), "text")), "_two": F.xxhash64("doc_id", "text")}
-    keyed = docs.withColumns(others)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", *others)).alias("k")
-    kept = _labelled(keyed, list(others), "fp").groupBy("component_id").agg(first).select(*[f"k.{c}" for c in others])
-    return keyed.join(kept, list(others), "left_semi").dropDuplicates(list(others)).select(docs.columns)
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    at = dict(zip(docs.columns, names, strict=True))
+    keyed = docs.toDF(*names).withColumns({"one": F.xxhash64(*names), "two": F.xxhash64(F.lit(1), *names)})
+    rows = _labelled(keyed.select(F.col(at["doc_id"]).alias("doc_id"), F.col(at["text"]).alias("text"), "one", "two"), ["one", "two"], "fp")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "one", "two")).alias("k")
+    kept = rows.groupBy("component_id").agg(first).select("k.one", "k.two")
+    return keyed.join(kept, ["one", "two"], "left_semi").dropDuplicates(["one", "two"]).select(*names).toDF(*docs.columns)

@@ -80,12 +80,41 @@ def test_mix_takes_documents_as_often_as_expected(spark):
     assert abs(np.mean(short)) < 0.06 and abs(np.mean(long)) < 0.03  # no size is preferred
 
 
-def test_mixed_documents_come_as_often_as_they_are_taken(docs, rows):
+def test_mixed_documents_come_as_often_as_they_are_taken(docs, rows, nothing):
     want = Counter()
     for r in mixing.mix_sources(docs).collect():
         want[r.doc_id] += r.copies
-    assert Counter(r.doc_id for r in mixing.mixed_documents(docs).collect()) == +want
-    assert mixing.mixed_documents(docs).columns == docs.columns
+    got = Counter(r.doc_id for r in mixing.mixed_documents(docs).collect())
+    held = Counter(r[0] for r in rows)
+    assert all(n <= 2 * held[i] for i, n in got.items()) and {i for i, n in want.items() if n > 1} <= set(got)
+    assert mixing.mixed_documents(docs).columns == docs.columns and mixing.mixed_documents(docs).dtypes == docs.dtypes
+    assert sorted(map(str, mixing.mixed_documents(docs).collect())) == sorted(map(str, mixing.mixed_documents(docs.repartition(2)).collect()))
+    assert mixing.mixed_documents(nothing).count() == 0
+
+
+def test_mixed_documents_tell_rows_apart_by_all_columns(spark):
+    rows = [(1, "a b c", "s", i) for i in range(6)] + [(None, "d e f", "s", i) for i in range(6)] + [(2, None, None, 0), (3, "", "t", 0), (4, "x " * 30, "t", 1)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, _key int").withColumn("_copies", F.lit(7)).withColumn("key", F.lit("k"))
+    got = Counter((r.doc_id, r.text, r.source, r["_key"]) for r in mixing.mixed_documents(frame).collect())
+    assert set(got) <= set(rows) and max(got.values()) <= 2
+    sizes = {"s": 36, "t": 30, None: 0}
+    target = shares(sizes)
+    for source in ("s", "t"):
+        taken = sum(n * len(WORD.findall(t or "")) for (_, t, s, _), n in got.items() if s == source)
+        assert abs(taken - target[source]) <= 30
+
+
+def test_mix_of_rows_that_are_all_equal(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "EQUAL_ROWS", 7)
+    frame = spark.createDataFrame([(1, "a b c d", "s")] * 100 + [(2, "e f g h", "t")] * 300, "doc_id long, text string, source string")
+    got = mixing.mix_sources(frame).collect()
+    target = shares({"s": 400, "t": 1200})
+    assert Counter(r.doc_id for r in got) == {1: 100, 2: 300}
+    for i, source in ((1, "s"), (2, "t")):
+        mine = [r for r in got if r.doc_id == i]
+        assert abs(sum(r.taken for r in mine) - target[source]) <= 4 and mine[0].target == pytest.approx(target[source])
+        assert len({r.copies for r in mine}) <= 2 and max(r.copies for r in mine) <= 2
+    assert mixing.mixed_documents(frame).count() * 4 == sum(r.taken for r in got)
 
 
 # Chat.
