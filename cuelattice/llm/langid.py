@@ -19,8 +19,9 @@ from cuelattice.llm.common import held_out, prepare
 from cuelattice.llm.textscan import slices, texts_of
 
 FOLDS, FOLD = 3, 1
-SAMPLE = 512  # training windows for each language at most
-WINDOW = 256  # characters of a training window, and code points at most
+SAMPLE, MOST = 512, 1 << 14  # training windows for each language at most, and of all together
+LANGUAGES = 512  # the most frequent ones, which are learnt
+WINDOW = 256  # characters of a training window at most; all its bytes are learnt from
 HIDDEN, STEPS = 8, 128  # units in each direction; bytes that the state is carried over
 EPOCHS, BATCH, RATE = 6, 64, 0.02
 BLOCK = 1024  # pieces that are labelled at once
@@ -114,9 +115,10 @@ class Tagger:
         rng = np.random.default_rng(seed)
         weights = self.weights()
         first, second, step = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights], 0
-        pieces, live = _pieces(texts)
+        pieces, live, owner = _pieces(texts)
+        gold = gold[owner]
         for epoch in range(epochs):
-            order = rng.permutation(len(texts))
+            order = rng.permutation(len(owner))
             for i in range(0, len(order), BATCH):
                 pick = order[i : i + BATCH]
                 x, on, y = pieces[:, pick], live[:, pick], gold[pick]
@@ -146,13 +148,13 @@ class Tagger:
                     w -= pace * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
 
 
-def _pieces(texts: list[bytes], steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
-    """The first piece of each text as a column of bytes, and which of them are there."""
-    out, live = np.zeros((steps, len(texts)), np.uint8), np.zeros((steps, len(texts)), np.float32)
-    for i, t in enumerate(texts):
-        n = min(len(t), steps)
-        out[:n, i], live[:n, i] = np.frombuffer(t, np.uint8, n), 1
-    return out, live
+def _pieces(texts: list[bytes], steps: int = STEPS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The texts in pieces of some bytes, a column each, which bytes of them are there, and the text of each."""
+    cut = [(i, t[a : a + steps]) for i, t in enumerate(texts) for a in range(0, len(t), steps)]
+    out, live = np.zeros((steps, len(cut)), np.uint8), np.zeros((steps, len(cut)), np.float32)
+    for k, (_, t) in enumerate(cut):
+        out[: len(t), k], live[: len(t), k] = np.frombuffer(t, np.uint8), 1
+    return out, live, np.array([i for i, _ in cut], np.int64)
 
 
 def has_letter(text: bytes | None) -> bool:
@@ -182,18 +184,20 @@ def pooled(model: Tagger, texts: list[bytes | None]) -> np.ndarray:
     return total / np.maximum(size, 1)[:, None]
 
 
-def training_windows(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(lang, piece): up to sample windows for each language, one from a document each.
+def training_windows(docs: DataFrame, sample: int = SAMPLE, most: int = MOST, languages: int = LANGUAGES) -> DataFrame:
+    """(lang, slot, piece): up to sample windows for each language, one from a document each, and most in all.
 
-    Documents are dealt into sample slots by a hash of their id; of each slot and language
-    the one with the smallest hash gives a window at a place that its hash fixes.
+    The languages are the most frequent ones, the first by name where as many documents
+    have them. Documents are dealt into slots by a hash of their id; of each slot and
+    language the one with the smallest hash gives a window at a place that its hash fixes.
     """
+    known = docs.where("text IS NOT NULL AND lang IS NOT NULL AND length(text) > 0")
+    chosen = [r["lang"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(languages).collect()]
+    slots = max(1, min(sample, most // max(1, len(chosen))))
     h = F.xxhash64("doc_id", "text")
     at = F.pmod(h, F.greatest(F.lit(1), F.length("text") - WINDOW + 1)).cast("int") + 1
     piece = F.substring("text", at, F.lit(WINDOW))
-    found = docs.where("text IS NOT NULL AND lang IS NOT NULL AND length(text) > 0").select(
-        "lang", F.pmod(F.xxhash64("doc_id"), F.lit(sample)).alias("slot"), F.struct(h.alias("h"), piece.alias("piece")).alias("w")
-    )
+    found = known.where(F.col("lang").isin(chosen)).select("lang", F.pmod(F.xxhash64("doc_id"), F.lit(slots)).alias("slot"), F.struct(h.alias("h"), piece.alias("piece")).alias("w"))
     return found.groupBy("lang", "slot").agg(F.min("w").alias("w")).select("lang", "slot", "w.piece")
 
 
@@ -228,7 +232,7 @@ def identify_languages(docs: DataFrame, folds: int = FOLDS, fold: int = FOLD, sa
     """doc_id, held_out, lang_pred and score of every document.
 
     Learns from text and lang of documents outside the held-out fold, SAMPLE windows for
-    each language at most. lang_pred is one of the languages learnt, with its pooled
+    each of the LANGUAGES most frequent languages at most. lang_pred is one of the languages learnt, with its pooled
     probability as score; a text that is null or has no letter, and every text if there
     is nothing to learn from, is `und` with score 0. Of equal probabilities the first
     language wins. A null doc_id is never held out; repeated rows keep a row each; extra

@@ -3,8 +3,9 @@
 Every line with a word has numeric features. A conditional random field over a document's
 lines scores each label of each line and each change of label; Viterbi decoding finds the
 best sequence, and a document is kept if enough of its words stand in content lines. The
-weights maximise the likelihood of lines of labelled documents, whose lines count as
-content or boilerplate as the document does.
+weights maximise the likelihood of line labels that are worked out from labelled documents:
+all lines of a good one are content, while of a poor one only those lines are boilerplate
+that nearly no line of a good document is like, and one at least.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ SYMBOLS = b"#*$%&|<>"
 MIN_WORDS, REPEATED_SHARE, CONTENT_SHARE = 50, 0.5, 0.5
 SAMPLE, SAMPLE_LINES = 1024, 48  # labelled documents of each kind, and lines of each, that training takes at most
 ROUNDS, RATE, DECAY = 150, 0.1, 1e-3
+UNLIKE = 0.98  # share of the lines of good documents that a boilerplate line of a poor one is beyond
 FEATURES = ("bias", "symbols", "capitals", "digits", "bangs", "bars", "same words", "repeated line", "short", "long words", "stops")
 _U = np.uint64
 
@@ -141,7 +143,7 @@ class LineField:
         self.change = np.zeros((2, 2))
 
     def fit(self, x: np.ndarray, live: np.ndarray, gold: np.ndarray) -> None:
-        """x: (documents, lines, features), live: which lines there are, gold: a label for each document.
+        """x: (documents, lines, features), live: which lines there are, gold: a label for each line.
 
         Gradient ascent (Adam) on the log-likelihood, by the forward and backward sums.
         """
@@ -150,8 +152,9 @@ class LineField:
         m, v = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
         weight = 1 / np.maximum(1, live.sum(axis=1))  # each document counts once
         share = weight / n
-        target = np.eye(2)[gold]
+        target = np.eye(2)[gold] * live[:, :, None]
         follow = live[:, 1:] * live[:, :-1]
+        changes = np.einsum("nsk,nsj->nkj", target[:, :-1], target[:, 1:])
         for t in range(1, ROUNDS + 1):
             score = x @ self.emit
             ahead, back = np.zeros((n, steps, 2)), np.zeros((n, steps, 2))
@@ -167,10 +170,9 @@ class LineField:
             p = np.exp(ahead + back - total[:, None, None]) * live[:, :, None]
             pair = ahead[:, :-1, :, None] + self.change + (score + back)[:, 1:, None, :] - total[:, None, None, None]
             pair = np.exp(np.minimum(pair, 0)) * follow[:, :, None, None]
-            wanted = target[:, None, :] * live[:, :, None] - p
+            wanted = target - p
             g_emit = np.einsum("nsf,nsk,n->fk", x, wanted, share) - DECAY * self.emit
-            same = np.einsum("nk,nj->nkj", target, target)
-            g_change = np.einsum("nkj,n->kj", same * follow.sum(axis=1)[:, None, None] - pair.sum(axis=1), share) - DECAY * self.change
+            g_change = np.einsum("nkj,n->kj", changes - pair.sum(axis=1), share) - DECAY * self.change
             for w, g, a, b in zip(weights, (g_emit, g_change), m, v, strict=True):
                 a += 0.1 * (g - a)
                 b += 0.01 * (g * g - b)
@@ -208,6 +210,28 @@ class LineField:
         return out
 
 
+def line_labels(x: np.ndarray, live: np.ndarray, good: np.ndarray) -> np.ndarray:
+    """A label for each line of some documents, of which it is known whether they are good.
+
+    A logistic model of single lines tells how much each is like those of poor documents,
+    every document counting once. In a poor document the lines beyond the UNLIKE share of
+    the lines of good ones are boilerplate, and its most extreme line always.
+    """
+    line = live > 0
+    f, y = x[line], np.repeat(~good, line.sum(axis=1)).astype(float)
+    n = np.repeat(1 / np.maximum(1, line.sum(axis=1)), line.sum(axis=1))
+    n *= np.where(y > 0, 0.5 / max(1, (~good).sum()), 0.5 / max(1, good.sum())) * len(good)
+    w, keep = np.zeros(x.shape[2]), 1e-1 * np.eye(x.shape[2])
+    for _ in range(25):
+        p = 1 / (1 + np.exp(-np.clip(f @ w, -30, 30)))
+        step = np.linalg.solve((f * (n * p * (1 - p))[:, None]).T @ f + keep, f.T @ (n * (y - p)) - keep @ w)
+        w += step * min(1.0, 5.0 / max(1e-9, np.abs(step).max()))
+    score = np.where(line, x @ w, -np.inf)
+    beyond = np.quantile(score[good][line[good]], UNLIKE)
+    poor = (score > beyond) | (score == score.max(axis=1, keepdims=True))
+    return (~(poor & ~good[:, None])).astype(np.int64)
+
+
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Features of a run of lines of each document; doc columns: label, slot, h, text."""
     for batch in batches:
@@ -238,7 +262,7 @@ def train(docs: DataFrame, labels: DataFrame) -> LineField:
     for i, (_, _, blob) in enumerate(got):
         lines = np.frombuffer(blob, "<f4").reshape(-1, len(FEATURES))
         x[i, : len(lines)], live[i, : len(lines)] = lines, 1
-    field.fit(x, live, np.array([int(label > 0) for label, _, _ in got]))
+    field.fit(x, live, line_labels(x, live, np.array([label > 0 for label, _, _ in got])))
     return field
 
 

@@ -99,7 +99,7 @@ def contrasting(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
 
 
 def _dictionary(size: int, samples: list[bytes], **segments: int) -> bytes:
-    """Content of a dictionary trained on the samples; for too few of them their own end."""
+    """Content of a dictionary trained on the samples; where zstandard finds them too few or too short, their own end."""
     try:
         return zstandard.train_dictionary(size, samples, **segments).as_bytes()
     except zstandard.ZstdError:

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from cuelattice.llm import langid, lm, quality, toxicity
@@ -142,7 +143,7 @@ def test_languages_edge_cases(docs, rows, nothing):
 def test_gradients_agree_with_differences():
     rng = np.random.default_rng(1)
     model = langid.Tagger(["a", "b", "c"], hidden=3)
-    x, live = langid._pieces([b"hello w\xc3\xb6rld", b"x", b"abc"], 12)
+    x, live, _ = langid._pieces([b"hello w\xc3\xb6rld", b"x", b"abc"], 12)
     y = np.array([0, 1, 2])
 
     def loss():
@@ -174,6 +175,45 @@ def test_gradients_agree_with_differences():
             assert g[spot] == pytest.approx((up - down) / 2e-2, abs=2e-4)
 
 
+def test_the_forward_pass_agrees_with_a_loop():
+    model = langid.Tagger(["a", "b", "c"], hidden=4)
+    texts = [b"hello w\xc3\xb6rld", b"x", b"abcabc"]
+
+    def squash(v):
+        return 1 / (1 + np.exp(-v))
+
+    def states(gru, text):
+        h, out = np.zeros(4), []
+        for byte in text:
+            z, r = (squash(gru.inputs[byte][i : i + 4] + h @ gru.gates[:, i : i + 4]) for i in (0, 4))
+            new = np.tanh(gru.inputs[byte][8:] + (r * h) @ gru.new)
+            h = (1 - z) * h + z * new
+            out.append(h)
+        return out
+
+    got = langid.pooled(model, texts)
+    for text, mean in zip(texts, got, strict=True):
+        total = np.zeros(3)
+        for ahead, back in zip(states(model.ahead, text), states(model.back, text[::-1])[::-1], strict=True):
+            e = np.exp(np.r_[ahead, back] @ model.out + model.bias)
+            total += e / e.sum()
+        assert mean == pytest.approx(total / len(text), abs=1e-5)
+
+
+def test_all_bytes_of_a_training_window_are_learnt():
+    pieces, live, owner = langid._pieces([b"ab" * 150, b"", b"xyz"], 128)
+    assert owner.tolist() == [0, 0, 0, 2] and live.sum(axis=0).tolist() == [128, 128, 44, 3]
+    assert bytes(pieces.T[live.T > 0]) == b"ab" * 150 + b"xyz"
+
+
+def test_many_languages_share_the_windows(spark):
+    docs = spark.createDataFrame([(i, f"text {i} of some words", f"l{i % 40:02d}") for i in range(400)], "doc_id long, text string, lang string")
+    got = langid.training_windows(docs, sample=64, most=80).collect()
+    assert len(got) <= 80 and len({r.lang for r in got}) == 40
+    few = langid.training_windows(docs, sample=64, most=80, languages=3).collect()
+    assert {r.lang for r in few} == {"l00", "l01", "l02"}
+
+
 def test_every_byte_is_labelled_once():
     model = langid.Tagger(["a", "b"])
     texts = [b"", b"x" * 1000, b"y" * 128, None, b"short", "é".encode() * 300]
@@ -214,6 +254,27 @@ def test_toxicity_never_reads_held_out_labels(spark):
     assert {tuple(r) for r in toxicity.toxicity_scores(docs, labels).collect()} == {tuple(r) for r in toxicity.toxicity_scores(docs, turned).collect()}
 
 
+def test_evidence_is_the_difference_of_two_compressed_lengths():
+    common = b"the quick brown fox jumps over the lazy dog and runs away from it "
+    pair = toxicity.Pair(b"zorgle blaxx " + common, common + b" " * 13)
+    for text in (b"", b"the quick brown fox", b"you ZORGLE blaxx " * 9):
+        want = []
+        for window in toxicity.windows(text.lower()):
+            size = []
+            for content in (common + b" " * 13, b"zorgle blaxx " + common):
+                settings = zstandard.ZstdCompressionParameters(write_content_size=False, write_checksum=False, write_dict_id=False, **toxicity._SETTINGS)
+                known = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                size.append(len(zstandard.ZstdCompressor(dict_data=known, compression_params=settings).compress(window)))
+            want.append(min(max(size[0] - size[1], -toxicity.SPAN), toxicity.SPAN) + toxicity.SPAN)
+        assert pair.evidence(text).tolist() == want
+    assert pair.evidence(b"zorgle blaxx")[0] > toxicity.SPAN
+
+
+def test_a_dictionary_of_few_samples_is_their_end():
+    assert toxicity._dictionary(8, [b"abc", b"defghij"]) == b"cdefghij"
+    assert toxicity._dictionary(8, []) == b""
+
+
 def test_windows_cover_a_text():
     for text in (b"", b"a", b"word " * 100, b"x" * 1000, b" " * 300):
         cut = toxicity.windows(text)
@@ -251,10 +312,41 @@ def test_quality_counts_agree_with_brute_force(spark, docs, rows, nothing):
 
 
 def test_quality_keeps_the_good_and_drops_the_bad(spark):
+    """Judged on documents whose labels were not learnt."""
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
-    got = quality.quality_verdicts(docs, labels).join(labels, "doc_id").where("NOT base_failed").collect()
-    assert np.mean([r.kept for r in got if r.quality]) > 0.98
+    apart = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    got = quality.quality_verdicts(docs, labels.where(~apart)).join(labels.where(apart), "doc_id").where("NOT base_failed").collect()
+    assert len(got) > 500 and np.mean([r.kept for r in got if r.quality]) > 0.98
     assert np.mean([r.kept for r in got if not r.quality]) < 0.1
+    assert np.mean([0 < r.content_share < 1 for r in got if not r.quality]) > 0.2  # poor documents have lines of both kinds
+
+
+def test_lines_planted_in_good_documents_are_found(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    field = quality.train(docs, labels)
+    rng = random.Random(9)
+    good = docs.join(labels.where("quality = 1"), "doc_id").where("length(text) > 1000").orderBy("doc_id").limit(40)
+    texts, want = [], []
+    for r in good.collect():
+        lines = [x for x in r.text.split("\n") if WORD.search(x)][:12]
+        junk = [" | ".join(rng.choice("Home Login Cart Menu About Help".split()) for _ in range(9)), "$$$ buy*** now### " * 6, "click click click here here here! " * 4]
+        at = rng.randrange(len(lines) + 1)
+        texts.append("\n".join(lines[:at] + junk + lines[at:]).encode())
+        want += [1] * at + [0] * 3 + [1] * (len(lines) - at)
+    seen = quality.examine(texts)
+    label = field.decode(seen.features, seen.ptr)
+    assert (label == np.array(want)).mean() > 0.95
+    content = np.r_[0, np.cumsum(seen.words * label)]
+    share = (content[seen.ptr[1:]] - content[seen.ptr[:-1]]) / seen.n_words
+    assert ((share > 0) & (share < 1)).mean() > 0.9
+
+
+def test_line_labels_differ_within_a_poor_document():
+    x, live = np.zeros((4, 5, 2)), np.ones((4, 5))
+    x[:, :, 0] = 1
+    x[2, 1:3, 1] = x[3, :, 1] = 1.0
+    live[1, 3:] = 0
+    assert quality.line_labels(x, live, np.array([True, True, False, False])).tolist() == [[1] * 5, [1] * 5, [1, 0, 0, 1, 1], [0] * 5]
 
 
 def test_viterbi_agrees_with_all_sequences():
@@ -280,7 +372,7 @@ def test_field_gradient_raises_the_likelihood():
     x[:, :, 1] += 2 * gold[:, None]
     live = (np.arange(6) < rng.integers(1, 7, 60)[:, None]).astype(float)
     field = quality.LineField()
-    field.fit(x * live[:, :, None], live, gold)
+    field.fit(x * live[:, :, None], live, np.repeat(gold[:, None], 6, axis=1))
     n = live.sum(axis=1).astype(int)
     flat = np.concatenate([x[i, : n[i]] for i in range(60)])
     label = field.decode(flat, np.r_[0, np.cumsum(n)])
