@@ -88,7 +88,7 @@ def look_up(mapped: DataFrame, frames: DataFrame, keys: list[str], value: str, m
 def fit_length(mapped: DataFrame, n: int, tolerance: float = 0.01) -> DataFrame:
     """A map cut or filled with its last row where its length is off n by more than tolerance."""
     ends = F.broadcast(mapped.agg(F.count("*").alias("_n"), F.max_by("in_idx", "out_idx").alias("_in")))
-    low, high = round(n * (1 - tolerance)), round(n * (1 + tolerance))
+    low, high = int(n * (1 - tolerance)), int(n * (1 + tolerance))
     own = mapped.join(ends).where((F.col("out_idx") < high) | (F.col("_n") <= high)).select("out_idx", "in_idx")
     lack = F.when((F.col("_n") < low) & (F.col("_n") > 0), F.sequence(F.col("_n"), F.lit(low - 1).cast("long")))
     return own.unionByName(ends.select(F.explode(lack).alias("out_idx"), F.col("_in").alias("in_idx")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import os
 import re
+import uuid
 from collections.abc import MutableMapping, Sequence
 from typing import Any
 
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuelattice.plans.config import CHOICES, InvalidConfig
+from cuelattice.sources.storage import allow_checkpoints
 
 
 def load_yaml(text: str | None) -> dict[str, Any]:
@@ -93,34 +95,100 @@ def unique_output(name: str, taken: Sequence[str], suffix: str = "_translated")
 
 
 def or_copy(result: DataFrame, source: DataFrame) -> DataFrame:
-    """The result, or the source if the result has no rows."""
-    return source if result.isEmpty() else result
+    """The result, or the source if the result has no rows; result is worked out once.
+
+    The rows of the source are joined to the one row that counts those of the result, so
+    that nothing is run before the whole is.
+    """
+    spark = result.sparkSession
+    allow_checkpoints(spark)
+    kept = result.checkpoint(eager=False)
+    empty = kept.limit(1).groupBy().agg(F.count("*").alias("_n")).where("_n = 0")
+    return kept.unionByName(source.join(F.broadcast(empty), how="left_semi"))
+
+
+# The options of a job, where their values go in the settings, and what they may be.
+OPTIONS: dict[str, tuple[str, type | tuple[str, ...]]] = {
+    "input": ("input_path", str),
+    "output": ("output_path", str),
+    "compute-mode": ("compute_mode", ("cpu", "gpu")),
+    "ocr-stride": ("performance.ocr_stride", int),
+    "ocr-downscale": ("performance.ocr_downscale", float),
+    "encoder": ("performance.encoder", ("auto", "cpu", "nvenc", "qsv", "amf")),
+    "encoder-preset": ("performance.encoder_preset", ("ultrafast", "fast", "medium")),
+    "pass2-mode": ("performance.pass2_mode", ("auto", "sequential", "parallel")),
+    "parallel-workers": ("performance.parallel_workers", int),
+    "confidence": ("detector.confidence_threshold", float),
+    "batch-size": ("detector.batch_size", int),
+    "model-variant": ("detector.model_variant", ("mobile", "server")),
+    "cpu-threads": ("detector.cpu_threads", int),
+    "translator": ("translator.backend", ("google", "llm")),
+    "llm-model": ("translator.llm.model", str),
+    "inpaint-algo": ("inpainter.algorithm", ("telea", "ns")),
+    "inpaint-radius": ("inpainter.radius", int),
+    "inpaint-padding": ("inpainter.padding", int),
+    "font": ("renderer.font_path", str),
+    "font-size-max": ("renderer.font_size_max", int),
+    "font-size-min": ("renderer.font_size_min", int),
+    "max-chars": ("translator.max_chars", int),
+    "translate-timeout": ("translator.timeout_seconds", float),
+    "n-inactive": ("tracker.n_inactive", int),
+}
 
 
 def parser() -> argparse.ArgumentParser:
     """Options of a job; an option that is not given stays None, so that it overrides nothing."""
     p = argparse.ArgumentParser(prog="cuelattice", description="Detections to subtitles, and parameter schedules, on Spark.")
-    p.add_argument("-i", "--input", dest="input_path")
-    p.add_argument("-o", "--output", dest="output_path")
     p.add_argument("-c", "--config", dest="config_path", default="configs/default.yaml")
-    numbers = {"ocr-stride": int, "ocr-downscale": float, "confidence": float, "batch-size": int, "font-size-max": int, "font-size-min": int, "max-chars": int, "inpaint-radius": int, "inpaint-padding": int, "n-inactive": int, "iou": float}
-    for name, kind in numbers.items():
-        p.add_argument(f"--{name}", type=kind)
-    choices = {"compute-mode": ("cpu", "gpu"), "encoder": CHOICES["encoder"], "encoder-preset": CHOICES["encoder_preset"], "pass2-mode": ("auto", "sequential", "parallel"), "model-variant": ("mobile", "server"), "translator": ("google", "llm"), "inpaint-algo": ("telea", "ns")}
-    for name, ok in choices.items():
-        p.add_argument(f"--{name}", choices=ok, type=str.lower)
-    for name in ("llm-model", "font"):
-        p.add_argument(f"--{name}")
-    p.add_argument("--quiet", action="store_true")
-    p.add_argument("--perturb", action="store_true")
+    for name, (path, kind) in OPTIONS.items():
+        flags = [f"-{name[0]}", f"--{name}"] if name in ("input", "output") else [f"--{name}"]
+        p.add_argument(*flags, dest=path, **({"choices": kind, "type": str.lower} if isinstance(kind, tuple) else {"type": kind}))
+    for flags in (["-v", "--verbose"], ["--quiet"], ["--perturb"]):
+        p.add_argument(*flags, action="store_true")
     p.add_argument("--perturb-preset", choices=CHOICES["preset"])
     p.add_argument("--perturb-config")
     return p
 
 
 def sparse_overrides(args: argparse.Namespace) -> dict[str, Any]:
-    """The options that were given; a model name also selects its backend."""
-    out = {k: v for k, v in vars(args).items() if v is not None and v is not False and k != "config_path"}
-    if "llm_model" in out:
-        out["translator"] = "llm"
+    """The options that were given, nested as settings are; a model name also selects its backend."""
+    out: dict[str, Any] = {}
+    given = {path: getattr(args, path) for path, _ in OPTIONS.values() if getattr(args, path) is not None}
+    if "translator.llm.model" in given:
+        given |= {"translator.llm.enabled": True, "translator.backend": "llm"}
+    for path, value in given.items():
+        *sections, key = path.split(".")
+        at = out
+        for section in sections:
+            at = at.setdefault(section, {})
+        at[key] = value
     return out
+
+
+def path_gate(spark: SparkSession, input_path: str, output_path: str) -> list[str]:
+    """What speaks against a job's paths, in any store that Spark reads: none if the list is empty.
+
+    The input must be there and readable; the folder of the output must be there, be a
+    folder and take a file.
+    """
+    hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
+    problems = []
+    source, folder = hadoop.Path(input_path), hadoop.Path(output_path).getParent()
+    store = source.getFileSystem(conf)
+    if not store.exists(source):
+        problems.append("input is missing")
+    else:
+        try:
+            store.open(source).close() if store.getFileStatus(source).isFile() else store.listStatus(source)
+        except Exception:  # noqa: BLE001  whatever the store raises, it cannot be read
+            problems.append("input is not readable")
+    store = folder.getFileSystem(conf)
+    if not store.exists(folder) or not store.getFileStatus(folder).isDirectory():
+        return [*problems, "output folder is missing"]
+    probe = hadoop.Path(folder, f".probe-{uuid.uuid4().hex}")
+    try:
+        store.create(probe).close()
+        store.delete(probe, False)
+    except Exception:  # noqa: BLE001
+        problems.append("output folder is not writable")
+    return problems

@@ -11,8 +11,11 @@ from pyspark.sql import SparkSession
 
 
 def root(spark: SparkSession) -> str:
-    """The shared folder of the session; one of this machine where none is named, as in tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="shared-")
+    """The shared folder of the session; one of this machine where none is named and all runs here, as in tests."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return named or tempfile.mkdtemp(prefix="shared-")
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -20,6 +23,12 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, in any store that Spark reads; one that is not there is none to delete."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def allow_checkpoints(spark: SparkSession) -> None:
     """Set the folder of checkpoints where the session has none."""
     if spark.sparkContext.getCheckpointDir() is None:

@@ -118,7 +118,9 @@ def test_frame_maps(spark):
 def test_map_length(spark):
     short = spark.createDataFrame([(i, i) for i in range(90)], "out_idx long, in_idx long")
     assert [r.in_idx for r in timeline.fit_length(short, 100).orderBy("out_idx").collect()] == [*range(90), *[89] * 9]
-    assert timeline.fit_length(short, 80).count() == 81
+    assert timeline.fit_length(short, 80).count() == 80
+    for n, have in ((150, 200), (160, 200), (7, 9)):
+        assert timeline.fit_length(spark.range(have).select(F.col("id").alias("out_idx"), F.col("id").alias("in_idx")), n).count() == int(n * 1.01)
     assert timeline.fit_length(short, 90).count() == 90
 
 
@@ -240,6 +242,9 @@ def test_configuration():
     assert config.resolve({"preset": "light"}, overrides={"speed_min": 0.91})["max_zoom"] == 1.03
     assert config.resolve({"presets": {"light": {"spatial": {"max_zoom": 1.5}}}}, "light")["max_zoom"] == 1.5
     assert config.resolve({"gop": {"enabled": False}})["gop_perturbation_enabled"] is False
+    partial = config.resolve({"presets": {"light": {"spatial": {"max_zoom": 1.5}}}}, "light")
+    assert (partial["ambience_volume_min_db"], partial["speed_min"]) == (-40.0, 0.99)  # what a file's preset leaves out has its default
+    assert config.resolve({})["ambience_volume_min_db"] == -38.0
     for bad in ({"overrides": {"speed_min": 0.5}}, {"overrides": {"nothing": 1}}, {"preset": "odd"}):
         with pytest.raises(config.InvalidConfig):
             config.resolve({}, bad.get("preset"), bad.get("overrides"))
@@ -256,6 +261,15 @@ def test_configuration():
 
 def test_subtitle_settings():
     ok = {"renderer": {"font_path": "a.ttf"}}
+    plain = config.subtitle_settings(ok)
+    assert (plain["tracker.smooth_one_euro_min_cutoff"], plain["translator.backend"], plain["renderer.text_rgb"], plain["performance.ocr_stride"]) == (0.3, "google", (255, 255, 255), 3)
+    assert config.subtitle_settings(ok, {"detector": {"confidence_threshold": "0.7", "batch_size": "8"}})["detector.confidence_threshold"] == 0.7
+    assert config.subtitle_settings(ok, {"translator": {"llm": {"enabled": True}}})["translator.backend"] == "llm"
+    assert config.subtitle_settings(ok, {"tracker": None, "compute_mode": "GPU"})["compute_mode"] == "gpu"
+    assert config.subtitle_settings(ok, {"renderer": {"overflow": {"expand_bbox_max_w": 2}}})["renderer.overflow.expand_bbox_max_w"] == 2.0
+    for more in ({"detector": {"batch_size": "many"}}, {"performance": {"encoder": "x"}}, {"performance": {"ocr_stride": 11}}, {"renderer": {"overflow": {"expand_bbox_max_w": 0.5}}}, {"renderer": {"shadow_offset": [1]}}, {"detector": {"cpu_threads": None}}):
+        with pytest.raises(config.InvalidConfig):
+            config.subtitle_settings(ok, more)
     assert config.subtitle_settings(ok, {"detector": {"batch_size": 8}})["detector.batch_size"] == 8
     for bad in ({}, {"renderer": {"font_path": "a", "font_size_min": 100}}, ok | {"tracker": {"smooth_ema_alpha": 0}}, ok | {"inpainter": {"algorithm": "x"}}, {"renderer": {"font_path": "a", "text_rgb": [1, 2, 300]}}):
         with pytest.raises(config.InvalidConfig):
@@ -272,8 +286,14 @@ def test_files(spark, tmp_path):
     assert env == {"KEPT": "1", "A": "x y", "B": "z", "C": "a=b"}
     assert files.unique_output("v.mp4", []) == "v_translated.mp4"
     assert files.unique_output("v.mp4", ["v_translated.mp4", "v_translated(1).mp4"]) == "v_translated(2).mp4"
-    given = files.sparse_overrides(files.parser().parse_args(["-i", "a", "--llm-model", "m", "--confidence", "0.4"]))
-    assert given == {"input_path": "a", "llm_model": "m", "translator": "llm", "confidence": 0.4}
+    given = files.sparse_overrides(files.parser().parse_args(["-i", "a", "--llm-model", "m", "--confidence", "0.4", "--compute-mode", "GPU", "-v"]))
+    assert given == {"input_path": "a", "translator": {"llm": {"model": "m", "enabled": True}, "backend": "llm"}, "detector": {"confidence_threshold": 0.4}, "compute_mode": "gpu"}
+    settings = config.subtitle_settings({"renderer": {"font_path": "a.ttf"}, "translator": {"max_chars": 77}}, given)
+    assert (settings["detector.confidence_threshold"], settings["translator.backend"], settings["translator.max_chars"], settings["compute_mode"]) == (0.4, "llm", 77, "gpu")
+    assert files.sparse_overrides(files.parser().parse_args([])) == {}
+    (tmp_path / "in.mp4").write_text("x")
+    assert files.path_gate(spark, str(tmp_path / "in.mp4"), str(tmp_path / "out.mp4")) == []
+    assert files.path_gate(spark, str(tmp_path / "no.mp4"), str(tmp_path / "nowhere" / "out.mp4")) == ["input is missing", "output folder is missing"]
     videos = spark.createDataFrame([(1, 10, 10, 25.0, 100), (2, 0, 10, 25.0, 100), (3, 10, 10, 1.0, 9999)], "v int, width int, height int, fps double, n_frames int")
     assert [r.problem for r in files.metadata_gate(videos, 7200).orderBy("v").collect()] == [None, "no valid size, rate or length", "too long"]
     srt = spark.createDataFrame([(1, "1\na\n"), (2, "1\nbé\n")], "stream long, srt string")
