@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 
 from cuelattice.llm.textscan import SLICE_BYTES, slices
 
-CHUNK_BYTES = 12 << 20  # of text in a chunk, about
 _U = np.uint64
 
 
@@ -52,7 +51,7 @@ def _packed(most: int) -> Callable:
     return run
 
 
-def chunked(rows: DataFrame, most: int = CHUNK_BYTES) -> tuple[DataFrame, int]:
+def chunked(rows: DataFrame, most: int) -> tuple[DataFrame, int]:
     """(chunk, blob) of all rows, checkpointed, so that a chunk read again is the same; and their bytes. rows has a column text."""
     chunks = rows.mapInArrow(_packed(most), "chunk long, size long, blob binary").checkpoint()
     return chunks.select("chunk", "blob"), chunks.agg(F.sum("size").alias("n")).first()["n"] or 0

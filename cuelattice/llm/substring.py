@@ -20,11 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuelattice.llm.chunks import CHUNK_BYTES, buckets_for, chunked, heads, pack, places, rows_of, sent, steps, unpack
+from cuelattice.llm.chunks import buckets_for, chunked, heads, pack, places, rows_of, sent, steps, unpack
 from cuelattice.llm.common import prepare
 from cuelattice.llm.textscan import Scan, mix64, rolling, texts_of, window_starts
 
 WINDOW, PIECE = 50, 16
+CHUNK_BYTES = 8 << 20  # of text in a chunk, about
 SHARD_BYTES, CELL_BITS = 64 << 20, 23  # of text for a shard of the sketch at most; a shard has two rows of 2**CELL_BITS cells
 BUCKET_BYTES = 32 << 20  # of text for each bucket of windows at most
 _U = np.uint64
@@ -74,7 +75,7 @@ class Windows:
             doc = part.column(0)
             known = ~np.asarray(doc.is_null())[owner]
             doc = doc.fill_null(0).to_numpy(zero_copy_only=False)[owner]
-            found.append((anchor[known], doc[known], owner[known], start[known], np.full(int(known.sum()), i)))
+            found.append((anchor[known], doc[known], owner[known].astype(np.int32), start[known].astype(np.int32), np.full(int(known.sum()), i, np.int32)))
             self.scans.append(scan)
             self.words.append(words)
         self.anchor, self.doc, self.row, self.at, self.part = map(np.concatenate, zip(*found, strict=True))
@@ -82,7 +83,7 @@ class Windows:
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
         """The distinct anchors in order, and in how many rows each occurs."""
         head = np.flatnonzero(np.r_[True, (self.anchor[1:] != self.anchor[:-1]) | (self.row[1:] != self.row[:-1]) | (self.part[1:] != self.part[:-1])]) if len(self.anchor) else []
-        anchor, row = self.anchor[head], self.row[head] + (self.part[head] << 32)
+        anchor, row = self.anchor[head], self.row[head] + (self.part[head].astype(np.int64) << 32)
         order = np.lexsort((row, anchor))
         anchor, row = anchor[order], row[order]
         first = heads(anchor)
