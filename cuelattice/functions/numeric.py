@@ -35,9 +35,24 @@ def vignette(col: Column, row: Column, width: int, height: int) -> Column:
     return F.pow(F.least(F.lit(1.0), F.sqrt(x * x + y * y) / math.sqrt(2.0)), F.lit(2.0))
 
 
-def grain(seed: int) -> Column:
-    """A whole number from -128 to 128, at random with a seed."""
-    return F.floor(F.rand(seed) * 257).cast("int") - 128
+def uniform(seed: int, *parts: Column | str) -> Column:
+    """A number in [0, 1) that depends on a seed and the parts alone, from 52 bits of their MD5.
+
+    So a draw belongs to its row, whatever partition that is in, and SQL draws the same.
+    """
+    columns = [F.col(p) if isinstance(p, str) else p for p in parts]
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[c.cast("string") for c in columns]))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
+
+
+def grain(seed: int, *pixel: Column | str) -> Column:
+    """A whole number from -128 to 128 for a pixel."""
+    return F.floor(uniform(seed, *pixel) * 257).cast("int") - 128
+
+
+def whole_between(low: Column, high: Column, seed: int, *parts: Column | str) -> Column:
+    """A whole number from low to high, both included."""
+    return low + F.least(high - low, F.floor(uniform(seed, *parts) * (high - low + 1)))
 
 
 def overlay(value: Column, noise: Column, shade: Column, opacity: Column, intensity: float) -> Column:

@@ -6,6 +6,7 @@ The service is a parameter, so that a job never depends on a network here.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -51,10 +52,10 @@ def prompts(batched: DataFrame, head: str = "", limit: int = 0, limit_line: str
     return batched.groupBy("batch").agg(ordered.alias("_t")).select("batch", F.size("_t").alias("n"), text.alias("prompt"))
 
 
-def translate_batch(texts: Sequence[str], provider: Provider, fallback: Provider | None, attempts: int) -> list[tuple[str, str, str, str | None]]:
+def translate_batch(texts: Sequence[str], provider: Provider, fallback: Provider | None, attempts: int, pause: Callable[[float], None] = time.sleep) -> list[tuple[str, str, str, str | None]]:
     """(norm_text, translated_text, status, error_message) of each text of a batch.
 
-    A call that raises is tried again. If all attempts fail, or the number of results is
+    A call that raises is tried again after 1, 2, 4 … seconds. If all attempts fail, or the number of results is
     wrong, each text goes to the fall-back by itself; so does a text whose result is
     blank. What fails there too keeps its text and says why.
     """
@@ -70,11 +71,13 @@ def translate_batch(texts: Sequence[str], provider: Provider, fallback: Provider
             return text, text, UNTRANSLATED, str(e)
 
     why = None
-    for _ in range(attempts):
+    for attempt in range(attempts):
         try:
             found = provider(texts)
         except Exception as e:  # noqa: BLE001
             why = f"{type(e).__name__}: {e}"
+            if attempt + 1 < attempts:
+                pause(2.0**attempt)
             continue
         if len(found) != len(texts):
             why = "wrong number of results"
@@ -83,7 +86,7 @@ def translate_batch(texts: Sequence[str], provider: Provider, fallback: Provider
     return [alone(t, why) for t in texts]
 
 
-def enrich(segments: DataFrame, text: str, order: str, provider: Provider, fallback: Provider | None = None, cache: DataFrame | None = None, size: int = 10, attempts: int = 4, max_chars: int = 0) -> DataFrame:
+def enrich(segments: DataFrame, text: str, order: str, provider: Provider, fallback: Provider | None = None, cache: DataFrame | None = None, size: int = 10, attempts: int = 4, max_chars: int = 0, pause: Callable[[float], None] = time.sleep) -> DataFrame:
     """The segments with translated_text, status and error_message.
 
     Blank texts pass through. A text longer than max_chars (0: no limit) stays
@@ -104,7 +107,7 @@ def enrich(segments: DataFrame, text: str, order: str, provider: Provider, fallb
         names = [c.split()[0] for c in _RESULT.split(", ")]
         for part in rows:
             for group in part["texts"]:
-                yield pd.DataFrame(translate_batch(list(group), provider, fallback, attempts), columns=names)
+                yield pd.DataFrame(translate_batch(list(group), provider, fallback, attempts, pause), columns=names)
 
     ordered = F.transform(F.sort_array(F.collect_list(F.struct("place", "norm_text"))), lambda x: x["norm_text"])
     answers = batches(texts, size).groupBy("batch").agg(ordered.alias("texts")).select("texts").mapInPandas(run, _RESULT)

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import random
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuelattice.functions import numeric as N
@@ -20,23 +18,15 @@ def histogram(pixels: DataFrame, keys: list[str], a: str, b: str, bins: tuple[in
     return counts.withColumn("share", F.col("n") / length)
 
 
-def differences(frames: DataFrame, keys: list[str], order: str, hist: str, consecutive: bool = False) -> DataFrame:
-    """1 - correlation of each frame's histogram with that of the one before; null for the first.
-
-    consecutive: frames are numbered without gaps, so that the one before is found by an
-    equi join and a long clip is spread over tasks; else each clip is sorted in one.
-    """
-    if consecutive:
-        before = frames.select(*keys, (F.col(order) + 1).alias(order), F.col(hist).alias("_h"))
-        paired = frames.join(before, [*keys, order], "left")
-    else:
-        paired = frames.withColumn("_h", F.lag(hist).over(Window.partitionBy(*keys).orderBy(order)))
+def differences(frames: DataFrame, keys: list[str], order: str, hist: str) -> DataFrame:
+    """1 - correlation of each frame's histogram with that of the one before in its clip; null for the first."""
+    paired = frames.withColumn("_h", F.lag(hist).over(Window.partitionBy(*keys).orderBy(order)))
     return paired.withColumn("diff", F.when(F.col("_h").isNotNull(), 1 - N.correlation(F.col("_h"), F.col(hist)))).drop("_h")
 
 
-def boundaries(frames: DataFrame, keys: list[str], order: str, hist: str, threshold: float, consecutive: bool = False) -> DataFrame:
+def boundaries(frames: DataFrame, keys: list[str], order: str, hist: str, threshold: float) -> DataFrame:
     """The frames whose difference is above the threshold."""
-    return differences(frames, keys, order, hist, consecutive).where(F.col("diff") > threshold)
+    return differences(frames, keys, order, hist).where(F.col("diff") > threshold)
 
 
 def scenes(cuts: DataFrame, totals: DataFrame, keys: list[str], fps: float, max_micro: float) -> DataFrame:
@@ -65,21 +55,24 @@ def overlaps(found: DataFrame, keys: list[str], seconds: float) -> DataFrame:
     return moved.select(*keys, F.col("_f").alias("start_frame"), "end_frame", F.col("_t").alias("start_time"), "end_time", "is_micro")
 
 
-def reorder(spark: SparkSession, found: DataFrame, rng: random.Random) -> DataFrame:
-    """Scenes of one clip with the short ones in another order, at the places that short ones have.
+def reorder(found: DataFrame, keys: list[str], seed: int) -> DataFrame:
+    """The scenes with place: each clip's short ones in another order, at the places that short ones have.
 
-    Only the number of short scenes comes to the driver, which draws their order.
+    The order is that of a hash of seed, clip and start. Where that is the old one, each
+    short scene moves on by one, so that two or more never stay as they are.
     """
-    place = found.withColumn("place", F.row_number().over(Window.orderBy("start_frame")))
-    short = place.where("is_micro").withColumn("nth", F.row_number().over(Window.orderBy("place")))
-    n = short.count()
-    order = list(range(1, n + 1))
-    while n > 1 and order == sorted(order):
-        rng.shuffle(order)
-    moves = spark.createDataFrame(list(zip(range(1, n + 1), order, strict=True)), "to int, nth int")
-    targets = short.select(F.col("nth").alias("to"), F.col("place").alias("new_place"))
-    moved = short.join(moves, "nth").join(targets, "to").select(*found.columns, F.col("new_place").alias("place"))
-    return place.where("NOT is_micro").unionByName(moved)
+    clip = Window.partitionBy(*keys)
+    place = found.withColumn("place", F.row_number().over(clip.orderBy("start_frame")))
+    short = Window.partitionBy(*keys, "is_micro")
+    nth = F.row_number().over(short.orderBy("place"))
+    drawn = F.row_number().over(short.orderBy(N.uniform(seed, *keys, "start_frame"), "start_frame"))
+    numbered = place.withColumns({"_nth": nth, "_to": drawn})
+    same = F.min(F.col("_nth") == F.col("_to")).over(short)
+    numbered = numbered.withColumn("_to", F.when(same, F.col("_nth") % F.count("*").over(short) + 1).otherwise(F.col("_to")))
+    moves = numbered.where("is_micro")
+    targets = moves.select(*keys, F.col("_nth").alias("_to"), F.col("place").alias("_place"))
+    moved = moves.join(targets, [*keys, "_to"]).select(*found.columns, F.col("_place").alias("place"))
+    return numbered.where("NOT is_micro").select(*found.columns, "place").unionByName(moved)
 
 
 def frames_of(found: DataFrame, keys: list[str]) -> DataFrame:

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import math
-import random
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cuelattice import schemas
+from cuelattice.functions import numeric as N
 
 
 def intervals(duration: float, step: float) -> list[tuple[float, float]]:
@@ -21,45 +21,44 @@ def intervals(duration: float, step: float) -> list[tuple[float, float]]:
     return [(i * step, min((i + 1) * step, duration)) for i in range(n)]
 
 
-def draw(rng: random.Random, low: float, high: float, duration: float, step: float, mode: str = "random", frequency: float = 0.1, phase: float | None = None) -> list[tuple[float, float, float]]:
-    """A schedule as (start, end, value) rows, drawn on the driver.
+MODES = ("random", "sinusoidal", "correlated")
+
+
+def drawn(clips: DataFrame, ranges: dict[str, tuple[float, float]], step: float, mode: str, frequency: float = 0.1, seed: int = 0) -> DataFrame:
+    """Schedules of clips(clip, duration): clip, param, seg_idx, start_time, end_time and value for each range (low, high).
 
     random: a uniform value for each interval. sinusoidal: a wave of its own frequency
     (within a fifth of the given one) and phase, taken at the middle of each interval.
-    correlated: a wave whose phase is within a twelfth of a turn of a shared one and whose
-    frequency is within a tenth. Any other mode is random.
+    correlated: a wave whose phase is within a twelfth of a turn of one that all parameters
+    of a clip share, and whose frequency is within a tenth. Any other mode is random. A step
+    as long as the clip makes one interval; a clip without duration has none. Draws are
+    hashes of the seed, the clip and the parameter, so that rows are drawn where they are.
     """
-    spans = intervals(duration, step)
-    if not spans:
-        return []
-    if mode not in ("sinusoidal", "correlated"):
-        return [(a, b, rng.uniform(low, high)) for a, b in spans]
-    if mode == "sinusoidal":
-        own_frequency = frequency * rng.uniform(0.8, 1.2)
-        own_phase = rng.uniform(0, 2 * math.pi)
+    known = clips.where("duration > 0").select("clip", F.col("duration").cast("double").alias("duration"))
+    last = F.when(F.lit(float(step)) >= F.col("duration"), 0).otherwise(F.ceil(F.col("duration") / step) - 1).cast("int")
+    spans = known.select("*", F.explode(F.sequence(F.lit(0), last)).alias("seg_idx"))
+    table = F.array(*[F.struct(F.lit(p).alias("param"), F.lit(float(a)).alias("low"), F.lit(float(b)).alias("high")) for p, (a, b) in ranges.items()])
+    rows = spans.select("*", F.inline(table)).withColumns({"start_time": F.col("seg_idx") * float(step), "end_time": F.least((F.col("seg_idx") + 1) * float(step), F.col("duration"))})
+    if mode in ("sinusoidal", "correlated"):
+        own = N.uniform(seed, "clip", "param", F.lit("frequency"))
+        turn = N.uniform(seed, "clip", "param", F.lit("phase"))
+        if mode == "sinusoidal":
+            pace, phase = frequency * (0.8 + 0.4 * own), 2 * math.pi * turn
+        else:
+            pace, phase = frequency * (0.9 + 0.2 * own), 2 * math.pi * N.uniform(seed, "clip") + (2 * turn - 1) * (math.pi / 6)
+        middle, swing = (F.col("low") + F.col("high")) / 2, (F.col("high") - F.col("low")) / 2
+        wave = middle + swing * F.sin(2 * math.pi * pace * ((F.col("start_time") + F.col("end_time")) / 2) + phase)
+        value = F.greatest("low", F.least("high", wave))
     else:
-        shared = rng.uniform(0, 2 * math.pi) if phase is None else phase
-        own_phase = shared + rng.uniform(-math.pi / 6, math.pi / 6)
-        own_frequency = frequency * rng.uniform(0.9, 1.1)
-    middle, swing = (low + high) / 2, (high - low) / 2
-    wave = [(a, b, middle + swing * math.sin(2 * math.pi * own_frequency * (a + b) / 2 + own_phase)) for a, b in spans]
-    return [(a, b, max(low, min(high, v))) for a, b, v in wave]
-
-
-def draw_correlated(rng: random.Random, ranges: dict[str, tuple[float, float]], duration: float, step: float, frequency: float) -> dict[str, list[tuple[float, float, float]]]:
-    """A schedule for each parameter, all around one shared phase."""
-    phase = rng.uniform(0, 2 * math.pi)
-    return {name: draw(rng, low, high, duration, step, "correlated", frequency, phase) for name, (low, high) in ranges.items()}
+        value = F.col("low") + (F.col("high") - F.col("low")) * N.uniform(seed, "clip", "param", "seg_idx")
+    return rows.select("clip", "param", "seg_idx", "start_time", "end_time", value.alias("value"))
 
 
-def drift_directions(rng: random.Random, n: int) -> list[tuple[float, float]]:
-    """Directions of drift, each of a length from 0.3 to 1."""
-    out = []
-    for _ in range(n):
-        turn = rng.uniform(0, 2 * math.pi)
-        size = rng.uniform(0.3, 1.0)
-        out.append((math.cos(turn) * size, math.sin(turn) * size))
-    return out
+def drift_directions(rows: DataFrame, seed: int, *parts: str) -> DataFrame:
+    """The rows with a direction of drift (dx, dy) of a length from 0.3 to 1 each."""
+    turn = 2 * math.pi * N.uniform(seed, *parts, F.lit("turn"))
+    size = 0.3 + 0.7 * N.uniform(seed, *parts, F.lit("size"))
+    return rows.withColumns({"dx": F.cos(turn) * size, "dy": F.sin(turn) * size})
 
 
 def to_table(spark: SparkSession, schedules: dict[str, list[tuple[float, float, float]]]) -> DataFrame:
@@ -134,10 +133,10 @@ def sample(times: DataFrame, schedule: DataFrame, step: float, window: float, t:
     last = schedule.groupBy("param").agg(F.max("seg_idx").alias("_last"), F.max("end_time").alias("_until"))
     spans = F.struct("start_time", "end_time", "value", "before", "after").alias("_s")
     table = with_neighbours(schedule).select("param", F.col("seg_idx").alias("_i"), spans)
-    params = F.broadcast(last.agg(F.collect_list(F.struct("param", "_last", "_until")).alias("_p")))
-    keyed = times.join(params).select(*times.columns, F.inline("_p"))  # a row for each of a few parameters
+    params = F.broadcast(last.agg(F.collect_list(F.struct("param", "_last", "_until")).alias("_p")))  # one row, of a few parameters
+    keyed = times.join(params).select(*times.columns, F.inline("_p"))
     index = F.greatest(F.lit(0), F.least(F.floor(F.col(t) / step).cast("int"), F.col("_last")))
-    found = keyed.withColumn("_i", index).join(F.broadcast(table), ["param", "_i"])
+    found = keyed.withColumn("_i", index).join(table, ["param", "_i"])
     edge = (F.col(t) <= 0) | (F.col(t) >= F.col("_until"))
     value = F.when(edge, F.col("_s.value")).otherwise(value_at(F.col(t), F.col("_s"), window))
     return found.select(*times.columns, "param", value.alias("value"))

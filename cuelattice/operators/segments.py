@@ -51,63 +51,32 @@ def fill_gaps(entries: DataFrame, keys: list[str]) -> DataFrame:
     return kept.unionByName(made)
 
 
-def lock_and_average(boxes: Column, lock: int, alpha: float) -> Column:
-    """An array of boxes smoothed in order: held while all four numbers stay within lock, else averaged.
-
-    The state keeps the average unrounded, each box is rounded half to even.
-    """
-    names = ("x", "y", "width", "height")
-    first = F.struct(*[boxes[0][c].cast("double").alias(c) for c in names])
-    start = F.struct(first.alias("at"), F.array(first).alias("out"))
-
-    def step(s: Column, b: Column) -> Column:
-        at = s["at"]
-        still = F.lit(True)
-        for c in names:
-            still = still & (F.abs(b[c] - at[c]) <= lock)
-        mixed = F.struct(*[(alpha * b[c] + (1 - alpha) * at[c]).alias(c) for c in names])
-        now = F.when(still, at).otherwise(mixed)
-        return F.struct(now.alias("at"), F.concat(s["out"], F.array(now)).alias("out"))
-
-    def whole(b: Column) -> Column:
-        size = [F.greatest(F.lit(1), F.rint(b[c]).cast("int")) for c in ("width", "height")]
-        return G.box(*[F.greatest(F.lit(0), F.rint(b[c]).cast("int")) for c in ("x", "y")], *size)
-
-    return F.transform(F.aggregate(F.slice(boxes, 2, F.greatest(F.lit(0), F.size(boxes) - 1)), start, step, lambda s: s["out"]), whole)
-
-
-def smooth_locked(entries: DataFrame, keys: list[str], lock: int, alpha: float) -> DataFrame:
-    """Each segment's entries with their boxes smoothed by lock_and_average; one entry stays as it is."""
-    ordered = F.sort_array(F.collect_list(F.struct("frame_index", "t", "text", "box")))
-    made = entries.groupBy(*keys).agg(ordered.alias("e"))
-    made = made.withColumn("b", lock_and_average(F.col("e.box"), lock, alpha))
-    return made.select(*keys, F.explode(F.arrays_zip("e", "b")).alias("r")).select(*keys, "r.e.frame_index", "r.e.t", "r.e.text", F.col("r.b").alias("box"))
-
-
-def upper_median(values: Column) -> Column:
-    """Aggregate: element n // 2 of the sorted values."""
-    xs = F.sort_array(F.collect_list(values))
-    return F.element_at(xs, (F.floor(F.size(xs) / 2) + 1).cast("int"))
-
-
 def representative_boxes(entries: DataFrame, keys: list[str], limit: float = 0.3) -> DataFrame:
     """Smallest and median box by area, median sizes, and whether the sizes are steady.
 
-    A size is steady if it varies by less than limit times its median.
+    The median is element n // 2 of the sorted values. A size is steady if it varies by
+    less than limit times its median. Entries are numbered in each order by windows over
+    one partitioning, so that no segment is gathered into a row.
     """
-    by_area = F.sort_array(F.collect_list(F.struct(G.area(F.col("box")).alias("area"), "frame_index", "box")))
+    own = Window.partitionBy(*keys)
+    half = F.floor(F.count("*").over(own) / 2) + 1
+    orders = {"_a": (G.area(F.col("box")), "frame_index"), "_w": (F.col("box.width"),), "_h": (F.col("box.height"),)}
+    placed = entries.select(*keys, "frame_index", "box", half.alias("_half"), *[F.row_number().over(own.orderBy(*o)).alias(c) for c, o in orders.items()])
     w, h = F.col("box.width"), F.col("box.height")
-    out = entries.groupBy(*keys).agg(
-        by_area.alias("s"), upper_median(w).alias("median_width"), upper_median(h).alias("median_height"), (F.max(w) - F.min(w)).alias("dw"), (F.max(h) - F.min(h)).alias("dh")
-    )
-    return out.select(
-        *keys,
-        F.col("s")[0]["box"].alias("smallest"),
-        F.element_at("s", (F.floor(F.size("s") / 2) + 1).cast("int"))["box"].alias("middle"),
-        "median_width",
-        "median_height",
-        ((F.col("dw") < limit * F.col("median_width")) & (F.col("dh") < limit * F.col("median_height"))).alias("steady"),
+
+    def at(place: Column, value: Column) -> Column:
+        return F.max(F.when(place, value))
+
+    out = placed.groupBy(*keys).agg(
+        at(F.col("_a") == 1, F.col("box")).alias("smallest"),
+        at(F.col("_a") == F.col("_half"), F.col("box")).alias("middle"),
+        at(F.col("_w") == F.col("_half"), w).alias("median_width"),
+        at(F.col("_h") == F.col("_half"), h).alias("median_height"),
+        (F.max(w) - F.min(w)).alias("dw"),
+        (F.max(h) - F.min(h)).alias("dh"),
     )
+    steady = (F.col("dw") < limit * F.col("median_width")) & (F.col("dh") < limit * F.col("median_height"))
+    return out.select(*keys, "smallest", "middle", "median_width", "median_height", steady.alias("steady"))
 
 
 def in_region(segments: DataFrame, region: Column | None) -> DataFrame:
@@ -117,3 +86,37 @@ def in_region(segments: DataFrame, region: Column | None) -> DataFrame:
         return some
     first = F.get("entries", F.lit(0))["box"]
     return some.where(region.isNull() | G.contains(region, G.center_x(first), G.center_y(first)))
+
+
+def with_suppression(entries: DataFrame, keys: list[str], region: Column) -> DataFrame:
+    """Entries with rendered: false for all of a segment whose first box has its centre in the region.
+
+    Such entries are still cleared from the picture, but no text is drawn on them. A null
+    region suppresses nothing.
+    """
+    first = F.first("box").over(Window.partitionBy(*keys).orderBy("frame_index"))
+    inside = G.contains(region, G.center_x(F.col("_first")), G.center_y(F.col("_first")))
+    return entries.withColumn("_first", first).withColumn("rendered", region.isNull() | ~inside).drop("_first")
+
+
+def nearest_observed(targets: DataFrame, entries: DataFrame, keys: list[str]) -> DataFrame:
+    """targets(keys, frame_index) with the frame, text and box of the nearest entry, the earlier one of two, and t at the target.
+
+    t is interpolated between the entries around the target; before the first and after the
+    last entry it is that one's. A target whose segment has no entries is left out. One pass
+    over each segment in order of frames, no comparison of each target with each entry.
+    """
+    seen = F.struct(F.col("frame_index").alias("f"), "t", "text", "box")
+    kind = entries.select(seen.alias("e")).schema["e"].dataType.simpleString()
+    both = targets.select(*keys, "frame_index", F.lit(None).cast(kind).alias("e"), F.lit(True).alias("asked")).unionByName(
+        entries.select(*keys, "frame_index", seen.alias("e"), F.lit(False).alias("asked"))
+    )
+    order = Window.partitionBy(*keys).orderBy("frame_index", "asked")
+    back = Window.partitionBy(*keys).orderBy(F.col("frame_index").desc(), "asked")
+    before, after = F.last("e", True).over(order), F.last("e", True).over(back)
+    found = both.withColumns({"_a": before, "_b": after}).where("asked AND (_a IS NOT NULL OR _b IS NOT NULL)")
+    gap_a, gap_b = F.col("frame_index") - F.col("_a.f"), F.col("_b.f") - F.col("frame_index")
+    near = F.when(F.col("_b").isNull() | (gap_a <= gap_b), F.col("_a")).otherwise(F.col("_b"))
+    share = F.try_divide(gap_a.cast("double"), (F.col("_b.f") - F.col("_a.f")).cast("double"))
+    t = F.coalesce(F.col("_a.t") + share * (F.col("_b.t") - F.col("_a.t")), F.col("_a.t"), F.col("_b.t"))
+    return found.withColumns({"_n": near, "_t": t}).select(*keys, "frame_index", F.col("_n.f").alias("observed_frame"), F.col("_n.text").alias("text"), F.col("_n.box").alias("box"), F.col("_t").alias("t"))

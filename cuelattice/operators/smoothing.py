@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from cuelattice.sources.storage import ship_package
 
@@ -57,23 +58,38 @@ def smooth_series(frames: list[int], boxes: list[tuple], **settings: float) -> l
     return list(zip(*series, strict=True))
 
 
-def smooth_one_euro(entries: DataFrame, keys: list[str], **settings: float) -> DataFrame:
-    """Entries (keys, frame_index, box) with smoothed boxes, segment by segment.
+Smoother = Callable[[list[int], list[tuple]], list[tuple]]
+
 
-    Segments are sorted within partitions and filtered as they stream by, so that many
-    short ones cost no call each; a task holds a batch and one segment.
+def lock_series(frames: list[int], boxes: list[tuple], lock: int, alpha: float) -> list[tuple]:
+    """Boxes of one segment held while all four numbers stay within lock, else averaged.
+
+    The state keeps the average unrounded; each box is rounded half to even, the first too.
+    """
+    at, out = [float(v) for v in boxes[0]], []
+    for box in boxes:
+        if any(abs(v - a) > lock for v, a in zip(box, at, strict=True)):
+            at = [alpha * v + (1 - alpha) * a for v, a in zip(box, at, strict=True)]
+        out.append(tuple(max(int(i >= 2), round(a)) for i, a in enumerate(at)))
+    return out
+
+
+def by_segment(entries: DataFrame, keys: list[str], smooth: Smoother) -> DataFrame:
+    """Entries (keys, frame_index, box) with the boxes that a function makes of each segment's, in order.
+
+    Segments are sorted within partitions and smoothed as they stream by, so that many
+    short ones cost no call each; a task holds a batch and one segment. All columns stay.
     """
     ship_package(entries.sparkSession)
-    kinds = dict(entries.dtypes)
-    flat = entries.selectExpr(*keys, "frame_index", "box.x", "box.y", "box.width", "box.height")
-    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), f"frame_index {kinds['frame_index']}", "x int", "y int", "width int", "height int"])
     names = ["x", "y", "width", "height"]
+    flat = entries.select(*[c for c in entries.columns if c != "box"], *[F.col(f"box.{c}").alias(f"_{c}") for c in names])
+    place = [f"_{c}" for c in names]
 
-    def smooth(rows: pd.DataFrame, first: np.ndarray) -> pd.DataFrame:
-        frames, boxes, out = rows["frame_index"].tolist(), rows[names].to_numpy().tolist(), []
+    def apply(rows: pd.DataFrame, first: np.ndarray) -> pd.DataFrame:
+        frames, boxes, out = rows["frame_index"].tolist(), rows[place].to_numpy().tolist(), []
         for a, b in zip(first, [*first[1:], len(rows)], strict=True):
-            out += smooth_series(frames[a:b], [tuple(x) for x in boxes[a:b]], **settings)
-        return rows.assign(**dict(zip(names, np.array(out, np.int32).reshape(-1, 4).T, strict=True)))
+            out += smooth(frames[a:b], [tuple(x) for x in boxes[a:b]])
+        return rows.assign(**dict(zip(place, np.array(out, np.int32).reshape(-1, 4).T, strict=True)))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: pd.DataFrame | None = None
@@ -82,9 +98,21 @@ def smooth_one_euro(entries: DataFrame, keys: list[str], **settings: float) -> D
             same = (rows[keys] == rows[keys].shift()).all(axis=1).to_numpy()
             first = np.flatnonzero(~same)
             if len(first) > 1:
-                yield smooth(rows.iloc[: first[-1]], first[:-1])
+                yield apply(rows.iloc[: first[-1]], first[:-1])
             held = rows.iloc[first[-1] :].reset_index(drop=True) if len(first) else None
         if held is not None and len(held):
-            yield smooth(held, np.array([0]))
+            yield apply(held, np.array([0]))
+
+    out = flat.repartition(*keys).sortWithinPartitions(*keys, "frame_index").mapInPandas(run, flat.schema)
+    box = F.struct(*[F.col(f"_{c}").alias(c) for c in names]).alias("box")
+    return out.select(*[box if c == "box" else F.col(c) for c in entries.columns])
+
+
+def smooth_one_euro(entries: DataFrame, keys: list[str], **settings: float) -> DataFrame:
+    """Entries (keys, frame_index, box, …) with boxes smoothed by smooth_series, segment by segment."""
+    return by_segment(entries, keys, lambda frames, boxes: smooth_series(frames, boxes, **settings))
+
 
-    return flat.repartition(*keys).sortWithinPartitions(*keys, "frame_index").mapInPandas(run, schema)
+def smooth_locked(entries: DataFrame, keys: list[str], lock: int, alpha: float) -> DataFrame:
+    """Entries (keys, frame_index, box, …) with boxes smoothed by lock_series, segment by segment."""
+    return by_segment(entries, keys, lambda frames, boxes: lock_series(frames, boxes, lock, alpha))

@@ -72,6 +72,12 @@ def likeness(a: str, b: str) -> float:
     return 1.0 if not a and not b else 1 - edit_distance(a, b) / max(len(a), len(b))
 
 
+def likeness_at_most(a: str, b: str) -> float:
+    """A bound of the likeness from the lengths alone."""
+    m, n = len(a.strip()), len(b.strip())
+    return 1 - abs(m - n) / max(m, n, 1)
+
+
 class Tracker:
     """State of one stream. observe() takes the frames in order and gives the segments that end."""
 
@@ -85,9 +91,13 @@ class Tracker:
                 if frame - segment.last > s.patience:
                     continue
                 _, _, old, was = segment.entries[-1]
-                over, like = overlap(box, old), likeness(text, was)
+                over = overlap(box, old)
                 apart = math.hypot(box[0] + box[2] / 2 - old[0] - old[2] / 2, box[1] + box[3] / 2 - old[1] - old[3] / 2)
-                if (over >= s.min_iou and like >= FLOOR) or (like >= s.min_similarity and apart <= s.near * s.diagonal):
+                least = min([FLOOR] * (over >= s.min_iou) + [s.min_similarity] * (apart <= s.near * s.diagonal), default=2.0)
+                if likeness_at_most(text, was) < least:
+                    continue  # too far apart, or of too different lengths, whatever the texts are
+                like = likeness(text, was)
+                if like >= least:
                     found.append((over + like - apart / s.diagonal, i, segment))
         return sorted(found, key=lambda f: -f[0])
 
@@ -153,20 +163,38 @@ def track(detections: DataFrame, settings: Settings = Settings(), smooth: bool =
     """Entries of all segments of detections(stream_id, frame_index, t, box, text).
 
     A stream is tracked in one task, since each frame depends on the one before; streams
-    are independent. Frames without detections need no rows: patience counts frames.
+    are independent. Streams are sorted within partitions and tracked as they go by: a
+    task holds a batch, the open segments and those that end, not a stream. Frames without
+    detections need no rows: patience counts frames. Regions of one frame come in the order
+    of the column place, if there is one, then of box and text.
     """
     ship_package(detections.sparkSession)
     names = [c.split()[0] for c in COLUMNS.split(", ")]
-    flat = detections.selectExpr("stream_id", "frame_index", "t", "box.x", "box.y", "box.width", "box.height", "text", "monotonically_increasing_id() AS place")
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["frame_index", "place"], kind="stable")
-        tracker, done = Tracker(settings), []
-        for frame, group in rows.groupby("frame_index", sort=True):
-            regions = [(t, (int(x), int(y), int(w), int(h)), text or "") for t, x, y, w, h, text in group[["t", "x", "y", "width", "height", "text"]].itertuples(index=False)]
-            done += tracker.observe(int(frame), regions)
-        done += tracker.finish()
-        stream = rows["stream_id"].iloc[0]
-        return pd.DataFrame([r for s in done for r in entries_of(stream, s, smooth)], columns=names)
-
-    return flat.groupBy("stream_id").applyInPandas(run, COLUMNS)
+    place = ["place"] if "place" in detections.columns else []
+    order = ["stream_id", "frame_index", *place, "x", "y", "width", "height", "text"]
+    flat = detections.select("stream_id", "frame_index", "t", "box.x", "box.y", "box.width", "box.height", "text", *place)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tracker, now, regions = Tracker(settings), (None, None), []
+
+        def rows_of(ended: list[Segment]) -> list[tuple]:
+            return [r for s in ended for r in entries_of(now[0], s, smooth)]
+
+        for part in parts:
+            out = []
+            for stream, frame, t, x, y, w, h, text in part[["stream_id", "frame_index", "t", "x", "y", "width", "height", "text"]].itertuples(index=False):
+                if (stream, frame) != now:
+                    out += rows_of(tracker.observe(int(now[1]), regions)) if regions else []
+                    regions = []
+                    if stream != now[0]:
+                        out += rows_of(tracker.finish())
+                        tracker = Tracker(settings)
+                    now = (stream, frame)
+                regions.append((t, (int(x), int(y), int(w), int(h)), text or ""))
+            if out:
+                yield pd.DataFrame(out, columns=names)
+        if regions:
+            out = rows_of(tracker.observe(int(now[1]), regions)) + rows_of(tracker.finish())
+            yield pd.DataFrame(out, columns=names)
+
+    return flat.repartition("stream_id").sortWithinPartitions(*order).mapInPandas(run, COLUMNS)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import random
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -12,8 +11,8 @@ from pyspark.sql import functions as F
 from cuelattice.functions import geometry as G
 from cuelattice.functions import numeric as N
 from cuelattice.functions import text as X
-from cuelattice.operators import detections, enrichment, layout, scenes, schedules, segments, subtitles, timeline, tracking
-from cuelattice.operators.smoothing import smooth_one_euro
+from cuelattice.operators import audio, detections, enrichment, layout, scenes, schedules, segments, subtitles, timeline, tracking
+from cuelattice.operators.smoothing import smooth_locked, smooth_one_euro
 from cuelattice.plans import config
 from cuelattice.sources import storage, views
 from cuelattice.sources.views import FRAME_HEIGHT as H
@@ -127,14 +126,14 @@ def text_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH p AS (SELECT p_partkey, p_name AS a, lead(p_name) OVER (ORDER BY p_partkey) AS b FROM part)
+    """WITH p AS (SELECT p_partkey, p_name AS a, lead(p_name) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS b FROM part)
     SELECT p_partkey, levenshtein(a, b) AS distance, round(1 - levenshtein(a, b) / greatest(length(a), length(b))::double, 6) AS similarity FROM p WHERE b IS NOT NULL"""
 )
 def text_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_name")
-    after = part.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("b"))  # keys have no gaps, so an equi join is the neighbour
-    a, b = F.col("p_name"), F.col("b")
-    return part.join(after, "p_partkey").select("p_partkey", F.levenshtein(a, b).cast("long").alias("distance"), r6(X.similarity(a, b)).alias("similarity"))
+    after = F.lead("p_name").over(Window.partitionBy("p_brand").orderBy("p_partkey"))
+    part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("a"), after.alias("b")).where("b IS NOT NULL")
+    a, b = F.col("a"), F.col("b")
+    return part.select("p_partkey", F.levenshtein(a, b).cast("long").alias("distance"), r6(X.similarity(a, b)).alias("similarity"))
 
 
 @query("SELECT p_brand, arg_max(p_name, length(p_name) * 10000000 - p_partkey) AS canonical FROM part GROUP BY p_brand")
@@ -142,7 +141,14 @@ def text_canonical_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").groupBy("p_brand").agg(X.canonical(F.col("p_name"), F.col("p_partkey")).alias("canonical"))
 
 
-@query()
+def _wrapped(n: int) -> str:
+    """The lines of p_name dealt to n lines, by a fold over its words."""
+    return f"""(SELECT CASE WHEN len(ws) >= {n} AND len(list_append(r.done, r.line)) = {n} THEN array_to_string(list_append(r.done, r.line), chr(10)) END FROM (SELECT ws, list_reduce(list_transform(ws, lambda w: {{'done': []::varchar[], 'line': w}}), lambda a, v:
+      CASE WHEN length(a.line) + 1 + length(v.line) > greatest(1, length(p_name) // {n}) AND len(a.done) < {n} - 1 THEN {{'done': list_append(a.done, a.line), 'line': v.line}} ELSE {{'done': a.done, 'line': a.line || ' ' || v.line}} END) AS r
+      FROM (SELECT list_filter(regexp_split_to_array(p_name, '\\s+'), lambda w: w <> '') AS ws) x) y)"""
+
+
+@query(f"SELECT p_partkey, {_wrapped(2)} AS lines_2, {_wrapped(3)} AS lines_3 FROM part")
 def text_wrap_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
     return part.select("p_partkey", *[F.array_join(X.wrap_lines(F.col("p_name"), n), "\n").alias(f"lines_{n}") for n in (2, 3)])
@@ -160,10 +166,10 @@ _BATCHED = """d AS (SELECT p_brand AS norm_text, min(p_partkey) AS ord FROM part
     b AS (SELECT norm_text, (row_number() OVER (ORDER BY ord, norm_text) - 1) // 4 AS batch, (row_number() OVER (ORDER BY ord, norm_text) - 1) % 4 AS place FROM d)"""
 
 
-@query(f"WITH {_BATCHED} SELECT batch, count(*)::int AS n, string_agg((place + 1)::varchar || '. ' || norm_text, chr(10) ORDER BY place) AS prompt FROM b GROUP BY batch")
+@query(f"WITH {_BATCHED} SELECT batch, count(*)::int AS n, 'Each line apart.' || chr(10) || 'At most 40 characters for each.' || chr(10) || string_agg((place + 1)::varchar || '. ' || norm_text, chr(10) ORDER BY place) AS prompt FROM b GROUP BY batch")
 def batch_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = enrichment.distinct_texts(table(spark, sf_dir, "part"), "p_brand", "p_partkey")
-    return enrichment.prompts(enrichment.batches(texts, 4))
+    return enrichment.prompts(enrichment.batches(texts, 4), "Each line apart.\n", 40)
 
 
 @query(
@@ -313,17 +319,16 @@ def segment_gap_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT stream_id, text, island::bigint AS island, round_even(e.x, 0)::int AS x, round_even(e.w, 0)::int AS width FROM r"""
 )
 def segment_ema(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = observed(spark, sf_dir).withColumn("label", F.col("text"))
-    rows = rows.withColumn("box", G.box(F.col("box.x"), F.lit(0), F.col("box.width"), F.lit(1)))
-    out = segments.smooth_locked(rows, ["stream_id", "label", "island"], 300, 0.3)
-    last = out.groupBy("stream_id", "label", "island").agg(F.max_by("box", "frame_index").alias("b"))
-    return last.select("stream_id", F.col("label").alias("text"), F.col("island").cast("long"), "b.x", "b.width")
+    rows = observed(spark, sf_dir).withColumn("box", G.box(F.col("box.x"), F.lit(0), F.col("box.width"), F.lit(1)))
+    out = smooth_locked(rows.select(*KEYS, "frame_index", "box"), KEYS, 300, 0.3)
+    last = out.groupBy(*KEYS).agg(F.max_by("box", "frame_index").alias("b"))
+    return last.select("stream_id", "text", F.col("island").cast("long"), "b.x", "b.width")
 
 
 @query()
 def segment_one_euro(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = observed(spark, sf_dir).withColumn("label", F.col("text"))
-    return smooth_one_euro(rows, ["stream_id", "label", "island"])
+    out = smooth_one_euro(observed(spark, sf_dir).select(*KEYS, "frame_index", "box"), KEYS)
+    return out.select(*KEYS, "frame_index", *flat("box"))
 
 
 @query()
@@ -331,14 +336,56 @@ def segment_track(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tracking.track(detections.usable(views.detections(spark, sf_dir), 0.5, None))
 
 
+TRACKED = tracking.Settings(min_iou=0.3, max_active=4, inactive=2)
+
+
+@query()
+def track_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several regions to a frame that compete for segments, more than may be open at once."""
+    return tracking.track(detections.usable(views.regions(spark, sf_dir), 0.1, None), TRACKED, smooth=False)
+
+
+@query(
+    f"""WITH {_OBS}, f AS (SELECT *, first_value(x + w / 2.0::double) OVER s AS cx, first_value(y + h / 2.0::double) OVER s AS cy FROM isl WINDOW s AS (PARTITION BY stream_id, text, island ORDER BY frame_index))
+    SELECT stream_id, frame_index, NOT (cx BETWEEN 200 AND 1000 AND cy BETWEEN 100 AND 700) AS rendered FROM f"""
+)
+def region_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    region = G.box(F.lit(200), F.lit(100), F.lit(800), F.lit(600))
+    return segments.with_suppression(observed(spark, sf_dir), KEYS, region).select("stream_id", "frame_index", "rendered")
+
+
+@query(
+    f"""WITH {_OBS}, q AS (SELECT DISTINCT stream_id, text, island, greatest(0, frame_index + 5 - event_id % 11) AS target FROM isl), pair AS (
+      SELECT q.*, i.frame_index AS f, i.t, abs(i.frame_index - target) AS d FROM q JOIN isl i USING (stream_id, text, island)), n AS (
+      SELECT stream_id, text, island, target, arg_min(f, d * 1000000 + f) AS observed, max(CASE WHEN f <= target THEN f END) AS fa, min(CASE WHEN f >= target THEN f END) AS fb,
+        arg_max(t, CASE WHEN f <= target THEN f END) AS ta, arg_min(t, CASE WHEN f >= target THEN f END) AS tb FROM pair GROUP BY stream_id, text, island, target)
+    SELECT stream_id, text, island::bigint AS island, target AS frame_index, observed AS observed_frame, floor(coalesce(ta + (target - fa) / nullif(fb - fa, 0)::double * (tb - ta), ta, tb) * 1000 + 0.2003)::bigint AS ms FROM n"""
+)
+def nearest_observed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = observed(spark, sf_dir)
+    targets = rows.select(*KEYS, F.greatest(F.lit(0).cast("long"), F.col("frame_index") + 5 - F.col("event_id") % 11).alias("frame_index")).distinct()
+    keyed = [c.withColumnRenamed("text", "label") for c in (targets, rows)]
+    out = segments.nearest_observed(keyed[0], keyed[1].withColumn("text", F.col("label")), ["stream_id", "label", "island"])
+    return out.select("stream_id", "text", F.col("island").cast("long"), "frame_index", "observed_frame", F.floor(F.col("t") * 1000 + 0.2003).alias("ms"))
+
+
+@query(f"WITH {_OBS} SELECT count(DISTINCT stream_id || '|' || text || '|' || island) AS n_segments, count(*) AS n_entries, count(DISTINCT stream_id || '|' || frame_index) AS n_frames FROM isl")
+def segment_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return observed(spark, sf_dir).agg(
+        F.count_distinct(F.struct(*KEYS)).alias("n_segments"), F.count("*").alias("n_entries"), F.count_distinct(F.struct("stream_id", "frame_index")).alias("n_frames")
+    )
+
+
 @query(
     f"""WITH {_OBS}, n AS (SELECT *, row_number() OVER (PARTITION BY stream_id, text, island ORDER BY w * h, frame_index) - 1 AS i, row_number() OVER (PARTITION BY stream_id, text, island ORDER BY w) - 1 AS j, count(*) OVER (PARTITION BY stream_id, text, island) AS c,
-      max(w) OVER (PARTITION BY stream_id, text, island) - min(w) OVER (PARTITION BY stream_id, text, island) AS dw FROM isl)
-    SELECT stream_id, text, island::bigint AS island, max(CASE WHEN i = 0 THEN x END)::int AS smallest_x, max(CASE WHEN i = c // 2 THEN x END)::int AS middle_x, max(CASE WHEN j = c // 2 THEN w END)::int AS median_width FROM n GROUP BY stream_id, text, island"""
+      row_number() OVER (PARTITION BY stream_id, text, island ORDER BY h) - 1 AS k, max(w) OVER (PARTITION BY stream_id, text, island) - min(w) OVER (PARTITION BY stream_id, text, island) AS dw,
+      max(h) OVER (PARTITION BY stream_id, text, island) - min(h) OVER (PARTITION BY stream_id, text, island) AS dh FROM isl)
+    SELECT stream_id, text, island::bigint AS island, max(CASE WHEN i = 0 THEN x END)::int AS smallest_x, max(CASE WHEN i = c // 2 THEN x END)::int AS middle_x, max(CASE WHEN j = c // 2 THEN w END)::int AS median_width,
+      (max(dw) < 0.3 * max(CASE WHEN j = c // 2 THEN w END) AND max(dh) < 0.3 * max(CASE WHEN k = c // 2 THEN h END)) AS steady FROM n GROUP BY stream_id, text, island"""
 )
 def segment_median_box(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = segments.representative_boxes(observed(spark, sf_dir), KEYS)
-    return out.select("stream_id", "text", F.col("island").cast("long"), F.col("smallest.x").alias("smallest_x"), F.col("middle.x").alias("middle_x"), "median_width")
+    return out.select("stream_id", "text", F.col("island").cast("long"), F.col("smallest.x").alias("smallest_x"), F.col("middle.x").alias("middle_x"), "median_width", "steady")
 
 
 # Enrichment.
@@ -362,6 +409,22 @@ def translate_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrichment.enrich(_part_names(spark, sf_dir), "text", "p_partkey", _upper, max_chars=12).groupBy("status").agg(F.count("*").alias("n"))
 
 
+@query(
+    """SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN ' ' WHEN p_type LIKE 'STANDARD%' THEN 'known' WHEN p_type LIKE 'LARGE%' THEN p_type ELSE upper(p_type) END AS translated_text,
+      CASE WHEN p_partkey % 5 = 0 THEN 'passthrough' WHEN p_type LIKE 'LARGE%' THEN 'passthrough' ELSE 'translated' END AS status FROM part"""
+)
+def translate_cached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that the cache has as translated or passed are taken from it; those it has as untranslated are asked for again."""
+    kind = F.substring_index("p_type", " ", 1)
+    held = table(spark, sf_dir, "part").select("p_type", kind.alias("kind")).distinct().where("kind IN ('STANDARD', 'LARGE', 'SMALL')")
+    cache = held.select(
+        F.col("p_type").alias("norm_text"),
+        F.when(F.col("kind") == "STANDARD", "known").otherwise(F.col("p_type")).alias("translated_text"),
+        F.when(F.col("kind") == "STANDARD", "translated").when(F.col("kind") == "LARGE", "passthrough").otherwise("untranslated").alias("status"),
+    )
+    return enrichment.enrich(_part_names(spark, sf_dir), "text", "p_partkey", _upper, cache=cache).select("p_partkey", "translated_text", "status")
+
+
 @query(
     """WITH e AS (SELECT user_id, event_id, epoch_us(ts) AS us FROM events)
     SELECT user_id, event_id, count(*) OVER (PARTITION BY user_id ORDER BY us RANGE BETWEEN 86400000000 PRECEDING AND CURRENT ROW) AS in_window, count(*) OVER (PARTITION BY user_id ORDER BY us RANGE BETWEEN 86400000000 PRECEDING AND CURRENT ROW) > 5 AS throttled FROM e"""
@@ -397,6 +460,13 @@ def srt_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subtitles.srt(srt_cues(spark, sf_dir), ["stream_id"])
 
 
+@query(f"WITH {_CUES}, tr AS (SELECT stream_id, cue, start_ts, end_ts, CASE WHEN length(text) % 2 = 0 THEN upper(text) ELSE text END AS text FROM c) SELECT * FROM tr")
+def srt_translated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = segments.summarize(observed(spark, sf_dir), KEYS).withColumn("segment_id", F.concat_ws("/", *KEYS))
+    words = made.where("length(text) % 2 = 0").select("segment_id", F.upper("text").alias("translated_text"))
+    return subtitles.cues(made, ["stream_id"], ["canonical_text", "island"], words).withColumn("cue", F.col("cue").cast("long"))
+
+
 @query(f"WITH {_DET} SELECT f.stream_id, f.frame_index, f.event_id, d.event_id IS NOT NULL AS shown, d.w::int AS width FROM frames f LEFT JOIN (SELECT * FROM det WHERE confidence >= 0.5) d ON f.stream_id = d.stream_id AND f.frame_index = d.frame_index")
 def frame_entry_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     shown = detections.usable(views.detections(spark, sf_dir), 0.5, None).select("stream_id", "frame_index", F.col("event_id").alias("entry"), "box.width")
@@ -459,12 +529,52 @@ def tumbling_params(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_type", F.unix_micros("start").alias("start_us"), "n", r6("mean").alias("mean"))
 
 
-@query()
+def _uniform(seed: int, *parts: str) -> str:
+    """SQL for numeric.uniform."""
+    return f"('0x' || substr(md5(concat_ws('|', '{seed}', {', '.join(p + '::varchar' for p in parts)})), 1, 13))::bigint / {float(1 << 52)}::double"
+
+
+DRAWN = {"speed": (0.99, 1.01), "zoom": (1.0, 1.05), "gamma": (-0.02, 0.02)}
+_CLIPS = "clips AS (SELECT s_suppkey AS clip, 200 + s_suppkey % 100 AS n FROM supplier)"
+
+
+def _clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("clip"), (200 + F.col("s_suppkey") % 100).cast("long").alias("n"))
+
+
+def _drawn(mode: str) -> str:
+    """SQL for the schedules of one way to draw, over all clips."""
+    ranges = ", ".join(f"('{p}', {a}::double, {b}::double)" for p, (a, b) in DRAWN.items())
+    wave = "greatest(low, least(high, (low + high) / 2 + (high - low) / 2 * sin(2 * pi() * 0.1 * ({pace}) * ((a + b) / 2) + {phase})))"
+    value = {
+        "random": f"low + (high - low) * {_uniform(17, 'clip', 'param', 'i')}",
+        "sinusoidal": wave.format(pace=f"0.8 + 0.4 * {_uniform(17, 'clip', 'param', chr(39) + 'frequency' + chr(39))}", phase=f"2 * pi() * {_uniform(17, 'clip', 'param', chr(39) + 'phase' + chr(39))}"),
+        "correlated": wave.format(
+            pace=f"0.9 + 0.2 * {_uniform(17, 'clip', 'param', chr(39) + 'frequency' + chr(39))}",
+            phase=f"2 * pi() * {_uniform(17, 'clip')} + (2 * {_uniform(17, 'clip', 'param', chr(39) + 'phase' + chr(39))} - 1) * (pi() / 6)",
+        ),
+    }[mode]
+    return f"""SELECT '{mode}' AS mode, clip, param, i::int AS seg_idx, round(a, 6) AS start_time, round(b, 6) AS end_time, round({value}, 6) AS value FROM (
+      SELECT clip, param, low, high, i, i * 3.0::double AS a, least((i + 1) * 3.0::double, d) AS b FROM (SELECT clip, d, unnest(range(0, CASE WHEN d <= 3 THEN 1 ELSE ceil(d / 3.0::double)::bigint END)) AS i FROM (SELECT clip, n / {FPS}::double AS d FROM clips) c) s, (VALUES {ranges}) r(param, low, high)) x"""
+
+
+@query(f"WITH {_CLIPS} {' UNION ALL '.join(_drawn(m) for m in schedules.MODES)}")
 def schedule_random_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rng = random.Random(17)
-    made = schedules.draw_correlated(rng, {k: config.RANGES[k] for k in ("speed_min", "max_zoom", "gamma_range")}, DURATION, STEP, 0.1)
-    made |= {mode: schedules.draw(rng, 0.0, 1.0, DURATION, STEP, mode) for mode in ("random", "sinusoidal")}
-    return schedules.to_table(spark, made)
+    clips = _clips(spark, sf_dir).select("clip", (F.col("n") / FPS).alias("duration"))
+    out = None
+    for mode in schedules.MODES:
+        made = schedules.drawn(clips, DRAWN, 3.0, mode, seed=17).select(F.lit(mode).alias("mode"), "clip", "param", "seg_idx", *[r6(c).alias(c) for c in ("start_time", "end_time", "value")])
+        out = made if out is None else out.unionByName(made)
+    return out
+
+
+@query(
+    f"""WITH {_CLIPS}, d AS (SELECT clip, i, 2 * pi() * {_uniform(19, 'clip', 'i', "'turn'")} AS turn, 0.3 + 0.7 * {_uniform(19, 'clip', 'i', "'size'")} AS size FROM (SELECT clip, unnest(range(0, 4)) AS i FROM clips) c)
+    SELECT clip, i AS seg_idx, round(cos(turn) * size, 6) AS dx, round(sin(turn) * size, 6) AS dy FROM d"""
+)
+def drift_directions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _clips(spark, sf_dir).select("clip", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("seg_idx"))
+    return schedules.drift_directions(rows, 19, "clip", "seg_idx").select("clip", "seg_idx", r6("dx").alias("dx"), r6("dy").alias("dy"))
 
 
 @query(
@@ -512,11 +622,48 @@ def frame_map_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeline.look_up(frame_map_speed(spark, sf_dir), source, ["stream_id"], "value", 0.0).select("stream_id", "out_idx", r6("value").alias("value"))
 
 
-@query()
+_BUILT = f"""{_CLIPS}, sch AS (SELECT clip, i, i * 3.0::double AS a, least((i + 1) * 3.0::double, n / {FPS}::double) AS b, 0.99 + (1.01 - 0.99) * {_uniform(5, 'clip', "'speed'", 'i')} AS v, ceil(n / {FPS}::double / 3.0)::bigint AS k
+      FROM (SELECT clip, n, unnest(range(0, ceil(n / {FPS}::double / 3.0)::bigint)) AS i FROM clips) c), moved AS (
+      SELECT *, b + (2 * {_uniform(6, 'clip', 'i::int')} - 1) * 0.05 AS m, lead(b) OVER (PARTITION BY clip ORDER BY i) AS nb FROM sch), folded AS (
+      SELECT clip, list_reduce(list({{'e': [CASE WHEN i = 0 THEN greatest(0.001, least(m, nb - 0.001)) ELSE m END], 'up': nb}} ORDER BY i), lambda s, x: {{'e': list_append(s.e, CASE WHEN x.up IS NULL THEN x.e[1] ELSE greatest(s.e[len(s.e)] + 0.001, least(x.e[1], x.up - 0.001)) END), 'up': x.up}}) AS f FROM moved GROUP BY clip), edges AS (
+      SELECT s.clip, s.i, CASE WHEN s.i = 0 THEN 0 ELSE f.e[s.i] END AS a, CASE WHEN s.i = s.k - 1 THEN s.b ELSE f.e[s.i + 1] END AS b, v FROM sch s JOIN folded USING (clip)), fr AS (
+      SELECT clip, n, unnest(range(0, n)) AS out_idx FROM clips), sp AS (
+      SELECT fr.clip, fr.n, out_idx, v FROM fr JOIN edges e ON fr.clip = e.clip AND out_idx / {FPS}::double >= a AND out_idx / {FPS}::double < b), fm AS (
+      SELECT clip, n, out_idx, greatest(0, least(round_even(sum(CASE WHEN out_idx = 0 THEN 0 ELSE v / {FPS} END) OVER (PARTITION BY clip ORDER BY out_idx ROWS UNBOUNDED PRECEDING) * {FPS}, 0)::bigint, n - 1)) AS in_idx FROM sp), h AS (
+      SELECT *, CASE WHEN out_idx BETWEEN 1 AND n - 2 THEN {_uniform(6, 'clip', 'out_idx')} END AS h FROM fm), low AS (
+      SELECT *, coalesce(h < coalesce(lag(h) OVER w, 1) AND h < coalesce(lead(h) OVER w, 1), false) AS low, lag(in_idx) OVER w AS before FROM h WINDOW w AS (PARTITION BY clip ORDER BY out_idx)), pick AS (
+      SELECT *, low AND row_number() OVER (PARTITION BY clip ORDER BY CASE WHEN low THEN h END NULLS LAST, out_idx) <= floor({_uniform(6, 'clip', "'places'")} * (floor(n * 2.0 / 100) + 1)) AS again FROM low)"""
+
+
+@query(f"WITH {_BUILT} SELECT clip, out_idx, CASE WHEN again THEN coalesce(before, in_idx) ELSE in_idx END AS in_idx FROM pick")
 def frame_map_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rng = random.Random(5)
-    speeds = schedules.draw(rng, 0.99, 1.01, 60.0, STEP)
-    return timeline.build_map(spark, 1800, FPS, speeds, STEP, 0.05, 1.0, rng)
+    clips = _clips(spark, sf_dir)
+    speeds = schedules.drawn(clips.select("clip", (F.col("n") / FPS).alias("duration")), {"speed": (0.99, 1.01)}, 3.0, "random", seed=5)
+    return timeline.build_map(clips, FPS, speeds.drop("param"), 3.0, 0.05, 2.0, 6)
+
+
+@query(
+    f"""WITH {_MAP}, w AS (SELECT stream_id, out_idx, in_idx, count(*) OVER (PARTITION BY stream_id) AS have, CASE WHEN stream_id % 3 = 0 THEN (count(*) OVER (PARTITION BY stream_id) * 4) // 5 WHEN stream_id % 3 = 1 THEN (count(*) OVER (PARTITION BY stream_id) * 6) // 5 ELSE count(*) OVER (PARTITION BY stream_id) END AS n FROM fm), lim AS (
+      SELECT *, trunc(n * 0.99::double)::bigint AS low, trunc(n * 1.01::double)::bigint AS high FROM w), e AS (SELECT stream_id, have, max(low) AS low, arg_max(in_idx, out_idx) AS last FROM lim GROUP BY stream_id, have)
+    SELECT stream_id, out_idx, in_idx FROM lim WHERE out_idx < high UNION ALL SELECT stream_id, unnest(range(have, low)), last FROM e WHERE have < low"""
+)
+def frame_map_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    have = F.count("*").over(Window.partitionBy("stream_id"))
+    wanted = F.when(F.col("stream_id") % 3 == 0, F.floor(have * 4 / 5)).when(F.col("stream_id") % 3 == 1, F.floor(have * 6 / 5)).otherwise(have)
+    return timeline.fit_length(frame_map_speed(spark, sf_dir).withColumn("wanted", wanted), ["stream_id"], F.col("wanted"))
+
+
+@query(f"WITH {_MAP} SELECT m.stream_id, m.out_idx, round(f.value, 6) AS value FROM fm m JOIN (SELECT stream_id, max(frame_index) AS last FROM frames WHERE frame_index < 10 GROUP BY stream_id) l ON l.stream_id = m.stream_id JOIN frames f ON m.stream_id = f.stream_id AND f.frame_index = least(m.in_idx, l.last)")
+def frame_map_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places beyond the input, of which ten frames are there, show its last frame."""
+    source = views.frames(spark, sf_dir).where("frame_index < 10")
+    return timeline.look_up_or_last(frame_map_speed(spark, sf_dir), source, ["stream_id"], "value", 0.0).select("stream_id", "out_idx", r6("value").alias("value"))
+
+
+@query(f"WITH {_CLIPS} SELECT clip, (15 + least(105, floor({_uniform(23, 'clip')} * 106)))::bigint AS gop FROM clips")
+def gop_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    low, high = (F.lit(config.PRESETS["medium"][k]) for k in ("gop_min", "gop_max"))
+    return _clips(spark, sf_dir).select("clip", N.whole_between(low, high, 23, "clip").cast("long").alias("gop"))
 
 
 _DRIFT = f"""dr AS (SELECT seg_idx, a, b, ((seg_idx * 13) % 9 - 4) / 8.0::double AS dx, ((seg_idx * 7) % 9 - 4) / 8.0::double AS dy FROM spans), acc AS (
@@ -552,52 +699,60 @@ def crop_region(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Scenes. Each embedding stands for the histogram of a frame.
 
-_HIST = """h AS (SELECT vec_id, list_transform(embedding, lambda x: x::double) AS a, lag(list_transform(embedding, lambda x: x::double)) OVER (ORDER BY vec_id) AS b FROM embeddings), p AS (
-    SELECT vec_id, list_sum(list_transform(list_zip(a, b), lambda z: z[1] * z[2])) AS ab, list_sum(list_transform(a, lambda x: x * x)) AS aa, list_sum(list_transform(b, lambda x: x * x)) AS bb, list_sum(a) AS sa, list_sum(b) AS sb, len(a) AS n FROM h WHERE b IS NOT NULL), d AS (
-    SELECT vec_id, 1 - coalesce((ab - sa * sb / n) / nullif(sqrt((aa - sa * sa / n) * (bb - sb * sb / n)), 0), 1) AS diff FROM p)"""
-_CUTS = f"{_HIST}, cut AS (SELECT * FROM d WHERE diff > 0.9), total AS (SELECT count(*) AS n FROM embeddings)"
-_SCENES = f"""{_CUTS}, st AS (SELECT vec_id AS a FROM cut UNION ALL SELECT 0), sc AS (SELECT a, coalesce(lead(a) OVER (ORDER BY a), n) AS b FROM st, total), ok AS (
-    SELECT a AS start_frame, b AS end_frame, a / {FPS} AS start_time, b / {FPS} AS end_time, (b / {FPS} - a / {FPS}) < 0.1 AS is_micro FROM sc WHERE b > a)"""
+CLIP = 100  # consecutive vectors that make a clip
+
+_HIST = f"""h AS (SELECT vec_id // {CLIP} AS clip, vec_id % {CLIP} AS f, list_transform(embedding, lambda x: x::double) AS a, lag(list_transform(embedding, lambda x: x::double)) OVER (PARTITION BY vec_id // {CLIP} ORDER BY vec_id) AS b FROM embeddings), p AS (
+    SELECT clip, f, list_sum(list_transform(list_zip(a, b), lambda z: z[1] * z[2])) AS ab, list_sum(list_transform(a, lambda x: x * x)) AS aa, list_sum(list_transform(b, lambda x: x * x)) AS bb, list_sum(a) AS sa, list_sum(b) AS sb, len(a) AS n FROM h WHERE b IS NOT NULL), d AS (
+    SELECT clip, f, 1 - coalesce((ab - sa * sb / n) / nullif(sqrt((aa - sa * sa / n) * (bb - sb * sb / n)), 0), 1) AS diff FROM p)"""
+_CUTS = f"{_HIST}, cut AS (SELECT * FROM d WHERE diff > 0.9), total AS (SELECT clip, max(f) + 1 AS n FROM h GROUP BY clip)"
+_SCENES = f"""{_CUTS}, st AS (SELECT clip, f AS a FROM cut UNION ALL SELECT clip, 0 FROM total), sc AS (SELECT clip, a, coalesce(lead(a) OVER (PARTITION BY clip ORDER BY a), n) AS b FROM st JOIN total USING (clip)), ok AS (
+    SELECT clip, a AS start_frame, b AS end_frame, a / {FPS} AS start_time, b / {FPS} AS end_time, (b / {FPS} - a / {FPS}) < 0.1 AS is_micro FROM sc WHERE b > a)"""
 
 
 def _hist_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select(F.lit(0).alias("clip"), F.col("vec_id").alias("frame_index"), F.col("embedding").cast("array<double>").alias("hist"))
+    vec = F.col("vec_id")
+    return table(spark, sf_dir, "embeddings").select(F.floor(vec / CLIP).alias("clip"), (vec % CLIP).alias("frame_index"), F.col("embedding").cast("array<double>").alias("hist"))
 
 
 def _scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = _hist_frames(spark, sf_dir)
-    cuts = scenes.boundaries(frames, ["clip"], "frame_index", "hist", 0.9, consecutive=True).select("clip", "frame_index")
-    return scenes.scenes(cuts, frames.groupBy("clip").agg(F.count("*").alias("n_frames")), ["clip"], FPS, 0.1)
+    cuts = scenes.boundaries(frames, ["clip"], "frame_index", "hist", 0.9).select("clip", "frame_index")
+    return scenes.scenes(cuts, frames.groupBy("clip").agg((F.max("frame_index") + 1).alias("n_frames")), ["clip"], FPS, 0.1)
 
 
-@query(f"WITH {_CUTS} SELECT vec_id AS frame_index, round(vec_id / {FPS}, 6) AS t, round(diff, 6) AS diff FROM cut")
+@query(f"WITH {_CUTS} SELECT clip, f AS frame_index, round(f / {FPS}, 6) AS t, round(diff, 6) AS diff FROM cut")
 def scene_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cuts = scenes.boundaries(_hist_frames(spark, sf_dir), ["clip"], "frame_index", "hist", 0.9, consecutive=True)
-    return cuts.select("frame_index", r6(F.col("frame_index") / FPS).alias("t"), r6("diff").alias("diff"))
+    cuts = scenes.boundaries(_hist_frames(spark, sf_dir), ["clip"], "frame_index", "hist", 0.9)
+    return cuts.select("clip", "frame_index", r6(F.col("frame_index") / FPS).alias("t"), r6("diff").alias("diff"))
 
 
-@query(f"WITH {_SCENES} SELECT start_frame, end_frame, round(start_time, 6) AS start_time, round(end_time, 6) AS end_time, is_micro FROM ok")
+@query(f"WITH {_SCENES} SELECT clip, start_frame, end_frame, round(start_time, 6) AS start_time, round(end_time, 6) AS end_time, is_micro FROM ok")
 def scene_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scenes(spark, sf_dir).select("start_frame", "end_frame", r6("start_time").alias("start_time"), r6("end_time").alias("end_time"), "is_micro")
+    return _scenes(spark, sf_dir).select("clip", "start_frame", "end_frame", r6("start_time").alias("start_time"), r6("end_time").alias("end_time"), "is_micro")
 
 
 @query(
-    f"""WITH {_SCENES}, l AS (SELECT *, end_time - start_time AS own, lag(end_time - start_time) OVER (ORDER BY start_frame) AS before FROM ok), s AS (
+    f"""WITH {_SCENES}, l AS (SELECT *, end_time - start_time AS own, lag(end_time - start_time) OVER (PARTITION BY clip ORDER BY start_frame) AS before FROM ok), s AS (
       SELECT *, start_time - coalesce(least(0.5, before, own) / 2, 0) AS moved FROM l)
-    SELECT end_frame, CASE WHEN before IS NULL THEN start_frame ELSE greatest(0, round_even(moved * ((end_frame - start_frame) / own), 0)::bigint) END AS start_frame, round(CASE WHEN before IS NULL THEN start_time ELSE greatest(0, moved) END, 6) AS start_time FROM s"""
+    SELECT clip, end_frame, CASE WHEN before IS NULL THEN start_frame ELSE greatest(0, round_even(moved * ((end_frame - start_frame) / own), 0)::bigint) END AS start_frame, round(CASE WHEN before IS NULL THEN start_time ELSE greatest(0, moved) END, 6) AS start_time FROM s"""
 )
 def scene_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scenes.overlaps(_scenes(spark, sf_dir), ["clip"], 0.5).select("end_frame", "start_frame", r6("start_time").alias("start_time"))
+    return scenes.overlaps(_scenes(spark, sf_dir), ["clip"], 0.5).select("clip", "end_frame", "start_frame", r6("start_time").alias("start_time"))
 
 
-@query(f"WITH {_SCENES} SELECT start_frame, unnest(generate_series(start_frame, end_frame - 1)) AS frame_index FROM ok")
+@query(f"WITH {_SCENES} SELECT clip, start_frame, unnest(generate_series(start_frame, end_frame - 1)) AS frame_index FROM ok")
 def scene_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scenes.frames_of(_scenes(spark, sf_dir), []).select("start_frame", "frame_index")
+    return scenes.frames_of(_scenes(spark, sf_dir), ["clip"]).select("clip", "start_frame", "frame_index")
 
 
-@query()
+@query(
+    f"""WITH {_SCENES}, pl AS (SELECT *, row_number() OVER (PARTITION BY clip ORDER BY start_frame) AS place FROM ok), nu AS (
+      SELECT *, row_number() OVER (PARTITION BY clip, is_micro ORDER BY place) AS nth, row_number() OVER (PARTITION BY clip, is_micro ORDER BY {_uniform(3, 'clip', 'start_frame')}, start_frame) AS dr, count(*) OVER (PARTITION BY clip, is_micro) AS c FROM pl), sa AS (
+      SELECT *, min((nth = dr)::int) OVER (PARTITION BY clip, is_micro) AS same FROM nu), ta AS (SELECT *, CASE WHEN same = 1 THEN nth % c + 1 ELSE dr END AS goal FROM sa WHERE is_micro)
+    SELECT clip, place, start_frame, end_frame, is_micro FROM pl WHERE NOT is_micro UNION ALL SELECT ta.clip, t.place, ta.start_frame, ta.end_frame, ta.is_micro FROM ta JOIN ta t ON ta.clip = t.clip AND ta.goal = t.nth"""
+)
 def scene_reorder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scenes.reorder(spark, _scenes(spark, sf_dir), random.Random(3)).select("place", "start_frame", "end_frame", "is_micro")
+    return scenes.reorder(_scenes(spark, sf_dir), ["clip"], 3).select("clip", F.col("place").cast("long"), "start_frame", "end_frame", "is_micro")
 
 
 @query(
@@ -622,7 +777,7 @@ def gamma_lut(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT l_orderkey, l_linenumber, greatest(0, least(255, trunc((l_quantity * 5 - m) * 1.03 + m)))::int AS level FROM lineitem JOIN (SELECT l_returnflag, avg(l_quantity * 5) AS m FROM lineitem GROUP BY 1) a USING (l_returnflag)")
 def contrast_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     pixels = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", (F.col("l_quantity") * 5).alias("v"))
-    joined = pixels.join(F.broadcast(pixels.groupBy("l_returnflag").agg(F.avg("v").alias("m"))), "l_returnflag")
+    joined = pixels.join(pixels.groupBy("l_returnflag").agg(F.avg("v").alias("m")), "l_returnflag")
     return joined.select("l_orderkey", "l_linenumber", N.contrast(F.col("v"), F.col("m"), F.lit(1.03)).alias("level"))
 
 
@@ -644,9 +799,9 @@ def overlay_compose(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", N.overlay(F.col("l_quantity") * 5, noise, shade, F.lit(0.03), 0.5).alias("level"))
 
 
-@query()
+@query(f"SELECT l_orderkey, l_linenumber, (floor({_uniform(11, 'l_orderkey', 'l_linenumber')} * 257) - 128)::int AS grain FROM lineitem")
 def grain_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(64 * 36).select("id", N.grain(11).alias("grain"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", N.grain(11, "l_orderkey", "l_linenumber").alias("grain"))
 
 
 _GRID = 8
@@ -748,10 +903,58 @@ def config_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return config.check_table(cases, config.ranges_table(spark)).select("preset", "param", "value", "valid")
 
 
-@query(f"SELECT preset, v.param, round(greatest(low, least(low + (value - low) * 0.5, high)), 6)::double AS scaled FROM {_values(_CASES)} v(preset, param, value) JOIN {_RANGES} r(param, low, high) ON v.param = r.param")
+_NEUTRAL = _values([(g, k, float(v)) for g, values in config.NEUTRAL.items() for k, v in values.items()])
+
+
+@query(f"SELECT preset, v.param, round(coalesce(neutral + (value - neutral) * 0.5, value), 6)::double AS scaled FROM {_values(_CASES)} v(preset, param, value) LEFT JOIN {_NEUTRAL} n(grp, param, neutral) ON v.param = n.param AND n.grp IN ('temporal', 'audio')")
 def combo_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cases = spark.createDataFrame(_CASES, "preset string, param string, value double").join(F.broadcast(config.ranges_table(spark)), "param")
-    return cases.select("preset", "param", r6(N.scale_intensity(F.col("value"), F.col("low"), F.col("high"), F.lit(0.5))).alias("scaled"))
+    cases = spark.createDataFrame(_CASES, "preset string, param string, value double")
+    return config.scale_table(cases, 0.5, ["temporal", "audio"]).select("preset", "param", r6("scaled").alias("scaled"))
+
+
+_FILE = {"temporal": {"speed_min": 0.95}, "gop": {"gop_max": 200}, "presets": {"light": {"spatial": {"max_zoom": 1.5}}}}
+_GIVEN = {"hue_range": 4.0, "speed_max": 1.09}
+_RESOLVED = [
+    (p, k, v, i)
+    for p in config.CHOICES["preset"]
+    for i, layer in enumerate((config.DEFAULTS, {"max_zoom": 1.5} if p == "light" else config.PRESETS[p], {"speed_min": 0.95, "gop_max": 200}, _GIVEN))
+    for k, v in layer.items()
+    if isinstance(v, (int, float)) and not isinstance(v, bool)
+]
+
+
+@query(f"SELECT preset, param, arg_max(value::double, priority) AS value FROM {_values(_RESOLVED)} t(preset, param, value, priority) GROUP BY preset, param")
+def settings_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Defaults, a preset of the engine or of the file, the file's sections and overrides, each above the one before."""
+    found = {p: config.resolve(_FILE, p, _GIVEN) for p in config.CHOICES["preset"]}
+    rows = [(p, k, float(v)) for p, values in found.items() for k, v in values.items() if isinstance(v, (int, float)) and not isinstance(v, bool)]
+    return spark.createDataFrame(rows, "preset string, param string, value double")
+
+
+@query(
+    """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN '-c:v h264_nvenc -preset ' || CASE p_size % 3 WHEN 0 THEN 'p1' WHEN 1 THEN 'p4' ELSE 'p5' END || ' -rc vbr -cq 23 -b:v 0'
+      WHEN 1 THEN '-c:v h264_qsv -preset ' || CASE p_size % 3 WHEN 0 THEN 'veryfast' WHEN 1 THEN 'fast' ELSE 'medium' END || ' -global_quality 23'
+      WHEN 2 THEN '-c:v h264_amf -quality ' || CASE p_size % 3 WHEN 0 THEN 'speed' WHEN 1 THEN 'balanced' ELSE 'quality' END || ' -rc vbr_latency -qp_i 23 -qp_p 23'
+      ELSE '-c:v libx264 -preset ' || CASE p_size % 3 WHEN 0 THEN 'ultrafast' WHEN 1 THEN 'veryfast' ELSE 'medium' END || ' -crf 23 -threads 8' END AS arguments FROM part"""
+)
+def encoder_arguments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = F.array(*map(F.lit, ("h264_nvenc", "h264_qsv", "h264_amf", "other")))
+    levels = F.array(*map(F.lit, ("ultrafast", "fast", "medium")))
+    jobs = table(spark, sf_dir, "part").select("p_partkey", F.get(names, (F.col("p_partkey") % 4).cast("int")).alias("encoder"), F.get(levels, F.col("p_size") % 3).alias("preset"))
+    return config.encoder_arguments(jobs).select("p_partkey", "arguments")
+
+
+@query(
+    """SELECT p_partkey, array_to_string(list_filter([CASE WHEN NOT (p_size % 2 = 0 AND p_partkey % 2 = 0) THEN 'spatial' END, CASE WHEN p_size % 3 > 0 THEN 'warp' END, CASE WHEN p_partkey % 5 > 0 AND p_partkey % 7 > 0 THEN 'rotation' END, 'color_drift', CASE WHEN p_size % 5 > 0 AND p_partkey % 3 > 0 THEN 'overlay' END], lambda x: x IS NOT NULL), ' ') AS transforms FROM part"""
+)
+def active_transforms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which transforms change a frame, in order: those that are enabled and whose ranges are not without effect."""
+    size, i = F.col("p_size"), F.col("p_partkey")
+    drawn = {"max_crop_percent": size % 2, "max_zoom": 1 + i % 2, "warp_max_displacement": size % 3, "max_rotation_degrees": i % 5, "overlay_opacity_max": size % 5, "hue_range": F.lit(1.0)}
+    switches = {"overlay_grain_enabled": i % 3 > 0, "overlay_vignette_enabled": F.lit(False), "rotation_enabled": i % 7 > 0}
+    rest = {k: F.lit(v) for k, v in config.resolve({}).items() if v is not None}
+    jobs = table(spark, sf_dir, "part").withColumns(rest | drawn | switches)
+    return config.active_transforms(jobs).select("p_partkey", F.array_join("transforms", " ").alias("transforms"))
 
 
 @query(
@@ -776,13 +979,31 @@ def stream_session(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def stream_track(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Detections written in order of frames to files, and tracked as a stream of these."""
+    """Detections that arrive range by range of frames, tracked as a stream that goes on where it stopped."""
     folder = storage.new_folder(spark, "track")
     det = detections.usable(views.detections(spark, sf_dir), 0.5, None).select("stream_id", "frame_index", "t", "box", "text").withColumn("ends", F.lit(False))
     ends = det.groupBy("stream_id").agg((F.max("frame_index") + 1).alias("frame_index")).select("stream_id", "frame_index", F.lit(0.0).alias("t"), F.lit(None).cast(G.BOX).alias("box"), F.lit("").alias("text"), F.lit(True).alias("ends"))
     rows = det.unionByName(ends)
-    # One folder after another, so that the files' times follow the frames.
-    for part, frames in enumerate(("frame_index < 20", "frame_index >= 20")):
-        rows.where(frames).coalesce(1).write.parquet(f"{folder}/in/part={part}")
-    source = streams.read_stream(spark, f"{folder}/in", rows.schema)
-    return streams.run_available(streams.track_stream(source), "append", folder)
+    until = rows.agg(F.max("frame_index").alias("n")).first()["n"] or 0
+    out = None
+    for part in range(3):
+        low, high = part * (until // 3 + 1), (part + 1) * (until // 3 + 1)
+        rows.where(F.col("frame_index").between(low, high - 1)).write.parquet(f"{folder}/in/part={part}")
+        source = streams.read_stream(spark, f"{folder}/in", rows.schema, files=1 << 20)  # a range of frames is one batch
+        out = streams.run_available(streams.track_stream(source), "append", folder)
+    return out
+
+
+# Audio.
+
+
+@query()
+def audio_process(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tones of a length and pitch of their own, with tempo, equaliser and noise of their own, one after another in a clip."""
+    i, size = F.col("p_partkey"), F.col("p_size")
+    tone = F.transform(F.sequence(F.lit(0), 199 + size), lambda k: F.round(6000 * F.sin(2 * math.pi * (100 + 37 * size) * k / 8000.0)).cast("int"))
+    made = table(spark, sf_dir, "part").select(
+        (i % 97).cast("long").alias("clip"), F.floor(i / 97).alias("seg_idx"), tone.alias("samples"), (0.97 + (i % 7) / 100).alias("tempo"), (i % 5 - 2).alias("bass"), (i % 3 - 1).alias("mid"), F.lit(0.0).alias("treble"), F.lit(-35.0).alias("noise_db")
+    )
+    out = audio.concatenated(audio.process(made, 8000.0, 29))
+    return out.select("clip", "seg_idx", "start", F.size("samples").cast("long").alias("n_samples"), F.array_max("samples").alias("peak"))

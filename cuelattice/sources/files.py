@@ -77,6 +77,11 @@ def write_srt(srt: DataFrame, path: str, key: str) -> None:
     srt.select(key, F.expr("substring(srt, 1, length(srt) - 1)").alias("value")).repartition(key).write.mode("overwrite").partitionBy(key).text(path)
 
 
+def write_ordered(rows: DataFrame, path: str, keys: list[str], order: str) -> None:
+    """Parquet files whose rows, read file by file, are in order of keys and place, however they came."""
+    rows.repartitionByRange(*keys, order).sortWithinPartitions(*keys, order).write.mode("overwrite").parquet(path)
+
+
 def verify_output(spark: SparkSession, path: str) -> int:
     """Files with content under a path that was written; none is an error."""
     n = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where("length > 0").count()

@@ -44,6 +44,19 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def regions(spark: SparkSession, sf_dir: str, each: int = 3) -> DataFrame:
+    """Detections with several regions to a frame: some consecutive events of a user are one frame.
+
+    place is the region's number in its frame. Boxes move little between frames and texts
+    repeat, within a frame too, so that regions compete for segments.
+    """
+    i = F.col("event_id")
+    b = G.box((F.col("place") * 400 + (i * 13) % 90).cast("int"), ((i * 7) % 40 + 100 * (i % 2)).cast("int"), (150 + i % 20).cast("int"), (40 + i % 6).cast("int"))
+    rows = frames(spark, sf_dir).withColumns({"place": F.col("frame_index") % each, "frame_index": F.floor(F.col("frame_index") / each).cast("long")})
+    text = F.concat_ws(" ", "event_type", F.when(i % 5 == 0, "now"))
+    return rows.select("stream_id", "frame_index", "place", "t", "event_id", text.alias("text"), ((i * 37) % 1000 / 1000.0).alias("confidence"), b.alias("box"))
+
+
 def timeline(spark: SparkSession, sf_dir: str, fps: float = 30.0) -> DataFrame:
     """out_idx and t of the frames of a clip, one for each row of orders."""
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("out_idx"), (F.col("o_orderkey") / fps).alias("t"))

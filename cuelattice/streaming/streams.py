@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 from cuelattice.operators.tracking import COLUMNS, Settings, Tracker, entries_of
 from cuelattice.sources.storage import ship_package
@@ -31,7 +32,11 @@ def run_available(stream: DataFrame, mode: str, folder: str) -> DataFrame:
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(write).start()
     query.awaitTermination()
-    out = stream.sparkSession.read.schema(stream.schema.add("batch", "long")).parquet(f"{folder}/out")
+    found = StructType([*stream.schema.fields, StructField("batch", LongType())])
+    path = stream.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/out")
+    if not path.getFileSystem(stream.sparkSession.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return stream.sparkSession.createDataFrame([], stream.schema)  # no batch ran
+    out = stream.sparkSession.read.schema(found).parquet(f"{folder}/out")
     if mode == "complete":
         out = out.join(F.broadcast(out.agg(F.max("batch").alias("batch"))), "batch")
     return out.drop("batch")
@@ -57,17 +62,20 @@ def tumbling(events: DataFrame, keys: list[str], time: str, width: str, value: s
 def track_stream(detections: DataFrame, settings: Settings = Settings(), smooth: bool = True) -> DataFrame:
     """The tracker over a stream of detections(stream_id, frame_index, t, box, text, ends).
 
-    Frames of a stream must come in order, all rows of a frame in one micro-batch. A
+    Frames of a stream must come in order, all rows of a frame in one micro-batch; within a
+    frame regions come in the order of the column place, if there is one, then of box and text. A
     segment is put out when it ends; a row with ends set closes all that are open. The
     state of a stream is its open segments, max_active at most.
     """
     ship_package(detections.sparkSession)
-    flat = detections.selectExpr("stream_id", "frame_index", "t", "box.x", "box.y", "box.width", "box.height", "text", "ends")
+    place = ["place"] if "place" in detections.columns else []
+    order = ["frame_index", *place, "x", "y", "width", "height", "text"]
+    flat = detections.select("stream_id", "frame_index", "t", "box.x", "box.y", "box.width", "box.height", "text", "ends", *place)
     names = [c.split()[0] for c in COLUMNS.split(", ")]
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         tracker = pickle.loads(state.get[0]) if state.exists else Tracker(settings)
-        rows = pd.concat(list(parts)).sort_values("frame_index", kind="stable")
+        rows = pd.concat(list(parts)).sort_values(order, kind="stable")
         ended = []
         for frame, group in rows[~rows["ends"]].groupby("frame_index", sort=True):
             ended += tracker.observe(int(frame), [(t, (int(x), int(y), int(w), int(h)), text or "") for t, x, y, w, h, text in group[["t", "x", "y", "width", "height", "text"]].itertuples(index=False)])

@@ -1,10 +1,12 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from cuelattice.functions import geometry as G
-from cuelattice.operators import detections, enrichment, scenes, schedules, segments, smoothing, subtitles, timeline, tracking
+from cuelattice.functions import numeric as N
+from cuelattice.operators import audio, detections, enrichment, scenes, schedules, segments, smoothing, subtitles, timeline, tracking
 from cuelattice.plans import config
 from cuelattice.schemas import detection_rules, validate
 from cuelattice.sources import files
@@ -40,8 +42,8 @@ def test_gap_fill(spark):
 
 def test_lock_and_average(spark):
     rows = entries(spark, [(1, i, float(i), (x, 0, 10, 10), "a") for i, x in enumerate((100, 102, 99, 140, 140))] + [(2, 0, 0.0, (5, 5, 5, 5), "b")])
-    got = segments.smooth_locked(rows, ["k"], 3, 0.3).orderBy("k", "frame_index").collect()
-    assert [r.box.x for r in got] == [100, 100, 100, 112, 120, 5]
+    got = smoothing.smooth_locked(rows, ["k"], 3, 0.3).orderBy("k", "frame_index").collect()
+    assert [r.box.x for r in got] == [100, 100, 100, 112, 120, 5] and {r.text for r in got} == {"a", "b"}
 
 
 def test_upper_median_and_steady_sizes(spark):
@@ -88,40 +90,57 @@ def test_schedule_values(spark):
     assert (got[10.0], got[9.01], got[10.99]) == (pytest.approx(1.5), pytest.approx(1.005), pytest.approx(1.995))
 
 
-def test_schedules_are_contiguous_and_bounded():
+def test_schedules_are_contiguous_and_bounded(spark):
     assert [len(schedules.intervals(d, s)) for d, s in ((30, 10), (25, 10), (10, 2), (5, 30), (0, 10))] == [3, 3, 5, 1, 0]
-    for mode in ("random", "sinusoidal", "correlated", "other"):
-        plan = schedules.draw(random.Random(1), 0.9, 1.1, 95.0, 10.0, mode)
-        assert plan[0][0] == 0 and plan[-1][1] == 95 and all(a[1] == b[0] for a, b in zip(plan, plan[1:], strict=False))
-        assert all(0.9 <= v <= 1.1 for _, _, v in plan)
-        assert plan == schedules.draw(random.Random(1), 0.9, 1.1, 95.0, 10.0, mode)
-    assert all(0.3 - 1e-9 <= (x * x + y * y) ** 0.5 <= 1 + 1e-9 for x, y in schedules.drift_directions(random.Random(2), 50))
+    clips = spark.createDataFrame([(1, 95.0), (2, 5.0), (3, 0.0), (4, 30.0)], "clip long, duration double")
+    for mode in (*schedules.MODES, "other"):
+        rows = schedules.drawn(clips, {"a": (0.9, 1.1), "b": (-1.0, 1.0)}, 10.0, mode, seed=1)
+        got = sorted(tuple(r) for r in rows.collect())
+        assert got == sorted(tuple(r) for r in schedules.drawn(clips.repartition(3), {"a": (0.9, 1.1), "b": (-1.0, 1.0)}, 10.0, mode, seed=1).collect())
+        for clip, duration in ((1, 95.0), (2, 5.0), (4, 30.0)):
+            for param, low, high in (("a", 0.9, 1.1), ("b", -1.0, 1.0)):
+                own = [r[2:] for r in got if r[:2] == (clip, param)]
+                assert [(r[1], r[2]) for r in own] == schedules.intervals(duration, 10.0) and all(low <= r[3] <= high for r in own)
+        assert not [r for r in got if r[0] == 3] and got != sorted(tuple(r) for r in schedules.drawn(clips, {"a": (0.9, 1.1), "b": (-1.0, 1.0)}, 10.0, mode, seed=2).collect())
+    ways = schedules.drift_directions(spark.range(50), 2, "id").collect()
+    assert all(0.3 - 1e-9 <= (r.dx**2 + r.dy**2) ** 0.5 <= 1 + 1e-9 for r in ways)
+    draws = [r.u for r in spark.range(4000).select(N.uniform(3, "id").alias("u")).collect()]
+    assert 0 <= min(draws) < 0.01 and 0.99 < max(draws) < 1 and abs(sum(draws) / 4000 - 0.5) < 0.02
 
 
 def test_frame_maps(spark):
-    rng = random.Random(4)
-    plan = schedules.draw(rng, 0.99, 1.01, 10.0, 3.0)
-    moved = timeline.jitter(plan, 10.0, 0.05, rng)
-    got = [r.in_idx for r in timeline.build_map(spark, 300, 30.0, plan, 3.0, 0.0, 0.0, random.Random(0)).orderBy("out_idx").collect()]
-    want, t = [], 0.0
-    for i in range(300):
-        speed = next((v for a, b, v in plan if a <= i / 30 < b), plan[-1][2])
-        t += speed / 30 if i else 0
-        want.append(max(0, min(299, round(t * 30))))
-    assert got == want
-    assert all(a[1] == b[0] and abs(a[1] - p[1]) <= 0.05 + 1e-9 for a, b, p in zip(moved, moved[1:], plan, strict=False))
-    places = timeline.repeated_places(300, 5.0, random.Random(1))
-    assert len(places) <= 15 and all(b - a > 1 for a, b in zip(places, places[1:], strict=False)) and all(0 < p < 299 for p in places)
-    assert timeline.repeated_places(10, 1.0, random.Random(1)) == []
+    clips = spark.createDataFrame([(1, 300), (2, 45), (3, 1)], "clip long, n long")
+    plan = schedules.drawn(clips.selectExpr("clip", "n / 30D AS duration"), {"speed": (0.9, 1.1)}, 3.0, "random", seed=4).drop("param")
+    moved = sorted(tuple(r) for r in timeline.jitter(plan, 0.05, 4).collect())
+    spans = sorted(tuple(r) for r in plan.collect())
+    assert len(moved) == len(spans) and moved != spans
+    for clip in (1, 2, 3):
+        a, b = ([r for r in rows if r[0] == clip] for rows in (spans, moved))
+        assert b[0][2] == 0 and b[-1][3] == a[-1][3] and all(x[3] == y[2] for x, y in zip(b, b[1:], strict=False))
+        assert all(abs(x[3] - y[3]) <= 0.05 + 1e-9 for x, y in zip(a, b, strict=True))
+    wild = sorted(tuple(r) for r in timeline.jitter(plan.where("clip = 1"), 50.0, 4).collect())
+    assert all(r[3] - r[2] > 0.0009 for r in wild)  # boundaries never cross
+    got = {(r.clip, r.out_idx): r.in_idx for r in timeline.build_map(clips, 30.0, plan, 3.0, 0.05, 0.0, 4).collect()}
+    for clip, n in ((1, 300), (2, 45), (3, 1)):
+        t, mine = 0.0, [r for r in moved if r[0] == clip]
+        for i in range(n):
+            t += next((r[4] for r in mine if r[2] <= i / 30 < r[3]), mine[-1][4]) / 30 if i else 0
+            assert got[clip, i] == max(0, min(n - 1, round(t * 30)))
+    frames = clips.selectExpr("clip", "n", "explode(sequence(0L, n - 1)) AS out_idx")
+    again = [(r.clip, r.out_idx) for r in timeline.repeated_places(frames, 20.0, 1).where("repeats").collect()]
+    assert again and all((c, i + 1) not in again for c, i in again) and all(0 < i < {1: 299, 2: 44}[c] for c, i in again)
+    assert sum(c == 1 for c, _ in again) <= 60 and timeline.repeated_places(frames, 0.1, 1).where("repeats").count() == 0
 
 
 def test_map_length(spark):
-    short = spark.createDataFrame([(i, i) for i in range(90)], "out_idx long, in_idx long")
-    assert [r.in_idx for r in timeline.fit_length(short, 100).orderBy("out_idx").collect()] == [*range(90), *[89] * 9]
-    assert timeline.fit_length(short, 80).count() == 80
+    def fitted(have, n):
+        mapped = spark.range(have).select(F.lit(1).alias("k"), F.col("id").alias("out_idx"), F.col("id").alias("in_idx"))
+        return [r.in_idx for r in timeline.fit_length(mapped, ["k"], F.lit(n)).orderBy("out_idx").collect()]
+
+    assert fitted(90, 100) == [*range(90), *[89] * 9]
+    assert len(fitted(90, 80)) == 80 and len(fitted(90, 90)) == 90 and fitted(0, 5) == []
     for n, have in ((150, 200), (160, 200), (7, 9)):
-        assert timeline.fit_length(spark.range(have).select(F.col("id").alias("out_idx"), F.col("id").alias("in_idx")), n).count() == int(n * 1.01)
-    assert timeline.fit_length(short, 90).count() == 90
+        assert len(fitted(have, n)) == int(n * 1.01)
 
 
 def test_scenes(spark):
@@ -132,8 +151,9 @@ def test_scenes(spark):
     assert got == [(1, 0, 30, True), (1, 30, 300, False), (1, 300, 330, True), (2, 0, 50, True)]
     shifted = sorted((r.v, r.end_frame, r.start_time) for r in scenes.overlaps(found, ["v"], 0.5).collect())
     assert shifted == [(1, 30, 0.0), (1, 300, 0.75), (1, 330, 9.75), (2, 50, 0.0)]
-    order = scenes.reorder(spark, found.where("v = 1"), random.Random(1)).orderBy("place").collect()
-    assert [(r.place, r.start_frame) for r in order] == [(1, 300), (2, 30), (3, 0)]
+    for seed in range(4):
+        order = scenes.reorder(found, ["v"], seed).orderBy("v", "place").collect()
+        assert [(r.v, r.place, r.start_frame) for r in order] == [(1, 1, 300), (1, 2, 30), (1, 3, 0), (2, 1, 0)]
 
 
 def test_boundaries(spark):
@@ -159,7 +179,7 @@ def test_one_euro_over_a_table_is_that_of_each_segment(spark):
     got = smoothing.smooth_one_euro(entries(spark, rows), ["k"]).collect()
     for k in range(7):
         own = [r[3] for r in rows if r[0] == k]
-        have = [(r.x, r.y, r.width, r.height) for r in sorted(got, key=lambda r: r.frame_index) if r.k == k]
+        have = [tuple(r.box) for r in sorted(got, key=lambda r: r.frame_index) if r.k == k]
         assert have == smoothing.smooth_series(list(range(len(own))), own)
 
 
@@ -210,10 +230,14 @@ def test_enrichment_falls_back(spark):
             raise RuntimeError("no")
         return [f"<{texts[0]}>"]
 
-    assert [r[1:3] for r in enrichment.translate_batch(["a", "blank"], provider, fallback, 2)] == [("A", "translated"), ("<blank>", "translated")]
-    assert [r[1:3] for r in enrichment.translate_batch(["boom", "never"], provider, fallback, 2)] == [("<boom>", "translated"), ("never", "untranslated")]
-    assert [r[1] for r in enrichment.translate_batch(["short", "b"], provider, fallback, 2)] == ["<short>", "<b>"]
+    no_pause = [].append
+    assert [r[1:3] for r in enrichment.translate_batch(["a", "blank"], provider, fallback, 2, no_pause)] == [("A", "translated"), ("<blank>", "translated")]
+    assert [r[1:3] for r in enrichment.translate_batch(["boom", "never"], provider, fallback, 2, no_pause)] == [("<boom>", "translated"), ("never", "untranslated")]
+    assert [r[1] for r in enrichment.translate_batch(["short", "b"], provider, fallback, 2, no_pause)] == ["<short>", "<b>"]
     assert enrichment.translate_batch(["boom"], provider, None, 1)[0][2:] == ("untranslated", "RuntimeError: down")
+    waits = []
+    enrichment.translate_batch(["boom"], provider, None, 4, waits.append)
+    assert waits == [1.0, 2.0, 4.0]
     rows = spark.createDataFrame([(1, " a "), (2, "a"), (3, "  "), (4, "toolong"), (5, "c")], "i int, text string")
     cache = spark.createDataFrame([("c", "kept", "translated"), ("a", "a", "untranslated")], "norm_text string, translated_text string, status string")
     got = enrichment.enrich(rows, "text", "i", provider, fallback, cache, size=2, max_chars=3).orderBy("i").collect()
@@ -301,3 +325,71 @@ def test_files(spark, tmp_path):
     assert files.verify_output(spark, str(tmp_path / "srt")) == 2
     assert files.read_text(spark, str(tmp_path / "none")) is None
     assert files.or_copy(srt.limit(0), srt).count() == 2
+    assert [r.stream for r in files.or_copy(srt.where("stream = 2"), srt).collect()] == [2]
+    files.write_ordered(spark.range(500).selectExpr("id % 3 AS k", "id AS f").repartition(7), str(tmp_path / "ordered"), ["k"], "f")
+    parts = sorted((tmp_path / "ordered").glob("*.parquet"))
+    read = [tuple(r) for p in parts for r in spark.read.parquet(str(p)).collect()]
+    assert read == sorted(read) and len(read) == 500
+
+
+def test_nearest_observed(spark):
+    rows = entries(spark, [(1, 4, 4.0, (0, 0, 9, 9), "a"), (1, 8, 10.0, (0, 0, 9, 9), "b"), (2, 3, 3.0, (0, 0, 9, 9), "c")])
+    targets = spark.createDataFrame([(1, 0), (1, 4), (1, 6), (1, 7), (1, 20), (2, 3), (3, 1)], "k int, frame_index int")
+    got = sorted((r.k, r.frame_index, r.observed_frame, r.t) for r in segments.nearest_observed(targets, rows, ["k"]).collect())
+    assert got == [(1, 0, 4, 4.0), (1, 4, 4, 4.0), (1, 6, 4, 7.0), (1, 7, 8, 8.5), (1, 20, 8, 10.0), (2, 3, 3, 3.0)]
+
+
+def test_suppression(spark):
+    rows = entries(spark, [(1, 0, 0.0, (0, 0, 10, 10), "a"), (1, 1, 0.0, (90, 0, 10, 10), "a"), (2, 0, 0.0, (90, 0, 10, 10), "b")])
+    region = G.box(F.lit(0), F.lit(0), F.lit(20), F.lit(20))
+    got = sorted((r.k, r.frame_index, r.rendered) for r in segments.with_suppression(rows, ["k"], region).collect())
+    assert got == [(1, 0, False), (1, 1, False), (2, 0, True)]
+    assert segments.with_suppression(rows, ["k"], F.lit(None).cast(G.BOX)).where("rendered").count() == 3
+
+
+def test_tempo_keeps_a_tone_in_place_of_the_spectrum():
+    n, f = 800, 40
+    tone = np.round(9000 * np.sin(2 * np.pi * f * np.arange(n) / n)).astype(np.int16)
+    for factor in (0.9, 1.1, 0.97, 1.03):
+        out = audio.change_tempo(tone, factor)
+        assert len(out) == round(n / factor) and abs(np.abs(np.fft.rfft(out)).argmax() - f) == 0
+        want = 9000 * np.sin(2 * np.pi * f * np.arange(len(out)) / len(out))
+        assert np.abs(out - want).max() < 3
+    assert audio.change_tempo(tone, 1.0) is tone and len(audio.change_tempo(tone[:0], 1.1)) == 0
+
+
+def test_equaliser_raises_its_own_band():
+    rate, t = 44100.0, np.arange(44100) / 44100
+    flat = {"bass": 0.0, "mid": 0.0, "treble": 0.0}
+    for band, (low, high) in audio.BANDS.items():
+        f = rate / np.pi * np.arctan(np.sqrt(np.tan(np.pi * low / rate) * np.tan(np.pi * high / rate)))  # where the band is passed unturned
+        tone = np.round(3000 * np.sin(2 * np.pi * f * t)).astype(np.int16)
+        other = np.round(3000 * np.sin(2 * np.pi * {"bass": 6000.0}.get(band, 30.0) * t)).astype(np.int16)
+        up, down, far, same = audio.equalise([tone, tone, other, tone], [flat | {band: 6.0}, flat | {band: -6.0}, flat | {band: 6.0}, flat], rate)
+        level = [np.sqrt((x[20000:].astype(float) ** 2).mean()) / np.sqrt((tone[20000:].astype(float) ** 2).mean()) for x in (up, down)]
+        assert level == pytest.approx([10 ** (6 / 20), 10 ** (-6 / 20)], rel=0.05)
+        assert np.abs(far.astype(int) - other)[20000:].max() < 3000 * 0.15 and (same == tone).all()
+    # the filter written out: at its middle it passes all, at its edges half the power
+    (b, a), (d, c) = audio.band_sections(250.0, 4000.0, rate)
+    for f, power in ((250.0, 0.5), (4000.0, 0.5), (1e-3, 0.0)):
+        z = np.exp(-2j * np.pi * f / rate) ** np.arange(3)
+        assert abs((b @ z) * (d @ z) / ((a @ z) * (c @ z))) ** 2 == pytest.approx(power, abs=1e-6)
+    short = np.ones(5, np.int16)
+    assert (audio.equalise([short], [flat | {"mid": 6.0}], rate)[0] == short).all() and audio.band_sections(4000.0, 20000.0, 8000.0) == []
+
+
+def test_noise_lies_below_the_sound():
+    rng = np.random.default_rng(1)
+    sound = np.round(5000 * np.sin(np.arange(40_000) / 9)).astype(np.int16)
+    noise = audio.with_noise(sound, -20.0, rng).astype(float) - sound
+    assert 20 * np.log10(np.sqrt((noise**2).mean()) / np.sqrt((sound.astype(float) ** 2).mean())) == pytest.approx(-20, abs=0.1)
+    power = np.abs(np.fft.rfft(audio.pink_noise(1 << 16, rng))) ** 2
+    assert power[64:128].sum() == pytest.approx(power[4096:8192].sum(), rel=0.5)  # as much in each octave
+    assert len(audio.with_noise(sound[:0], -20.0, rng)) == 0
+
+
+def test_audio_segments_follow_one_another(spark):
+    rows = [(1, 0, [1000] * 400, 1.0, 0.0), (1, 1, [], 1.1, 3.0), (1, 2, None, 1.1, 3.0), (1, 3, [1000] * 400, 0.5, 0.0), (2, 0, [5], 1.0, 0.0)]
+    frame = spark.createDataFrame(rows, "clip long, seg_idx long, samples array<int>, tempo double, bass double").withColumns({"mid": F.lit(0.0), "treble": F.lit(0.0), "noise_db": F.lit(-90.0)})
+    got = sorted((r.clip, r.seg_idx, r.start, len(r.samples)) for r in audio.concatenated(audio.process(frame, 8000.0, 1)).collect())
+    assert got == [(1, 0, 0, 400), (1, 1, 400, 0), (1, 2, 400, 0), (1, 3, 400, 800), (2, 0, 0, 1)]
