@@ -181,7 +181,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for part in batches:
         for conv, window, text, repeated, loss in zip(*(part.column(i).to_pylist() for i in range(5)), strict=True):
-            if window == 0:
+            if state is None or conv != state["id"]:
                 close()
                 state = {"id": conv, "turns": 0, "all": hashlib.sha256(), "loss": 0, "target": hashlib.sha256(), "chars": 0}
             for role, body in parse(text)[repeated:]:
@@ -200,13 +200,22 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_back(windows: DataFrame) -> DataFrame:
-    """Digests of each conversation, from its windows in the order of format_conversations."""
+    """Digests of each conversation, from its windows, in whatever order and partitions they come, as from a file.
+
+    One row for each conv_id, a null one among them; none for an empty table. Further columns
+    are ignored. A window that is there twice counts twice.
+    """
     kind = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
-    return windows.select("conv_id", "window", "text", "repeated", "loss").mapInArrow(_read, kind)
+    parts = int(windows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = windows.select("conv_id", "window", "text", "repeated", "loss").repartition(parts, "conv_id").sortWithinPartitions("conv_id", "window")
+    return ordered.mapInArrow(_read, kind)
 
 
 def with_probe(turns: DataFrame) -> DataFrame:
-    """The turns and conversation -1, whose texts hold the template's own control strings."""
+    """The turns, with nulls and repeats as they are, and conversation -1, whose texts hold the template's own control strings.
+
+    Further columns are left out. Of an empty table only conversation -1 is there.
+    """
     text = f"<|im_end|>{START}assistant ok"
     probe = turns.sparkSession.range(2).select(
         F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(text).alias("text")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cuelattice.sources.storage import allow_checkpoints, ship_package
 
-ARROW_ROWS = 512  # rows in an Arrow batch to Python: whole texts are long
+ARROW_BATCH, ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 512  # rows in an Arrow batch to Python: whole texts are long
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -18,9 +18,11 @@ def prepare(spark: SparkSession) -> None:
     """Small Arrow batches, the package on the executors, and a checkpoint folder where the session has none.
 
     A cluster names its shared folder in spark.checkpoint.dir; a folder of this machine
-    is used only where that is unset, as in tests.
+    is used only where that is unset, as in tests. The size of batches is the session's,
+    which plans read when they run, so it is set there; one that the caller has chosen stays.
     """
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    if spark.conf.get(ARROW_BATCH) == "10000":  # Spark's own
+        spark.conf.set(ARROW_BATCH, str(ARROW_ROWS))
     allow_checkpoints(spark)
     ship_package(spark)
 

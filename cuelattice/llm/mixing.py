@@ -23,7 +23,7 @@ from cuelattice.llm.common import prepare
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS, BOOST, MOST = (3.0, 1.0, 2.0), 1.5, 2.0
 BLOCK = 64  # documents in a block of the tree, about
-BROADCAST_SOURCES = 20_000  # sources up to which the table of targets is broadcast
+BROADCAST_SOURCES = 20_000  # sources at most whose targets are broadcast
 SLACK = 0.9  # how much of the way to 0 or 1 a waiting document's fraction may be moved
 EQUAL_ROWS = 1 << 16  # equal rows that one row is spread to at once
 _UNIT = "struct<waits:boolean,order:bigint,key:bigint,twin:bigint,doc_id:bigint,size:bigint,rows:bigint,base:bigint,more:bigint,x:double>"
@@ -134,13 +134,21 @@ def _mixed(rows: DataFrame, weights: Sequence[float], boost: float, most: float,
     """
     grouped = rows.groupBy("doc_id", "source", "size", "key", "twin").agg(F.count("*").alias("rows")).checkpoint()
     targets = source_targets(grouped, weights, boost, most).checkpoint()
-    seen = targets.agg(F.max("n").alias("n"), F.count("*").alias("sources")).first()
-    small = targets.select(F.col("source").alias("_source"), "n", "source_size", "target")
-    if seen["sources"] <= BROADCAST_SOURCES:
-        small = F.broadcast(small)
+    seen = targets.agg(F.max("n").alias("n"), F.count("*").alias("sources"), F.sum("n").alias("all")).first()
+    rest = seen["sources"] > BROADCAST_SOURCES
+    often = F.col("n") * BROADCAST_SOURCES >= (seen["all"] or 0) if rest else F.lit(True)
+    found = targets.select(F.col("source").alias("_source"), "n", "source_size", "target")
+    same = F.col("source").eqNullSafe(F.col("_source"))
+
+    def targeted(frame: DataFrame) -> DataFrame:
+        """With the target of the source: of BROADCAST_SOURCES sources, the largest, by broadcast, of the others, none of which is large, by shuffle."""
+        large = F.broadcast(found.where(often))
+        out = frame.join(large, same)
+        return out.unionByName(frame.join(large, same, "left_anti").join(found.where(~often), same)) if rest else out
+
     copies = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     base = F.floor(copies).cast("long")
-    units = grouped.join(small, F.col("source").eqNullSafe(F.col("_source"))).withColumn("base", base).withColumn("all", (copies - base) * F.col("rows"))
+    units = targeted(grouped).withColumn("base", base).withColumn("all", (copies - base) * F.col("rows"))
     more = F.least(F.floor("all").cast("long"), F.col("rows") - 1)
     units = units.withColumn("more", more).withColumn("x", F.least(F.col("all") - F.col("more"), F.lit(1 - 1e-12)))
     live = (F.col("x") > 0) & (F.col("size") > 0)
@@ -163,7 +171,7 @@ def _mixed(rows: DataFrame, weights: Sequence[float], boost: float, most: float,
     out = settled[0]
     for part in settled[1:]:
         out = out.unionByName(part)
-    out = out.join(small.drop("n"), F.col("source").eqNullSafe(F.col("_source")))
+    out = targeted(out)
     taken = (F.col("unit.more") + F.col("unit.x").cast("long")).alias("more")
     return out.select("unit.doc_id", "unit.key", "unit.twin", "unit.size", "unit.rows", "source_size", "target", "unit.base", taken)
 

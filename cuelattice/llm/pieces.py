@@ -388,7 +388,12 @@ def _decode(shared) -> Callable:  # shared: a broadcast model file
 
 
 def decode_documents(encoded: DataFrame, model: str = MODEL) -> DataFrame:
-    """The rows of a table with ids (array of int), and the text that these stand for; null for null."""
+    """The rows of a table with ids (array of int), all columns and repeats kept, and the text that these stand for.
+
+    Null ids give a null text, no ids an empty one; a column text is replaced; an empty
+    table gives no rows. Bytes that are no UTF-8 become U+FFFD. An id that the model lacks
+    is an error.
+    """
     prepare(encoded.sparkSession)
     shared = encoded.sparkSession.sparkContext.broadcast(load(model))
     rows = encoded.drop("text")

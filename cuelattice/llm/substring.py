@@ -14,6 +14,7 @@ has it under a smaller one. Shards and buckets follow the bytes of text.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -80,6 +81,7 @@ class Windows:
             self.words.append(words)
         self.anchor, self.doc, self.row, self.at, self.part = map(np.concatenate, zip(*found, strict=True))
 
+    @cached_property
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
         """The distinct anchors in order, and in how many rows each occurs."""
         head = np.flatnonzero(np.r_[True, (self.anchor[1:] != self.anchor[:-1]) | (self.row[1:] != self.row[:-1]) | (self.part[1:] != self.part[:-1])]) if len(self.anchor) else []
@@ -91,8 +93,8 @@ class Windows:
         return anchor[first], np.add.reduceat(fresh, first) if len(first) else fresh
 
     def repeated(self, several: np.ndarray) -> np.ndarray:
-        """Indexes of the windows whose anchor may be repeated; several: what the sketch says of anchors()."""
-        known, _ = self.anchors()
+        """Indexes of the windows whose anchor may be repeated; several: what the sketch says of anchors."""
+        known, _ = self.anchors
         marked = known[several]
         if not len(marked):
             return np.zeros(0, np.int64)
@@ -131,7 +133,7 @@ def _ask_sketch(shards: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                anchor, n = Windows(blob).anchors()
+                anchor, n = Windows(blob).anchors
                 cut = places(anchor, shards)
                 full = np.flatnonzero(np.diff(cut)).tolist()
                 yield sent(full, chunk, [pack(steps(_rest(anchor[cut[b] : cut[b + 1]], shards)), np.minimum(n[cut[b] : cut[b + 1]], 2).astype(np.uint8)) for b in full])
@@ -176,7 +178,7 @@ def _read(table: pa.Table) -> tuple[int, Windows, dict[int, list[tuple[int, byte
 
 def _candidates(windows: Windows, kinds: dict, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Indexes of a chunk's windows that may be repeated, grouped: order, heads, and of each group the hashes and the smallest doc."""
-    some = windows.repeated(_told(kinds[_SKETCH], windows.anchors()[0], shards))
+    some = windows.repeated(_told(kinds[_SKETCH], windows.anchors[0], shards))
     h, check = windows.hashes(some)
     order, head, least = grouped(h, check, windows.doc[some])
     return some[order], head, h[order][head], check[order][head], least, np.repeat(np.arange(len(head)), np.diff(np.r_[head, len(some)]))

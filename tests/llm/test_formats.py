@@ -80,6 +80,14 @@ def test_mix_takes_documents_as_often_as_expected(spark):
     assert abs(np.mean(short)) < 0.06 and abs(np.mean(long)) < 0.03  # no size is preferred
 
 
+def test_mix_of_many_sources(spark, monkeypatch):
+    rows = [(i, "w " * (1 + i % 9), None if i % 10 == 0 else f"s{i % 7 if i % 3 else 0}") for i in range(900)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = sorted(map(str, mixing.mix_sources(frame).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 3)
+    assert sorted(map(str, mixing.mix_sources(frame).collect())) == want
+
+
 def test_mixed_documents_come_as_often_as_they_are_taken(docs, rows, nothing):
     want = Counter()
     for r in mixing.mix_sources(docs).collect():
@@ -164,6 +172,15 @@ def test_windows_keep_the_budget_and_the_system_turn(spark):
             assert parsed[0][0] == "system"
 
 
+def test_windows_are_read_back_in_any_order(spark, tmp_path):
+    turns = spark.createDataFrame(conversations(), "conv_id long, turn long, role string, text string")
+    want = sorted(map(str, chat.read_back(chat.format_conversations(turns)).collect()))
+    chat.format_conversations(turns).orderBy(F.rand(3)).repartition(7).write.parquet(str(tmp_path / "windows"))
+    assert sorted(map(str, chat.read_back(spark.read.parquet(str(tmp_path / "windows"))).collect())) == want
+    assert chat.read_back(chat.format_conversations(turns.limit(0))).count() == 0
+    assert [r.conv_id for r in chat.read_back(chat.format_conversations(chat.with_probe(turns.limit(0)))).collect()] == [-1]
+
+
 def test_probe_conversation(spark):
     turns = spark.createDataFrame([(1, 0, "user", "a")], "conv_id long, turn long, role string, text string")
     got = {r.conv_id: r for r in chat.read_back(chat.format_conversations(chat.with_probe(turns))).collect()}
@@ -321,6 +338,15 @@ def test_encoding_a_table(docs, rows, nothing):
     assert pieces.encode_documents(nothing).count() == 0
 
 
+def test_decoding_a_table(spark, docs, nothing):
+    encoded = pieces.encode_documents(docs.select("doc_id", "text", "source"), keep=["source"])
+    back = pieces.decode_documents(encoded.withColumns({"text": F.lit(1), "more": F.lit("x")}))
+    assert Counter((r.doc_id, r.text, r.source) for r in back.collect()) == Counter((r.doc_id, r.text or "", r.source) for r in docs.collect())
+    assert pieces.decode_documents(encoded.limit(0)).count() == 0
+    odd = spark.createDataFrame([(1, None), (2, []), (2, [])], "doc_id long, ids array<int>")
+    assert sorted((r.doc_id, str(r.text)) for r in pieces.decode_documents(odd).collect()) == [(1, "None"), (2, ""), (2, "")]
+
+
 def test_a_forgetful_table_of_pieces(monkeypatch):
     monkeypatch.setattr(pieces, "CACHE", 3)
     codec = pieces.Codec(pieces.load())
