@@ -27,7 +27,7 @@ from cuelattice.llm.common import held_out, prepare
 from cuelattice.llm.textscan import Scan, mix64, texts_of
 
 FOLDS, FOLD = 7, 2
-CHUNK_BYTES = 12 << 20  # of text that asks for its n-grams at once, about
+CHUNK_BYTES = 10 << 20  # of text that asks for its n-grams at once, about
 BITS_PER_ENTRY, PROBES = 10, 5  # bits of the filter for each entry at least, and bits that an entry sets
 BUCKET_BYTES = 8 << 20  # of text for each bucket of n-grams, between this and half of it
 BACK_OFF = (2000.0, 300.0)  # weight of the words against a bigram's history, and of the bigrams against a trigram's
