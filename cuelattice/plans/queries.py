@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from cuelattice.functions import geometry as G
 from cuelattice.functions import numeric as N
 from cuelattice.functions import text as X
-from cuelattice.operators import audio, detections, enrichment, layout, scenes, schedules, segments, subtitles, timeline, tracking
+from cuelattice.operators import audio, detections, enrichment, layout, picture, scenes, schedules, segments, subtitles, timeline, tracking
 from cuelattice.operators.smoothing import smooth_locked, smooth_one_euro
 from cuelattice.plans import config
 from cuelattice.sources import storage, views
@@ -277,6 +277,18 @@ def box_place_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.detections(spark, sf_dir).select("event_id", at.alias("p")).select("event_id", "p.x", "p.y")
 
 
+_REGIONS = f"""{_FRAMES}, det AS (
+  SELECT stream_id, frame_index // 3 AS frame_index, event_id, event_type || CASE WHEN event_id % 5 = 0 THEN ' now' ELSE '' END AS text, (event_id * 37 % 1000) / 1000.0::double AS confidence,
+    frame_index % 3 * 400 + event_id * 13 % 90 AS x, event_id * 7 % 40 + 100 * (event_id % 2) AS y, 150 + event_id % 20 AS w, 40 + event_id % 6 AS h FROM frames)"""
+
+
+@query(f"WITH {_PAIR.replace(_DET, _REGIONS)} SELECT stream_id, a_id, b_id, round(iou + similarity - distance / {DIAGONAL}, 6) AS score FROM m WHERE (iou >= 0.2 AND similarity >= 0.3) OR (similarity >= 0.7 AND distance <= 0.1 * {DIAGONAL})")
+def region_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidate pairs of several regions to a frame with those of the next: an equi join on frames with the thresholds as a residual."""
+    out = detections.adjacent_matches(views.regions(spark, sf_dir), 0.2, 0.7, 0.1, DIAGONAL)
+    return out.select("stream_id", "a_id", "b_id", r6("score").alias("score"))
+
+
 # Segments.
 
 
@@ -799,6 +811,37 @@ def overlay_compose(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", N.overlay(F.col("l_quantity") * 5, noise, shade, F.lit(0.03), 0.5).alias("level"))
 
 
+def _turned(n: int) -> str:
+    """SQL for a channel of picture.from_hsv."""
+    k = f"(({n} + h2 / 30.0::double) - 6 * floor(({n} + h2 / 30.0::double) / 6))"
+    return f"round_even(v * (1 - s2 / 255.0::double * greatest(0, least({k}, 4 - {k}, 1))), 0)::int"
+
+
+@query(
+    f"""WITH px AS (SELECT l_orderkey, l_linenumber, (l_quantity * 5)::int AS r, (l_partkey % 256)::int AS g, (l_suppkey * 7 % 256)::int AS b, CASE WHEN l_orderkey % 3 = 0 THEN 1 ELSE 1.02::double END AS gamma, CASE WHEN l_orderkey % 5 = 0 THEN 1 ELSE 1.03::double END AS contrast,
+      CASE WHEN l_orderkey % 2 = 0 THEN 1 ELSE 1.1::double END AS saturation, CASE WHEN l_orderkey % 2 = 0 THEN 0 ELSE -7.0::double END AS hue FROM lineitem), ga AS (
+      SELECT * REPLACE ({', '.join(f"CASE WHEN gamma = 1 THEN {c} ELSE least(255, trunc(power({c} / 255.0::double, 1 / gamma) * 255))::int END AS {c}" for c in 'rgb')}) FROM px), me AS (SELECT *, avg((r + g + b) / 3.0::double) OVER (PARTITION BY l_orderkey) AS m FROM ga), co AS (
+      SELECT * REPLACE ({', '.join(f"CASE WHEN contrast = 1 THEN {c} ELSE greatest(0, least(255, trunc(({c} - m) * contrast + m)))::int END AS {c}" for c in 'rgb')}) FROM me), ex AS (SELECT *, greatest(r, g, b) AS v, greatest(r, g, b) - least(r, g, b) AS span FROM co), tu AS (
+      SELECT *, CASE WHEN span = 0 THEN 0 WHEN v = r THEN 60 * (g - b) / span::double WHEN v = g THEN 120 + 60 * (b - r) / span::double ELSE 240 + 60 * (r - g) / span::double END AS turn FROM ex), hs AS (
+      SELECT *, round_even(((turn % 360 + 360) % 360) / 2, 0)::int % 180 AS h, CASE WHEN v = 0 THEN 0 ELSE round_even(255 * span::double / v, 0)::int END AS s FROM tu), mv AS (SELECT *, floor(((h + hue / 2) % 180 + 180) % 180)::int AS h2, floor(greatest(0, least(255, s * saturation)))::int AS s2 FROM hs)
+    SELECT l_orderkey, l_linenumber, {', '.join(f"CASE WHEN saturation = 1 AND hue = 0 THEN {c} ELSE {_turned(n)} END AS {c}" for c, n in (('r', 5), ('g', 3), ('b', 1)))} FROM mv"""
+)
+def colour_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = F.col("l_orderkey")
+    pixels = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey",
+        "l_linenumber",
+        (F.col("l_quantity") * 5).cast("int").alias("r"),
+        (F.col("l_partkey") % 256).cast("int").alias("g"),
+        (F.col("l_suppkey") * 7 % 256).cast("int").alias("b"),
+        F.when(order % 3 == 0, 1.0).otherwise(1.02).alias("gamma"),
+        F.when(order % 5 == 0, 1.0).otherwise(1.03).alias("contrast"),
+        F.when(order % 2 == 0, 1.0).otherwise(1.1).alias("saturation"),
+        F.when(order % 2 == 0, 0.0).otherwise(-7.0).alias("hue"),
+    )
+    return picture.colour_chain(pixels, ["l_orderkey"]).select("l_orderkey", "l_linenumber", "r", "g", "b")
+
+
 @query(f"SELECT l_orderkey, l_linenumber, (floor({_uniform(11, 'l_orderkey', 'l_linenumber')} * 257) - 128)::int AS grain FROM lineitem")
 def grain_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", N.grain(11, "l_orderkey", "l_linenumber").alias("grain"))
@@ -974,7 +1017,10 @@ def row_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_session(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = table(spark, sf_dir, "events").schema
     found = streams.sessions(streams.read_stream(spark, sf_dir, schema, "events.parquet"), ["user_id"], "ts", f"{int(GAP)} seconds")
-    return _sessions(streams.run_available(found, "complete", storage.new_folder(spark, "sessions")))
+    folder = storage.new_folder(spark, "sessions")
+    out = _sessions(streams.run_available(found, "complete", folder))
+    storage.remove(spark, f"{folder}/state")
+    return out
 
 
 @query()
@@ -991,6 +1037,8 @@ def stream_track(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows.where(F.col("frame_index").between(low, high - 1)).write.parquet(f"{folder}/in/part={part}")
         source = streams.read_stream(spark, f"{folder}/in", rows.schema, files=1 << 20)  # a range of frames is one batch
         out = streams.run_available(streams.track_stream(source), "append", folder)
+    for done in ("in", "state"):  # only what was put out is still read
+        storage.remove(spark, f"{folder}/{done}")
     return out
 
 

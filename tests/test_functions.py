@@ -124,3 +124,22 @@ def test_auto_fit_is_the_largest_that_fits(spark, w, h, n):
     fits = [z for z in range(style.smallest, style.largest + 1) if math.ceil(n * z * style.advance) <= w and math.ceil(z * style.leading) <= h]
     got = value(spark, layout.auto_fit(F.array(F.lit("x" * n)), box(0, 0, w, h), style))
     assert got == (max(fits) if fits else None)
+
+
+def test_colours_go_through_hue_and_saturation_and_back(spark):
+    import colorsys
+
+    from cuelattice.operators import picture
+
+    rows = [(r, g, b) for r in range(0, 256, 51) for g in range(0, 256, 51) for b in range(0, 256, 51)]
+    frame = spark.createDataFrame(rows, "r int, g int, b int")
+    hsv = frame.select("r", "g", "b", *[c.alias(n) for n, c in zip("hsv", picture.to_hsv(*map(F.col, "rgb")), strict=True)])
+    back = hsv.select("*", *[c.alias(n) for n, c in zip(("r2", "g2", "b2"), picture.from_hsv(*map(F.col, "hsv")), strict=True)])
+    for x in back.collect():
+        h, s, v = colorsys.rgb_to_hsv(x.r / 255, x.g / 255, x.b / 255)
+        assert (x.s, x.v) == (round(s * 255), x.v) and min(abs(x.h - h * 180), 180 - abs(x.h - h * 180)) <= 0.5 + 1e-9
+        assert all(abs(a - b) <= 5 for a, b in ((x.r, x.r2), (x.g, x.g2), (x.b, x.b2)))
+    plain = frame.withColumns({"frame": F.lit(1), "gamma": F.lit(1.0), "contrast": F.lit(1.0), "saturation": F.lit(1.0), "hue": F.lit(0.0)})
+    assert sorted((x.r, x.g, x.b) for x in picture.colour_chain(plain, ["frame"]).collect()) == sorted(rows)
+    grey = plain.withColumn("saturation", F.lit(0.0))
+    assert all(x.r == x.g == x.b for x in picture.colour_chain(grey, ["frame"]).collect())
