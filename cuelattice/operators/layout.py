@@ -72,35 +72,59 @@ def auto_fit(lines: Column, b: Column, style: Style, narrow: float = 1.0) -> Col
     return let(known, search)
 
 
-def plan(text: Column, b: Column, style: Style, frame_w: int, frame_h: int) -> Column:
-    """Box, font, size and lines of the first way in which a text fits.
+PLAN = "struct<box:" + G.BOX + ",narrow:boolean,size:int,lines:array<string>>"
+
+
+def fixed_fit(lines: Column, b: Column, size: Column, style: Style, narrow: float = 1.0) -> Column:
+    """The size, if the lines fit the box at it; else null."""
+    w, h = block_size(lines, size, style, narrow)
+    return F.when(G.fits(w, h, b), size)
+
+
+def plan(text: Column, b: Column, style: Style, frame_w: int, frame_h: int, fixed: Column | None = None) -> Column:
+    """Box, font, size and lines of the first way in which a text fits; null if none does.
 
     Tried in order, with the regular and then with the narrow font: one line in the box, one
-    line in the grown box, then more lines in either, the line count with the largest
-    size. If nothing fits, the smallest size in a box forced to hold one line.
+    line in the grown box, then more lines in either, one more as long as that makes the size
+    larger. With a fixed size all this is tried at that size first, then a box forced to
+    hold one line, or more, of it in the regular font, and only then at any size.
     """
-    kind = "struct<box:" + G.BOX + ",narrow:boolean,size:int,lines:array<string>>"
 
-    def option(lines: Column, where: Column, narrow: float) -> Column:
-        def chosen(size: Column) -> Column:
-            return F.when(where.isNotNull() & size.isNotNull(), F.struct(where.alias("box"), F.lit(narrow != 1).alias("narrow"), size.alias("size"), lines.alias("lines")).cast(kind))
+    def option(lines: Column, where: Column, narrow: float, size: Column | None) -> Column:
+        def chosen(found: Column) -> Column:
+            return F.when(where.isNotNull() & found.isNotNull(), F.struct(where.alias("box"), F.lit(narrow != 1).alias("narrow"), found.alias("size"), lines.alias("lines")).cast(PLAN))
 
-        return let(auto_fit(lines, where, style, narrow), chosen)
+        return let(auto_fit(lines, where, style, narrow) if size is None else fixed_fit(lines, where, size, style, narrow), chosen)
 
-    def wrapped_option(where: Column, narrow: float) -> Callable[[Column], Column]:
-        return lambda lines: option(lines, where, narrow)
+    def improved(s: Column, o: Column) -> Column:
+        better = o.isNotNull() & ~s["ended"] & (s["best"].isNull() | (o["size"] > s["best"]["size"]))
+        return F.struct(F.when(better, o).otherwise(s["best"]).alias("best"), (s["ended"] | (o.isNotNull() & ~better)).alias("ended"))
 
-    def options(k: Column) -> Column:
+    def wrapped_option(where: Column, narrow: float, size: Column | None) -> Callable[[Column], Column]:
+        return lambda lines: option(lines, where, narrow, size)
+
+    def cascade(k: Column, size: Column | None) -> list[Column]:
         tried: list[Column] = []
         for narrow in dict.fromkeys((1.0, style.condensed)):
-            tried += [option(F.array(k["text"]), k[where], narrow) for where in ("own", "grown")]
+            tried += [option(F.array(k["text"]), k[where], narrow, size) for where in ("own", "grown")]
             for where in ("own", "grown") if style.max_lines >= 2 else ():
-                wrapped = F.filter(F.transform(k["wrapped"], wrapped_option(k[where], narrow)), lambda o: o.isNotNull())
-                tried.append(F.aggregate(wrapped, F.lit(None).cast(kind), lambda best, o: F.when(best.isNull() | (o["size"] > best["size"]), o).otherwise(best)))
-        return F.coalesce(*tried, k["forced"])
+                start = F.struct(F.lit(None).cast(PLAN).alias("best"), F.lit(False).alias("ended"))
+                tried.append(F.aggregate(F.transform(k["wrapped"], wrapped_option(k[where], narrow, size)), start, improved, lambda s: s["best"]))
+        return tried
+
+    def forced(k: Column, size: Column) -> Column:
+        def held(lines: Column) -> Column:
+            w, h = block_size(lines, size, style)
+            return let(G.force_expand(b, w, h, frame_w, frame_h), lambda f: option(lines, f, 1.0, size))
+
+        ways = F.transform(F.concat(F.array(F.array(k["text"])), k["wrapped"]), held)
+        return F.get(F.array_compact(ways), F.lit(0))
+
+    def options(k: Column) -> Column:
+        at_fixed = [] if fixed is None else [*cascade(k, k["fixed"]), forced(k, k["fixed"])]
+        return F.coalesce(*at_fixed, *cascade(k, None))
 
-    w, h = block_size(F.array(text), F.lit(style.smallest), style)
-    forced = let(G.force_expand(b, w, h, frame_w, frame_h), lambda f: F.when(f.isNotNull(), F.struct(f.alias("box"), F.lit(False).alias("narrow"), F.lit(style.smallest).alias("size"), F.array(text).alias("lines")).cast(kind)))
     wrapped = F.array_compact(F.array(*[X.wrap_lines(text, n) for n in range(2, style.max_lines + 1)])) if style.max_lines >= 2 else F.array().cast("array<array<string>>")
-    known = F.struct(text.alias("text"), b.alias("own"), G.expand(b, *style.grow, frame_w, frame_h).alias("grown"), wrapped.alias("wrapped"), forced.alias("forced"))
+    size = F.lit(None).cast("int") if fixed is None else fixed.cast("int")
+    known = F.struct(text.alias("text"), b.alias("own"), G.expand(b, *style.grow, frame_w, frame_h).alias("grown"), wrapped.alias("wrapped"), size.alias("fixed"))
     return let(known, options)

@@ -902,14 +902,24 @@ def one_euro_alpha(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Layout.
 
 
-@query()
-def layout_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _planned(spark: SparkSession, sf_dir: str, fixed: Column | None) -> DataFrame:
     style = layout.Style(grow=(1.5, 1.3), max_lines=3, condensed=0.8)
     b = G.box(F.col("p_partkey") % 1500, F.col("p_partkey") % 900, 60 + F.col("p_size") * 4, 16 + F.col("p_size") % 40)
-    out = table(spark, sf_dir, "part").select("p_partkey", layout.plan(F.col("p_name"), b, style, W, H).alias("plan"))
+    out = table(spark, sf_dir, "part").select("p_partkey", layout.plan(F.col("p_name"), b, style, W, H, fixed).alias("plan"))
     return out.select("p_partkey", *flat("plan.box"), "plan.narrow", "plan.size", F.array_join("plan.lines", "\n").alias("lines"))
 
 
+@query()
+def layout_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _planned(spark, sf_dir, None)
+
+
+@query()
+def layout_plan_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At a size of the segment's own, which a moving text keeps; boxes give way before it does."""
+    return _planned(spark, sf_dir, 12 + F.col("p_partkey") % 70)
+
+
 @query(
     """WITH s AS (SELECT p_partkey, length(p_name) AS n, 60 + p_size * 4 AS w, 16 + p_size % 40 AS h FROM part), f AS (SELECT p_partkey, z, ceil(n * z * 0.6) <= w AND ceil(z * 1.2) <= h AS ok FROM s, (SELECT unnest(range(12, 49)) AS z) a)
     SELECT p_partkey, max(CASE WHEN ok THEN z END)::int AS size FROM f GROUP BY p_partkey"""

@@ -393,3 +393,12 @@ def test_audio_segments_follow_one_another(spark):
     frame = spark.createDataFrame(rows, "clip long, seg_idx long, samples array<int>, tempo double, bass double").withColumns({"mid": F.lit(0.0), "treble": F.lit(0.0), "noise_db": F.lit(-90.0)})
     got = sorted((r.clip, r.seg_idx, r.start, len(r.samples)) for r in audio.concatenated(audio.process(frame, 8000.0, 1)).collect())
     assert got == [(1, 0, 0, 400), (1, 1, 400, 0), (1, 2, 400, 0), (1, 3, 400, 800), (2, 0, 0, 1)]
+
+
+def test_coverage_of_single_pixels_is_the_area_of_the_union(spark):
+    boxes = [(5, 5, 10, 10), (10, 8, 10, 10), (0, 0, 3, 3), (28, 18, 9, 9)]
+    rows = spark.createDataFrame([(1, *b) for b in boxes], "stream_id int, x int, y int, w int, h int").select("stream_id", G.box(*[F.col(c) for c in "xywh"]).alias("box"))
+    want = {(x, y) for a, b, w, h in boxes for x in range(max(0, a - 2), min(30, a + w + 2)) for y in range(max(0, b - 2), min(20, b + h + 2))}
+    assert {(r.cx, r.cy) for r in detections.coverage(rows, 1, 2, 30, 20).collect()} == want
+    padded = rows.select(G.padded(F.col("box"), 2, 30, 20).alias("p")).select("p.*").collect()
+    assert sorted((p.x, p.y, p.width, p.height) for p in padded) == [(0, 0, 5, 5), (3, 3, 14, 14), (8, 6, 14, 14), (26, 16, 4, 4)]

@@ -58,7 +58,7 @@ def test_streamed_tracker_agrees_with_the_batch(spark):
     assert ("start", 0, 0) in log.events
 
 
-BRUTE = ("segment_track", "stream_track", "track_regions", "segment_one_euro", "layout_plan")
+BRUTE = ("segment_track", "stream_track", "track_regions", "segment_one_euro", "layout_plan", "layout_plan_fixed")
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - set(BRUTE)))
@@ -173,23 +173,50 @@ def test_layout_agrees_with_brute_force(spark):
         a, b, c, d = max(0, nx), max(0, ny), min(1920, nx + nw), min(1080, ny + nh)
         return (a, b, c - a, d - b) if c - a > w or d - b > h else None
 
-    got = {r.p_partkey: r for r in QUERIES["layout_plan"](spark, SF).collect()}
+    def forced(x, y, w, h, need_w, need_h):
+        nw, nh = max(w, need_w), max(h, need_h)
+        nx, ny = round(x + w / 2 - nw / 2), round(y + h / 2 - nh / 2)
+        a, b, c, d = max(0, nx), max(0, ny), min(1920, nx + nw), min(1080, ny + nh)
+        return (a, b, c - a, d - b) if c > a and d > b else None
+
+    def cascade(text, own, sizes):
+        for narrow in (1.0, 0.8):
+            for box in (own, grown(*own)):
+                size = max((z for z in sizes if box and fits([text], z, box[2], box[3], narrow)), default=None)
+                if size:
+                    return (*box, narrow != 1, size, text)
+            for box in (own, grown(*own)):
+                best = None
+                for n in (2, 3):
+                    lines = wrapped(text, n)
+                    size = max((z for z in sizes if box and lines and fits(lines, z, box[2], box[3], narrow)), default=None)
+                    if size and best and size <= best[5]:
+                        break
+                    if size:
+                        best = (*box, narrow != 1, size, "\n".join(lines))
+                if best:
+                    return best
+        return None
+
+    def at_size(text, own, size):
+        found = cascade(text, own, [size])
+        for n in (1, 2, 3):
+            lines = [text] if n == 1 else wrapped(text, n)
+            if found is None and lines:
+                need = (math.ceil(max(map(len, lines)) * size * 0.6), math.ceil(size * 1.2) * n)
+                box = forced(*own, *need)
+                if box and need[0] <= box[2] and need[1] <= box[3]:
+                    found = (*box, False, size, "\n".join(lines))
+        return found or cascade(text, own, range(12, 49))
+
+    ways = {name: {r.p_partkey: tuple(r)[1:] for r in QUERIES[name](spark, SF).collect()} for name in ("layout_plan", "layout_plan_fixed")}
+    kinds = set()
     for r in spark.read.parquet(f"{SF}/part.parquet").collect():
         own = (r.p_partkey % 1500, r.p_partkey % 900, 60 + r.p_size * 4, 16 + r.p_size % 40)
-        best = None
-        for narrow in (1.0, 0.8):
-            tries = [[(b, [r.p_name])] for b in (own, grown(*own))] + [[(b, wrapped(r.p_name, n)) for n in (2, 3)] for b in (own, grown(*own))]
-            for options in tries:
-                sized = [(max((z for z in range(12, 49) if fits(lines, z, b[2], b[3], narrow)), default=0), b, lines) for b, lines in options if b and lines]
-                sized = [o for o in sized if o[0]]
-                if sized and best is None:
-                    size, b, lines = max(sized, key=lambda o: o[0])
-                    best = (*b, narrow != 1, size, "\n".join(lines))
-        row = got[r.p_partkey]
-        if best is None:
-            assert row.size in (12, None) and row.lines in (r.p_name, None)
-        else:
-            assert (row.x, row.y, row.width, row.height, row.narrow, row.size, row.lines) == best
+        for name, want in (("layout_plan", cascade(r.p_name, own, range(12, 49))), ("layout_plan_fixed", at_size(r.p_name, own, 12 + r.p_partkey % 70))):
+            assert ways[name][r.p_partkey] == (want or (None,) * 7)
+            kinds.add((name, want and (want[4], want[:4] == own, "\n" in want[6])))
+    assert len(kinds) >= 6
 
 
 def test_entry(spark):
