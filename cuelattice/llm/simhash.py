@@ -183,25 +183,27 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
             yield pa.RecordBatch.from_arrays([part.column(0), prints, *part.columns[2:]], names=["doc_id", "fp", *part.schema.names[2:]])
 
 
-def _labelled(docs: DataFrame, others: list[str], node: str) -> DataFrame:
-    """doc_id, fp, component_id and the other columns (long) of every document.
+def _prints(docs: DataFrame, others: list[str]) -> DataFrame:
+    """doc_id, fp and the other columns (long) of every document, checkpointed."""
+    prepare(docs.sparkSession)
+    kind = "doc_id long, fp long" + "".join(f", {c} long" for c in others)
+    return docs.select("doc_id", "text", *others).mapInArrow(_fingerprint_batches, kind).checkpoint()
+
+
+def _components(prints: DataFrame, node: str) -> DataFrame:
+    """fp and component_id of every distinct fingerprint.
 
     node: doc_id or fp, whose smallest value names a fingerprint, and a component.
     """
-    spark = docs.sparkSession
-    prepare(spark)
-    kind = "doc_id long, fp long" + "".join(f", {c} long" for c in others)
-    prints = docs.select("doc_id", "text", *others).mapInArrow(_fingerprint_batches, kind).checkpoint()
     reps = prints.groupBy("fp").agg(F.min(node).alias("rep"))
     keyed = reps.where("rep IS NOT NULL").select(
         F.explode(F.array(*[F.struct(F.lit(i).alias("part"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(MASKS)])).alias("k"), "fp", "rep"
     )
     keyed = keyed.select("k.part", "k.key", "fp", "rep")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     links = keyed.repartition(parts, "part", "key").sortWithinPartitions("part", "key").mapInArrow(_stars, "u long, v long")
     component = connected_components(links).withColumnRenamed("id", "rep")
-    named = reps.join(component, "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(named, "fp", "left")
+    return reps.join(component, "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
 
 
 def simhash_components(docs: DataFrame) -> DataFrame:
@@ -213,7 +215,9 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     Extra columns are ignored; an empty table gives no rows. Only distinct fingerprints
     are searched, each with the smallest doc_id that has it, so that copies cost nothing.
     """
-    return _labelled(docs, [], "doc_id").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    prints = _prints(docs, [])
+    labelled = prints.join(_components(prints, "doc_id"), "fp", "left")
+    return labelled.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
@@ -221,13 +225,15 @@ def keep_first(docs: DataFrame) -> DataFrame:
 
     Rows are told apart by 128 bits of hash of all their columns, and components are those of
     the fingerprints, so that rows of one doc_id, or without any, go only if their own
-    component has another row. Null and wordless texts are one component. Columns may have
-    any names; an empty table gives no rows.
+    component has another row. Null and wordless texts are one component. Each task makes one
+    row of the equal ones it has, and of those of a fingerprint, before anything is shuffled, so
+    that no group of copies is in one task. Columns may have any names; an empty table gives no
+    rows.
     """
     names = [f"c{i}" for i in range(len(docs.columns))]
     at = dict(zip(docs.columns, names, strict=True))
     keyed = docs.toDF(*names).withColumns({"one": F.xxhash64(*names), "two": F.xxhash64(F.lit(1), *names)})
-    rows = _labelled(keyed.select(F.col(at["doc_id"]).alias("doc_id"), F.col(at["text"]).alias("text"), "one", "two"), ["one", "two"], "fp")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "one", "two")).alias("k")
-    kept = rows.groupBy("component_id").agg(first).select("k.one", "k.two")
-    return keyed.join(kept, ["one", "two"], "left_semi").dropDuplicates(["one", "two"]).select(*names).toDF(*docs.columns)
+    prints = _prints(keyed.select(F.col(at["doc_id"]).alias("doc_id"), F.col(at["text"]).alias("text"), "one", "two"), ["one", "two"])
+    first = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "one", "two")).alias("k"))
+    kept = first.join(_components(prints, "fp"), "fp").groupBy("component_id").agg(F.min("k").alias("k")).select("k.one", "k.two")
+    return keyed.dropDuplicates(["one", "two"]).join(kept, ["one", "two"], "left_semi").select(*names).toDF(*docs.columns)

@@ -5,6 +5,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.sql import functions as F
 
 from cuelattice.llm import components, simhash, substring
 from cuelattice.llm.chunks import pack, steps, unpack
@@ -95,6 +96,14 @@ def test_simhash_keeps_rows_that_share_an_id_or_have_none(spark):
     assert got == sorted((str(i), str(t)) for i, t in [*rows[:2], (None, a), (None, b), (1, c), (2, d), (3, None)])
 
 
+def test_simhash_keeps_one_of_many_equal_rows(spark):
+    text = " ".join(f"t{i}" for i in range(40))
+    same = spark.range(3000).select(F.lit(7).cast("long").alias("doc_id"), F.lit(text).alias("text"))
+    copies = spark.range(8, 2000).select(F.col("id").alias("doc_id"), F.lit(text).alias("text"))
+    docs = same.unionByName(copies).repartition(6)
+    assert [tuple(r) for r in simhash.keep_first(docs).collect()] == [(7, text)]
+
+
 def test_gray_index_agrees_with_all_pairs():
     rng = np.random.default_rng(0)
     base = rng.integers(0, 2**63, 30, dtype=np.uint64)
